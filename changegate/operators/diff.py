@@ -17,7 +17,8 @@ from changegate.constants import (
 )
 from changegate.functions.identity import change_id
 from changegate.functions.text import normalize_identifier, posix_path
-from changegate.operators.skew import exclude_runs, spread_join
+from changegate.operators.skew import exclude_runs
+from changegate.session import cut_lineage
 
 COLUMN_KEY = ["run_key", "relation", "column_name"]
 STATE_FIELDS = ["data_type", "data_type_from_projection", "nullable", "has_projection", "expr_fingerprint"]
@@ -74,14 +75,6 @@ def pair_columns(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def removed_columns(pairs: DataFrame) -> DataFrame:
-    return pairs.filter((F.col("n_old") > 0) & (F.col("n_new") == 0))
-
-
-def added_columns(pairs: DataFrame) -> DataFrame:
-    return pairs.filter((F.col("n_old") == 0) & (F.col("n_new") > 0))
-
-
 def infer_renames(pairs: DataFrame) -> DataFrame:
     """Removed and added columns whose output expression matches one to one.
 
@@ -130,8 +123,9 @@ def _relation_sides(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def _rejection(df: DataFrame, reason: str, detail: Column) -> DataFrame:
-    return df.select("run_key", F.lit(reason).alias("reason"), detail.alias("detail"))
+def _rejection(df: DataFrame, reason: Column | str, detail: Column) -> DataFrame:
+    text = F.lit(reason) if isinstance(reason, str) else reason
+    return df.select("run_key", text.alias("reason"), detail.alias("detail"))
 
 
 def removed_relations(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -241,16 +235,97 @@ def attribute_changes(matched: DataFrame) -> DataFrame:
     return matched.select("run_key", "relation", F.inline(F.array_compact(found)))
 
 
-def _matched(pairs: DataFrame, renames: DataFrame) -> DataFrame:
-    kept = pairs.filter((F.col("n_old") > 0) & (F.col("n_new") > 0)).select(
+def classify_columns(pairs: DataFrame) -> DataFrame:
+    """Changes and rejections of paired columns in one pass.
+
+    Each rename is attached to its old and its new column by their own unique
+    keys, which is the partitioning ``pairs`` already has; one explode then
+    emits everything a column gives rise to.  Rejections carry ``reason``.
+    """
+    renames = infer_renames(pairs)
+    partner = F.struct(F.col("new_column").alias("name"), F.col("new").alias("state"))
+    members = renames.select(
+        "run_key",
+        "relation",
+        F.inline(
+            F.array(
+                F.struct(F.col("old_column").alias("column_name"), F.lit("gone").alias("role"), partner.alias("to")),
+                F.struct(F.col("new_column").alias("column_name"), F.lit("come").alias("role"), partner.alias("to")),
+            )
+        ),
+    )
+    joined = pairs.join(members, COLUMN_KEY, "left")
+    renamed = F.col("role").eqNullSafe("gone")
+    alone = F.col("role").isNull()
+    matched = renamed | ((F.col("n_old") > 0) & (F.col("n_new") > 0))
+    joined = joined.select(
         "run_key",
         "relation",
         F.col("column_name").alias("old_column"),
-        F.col("column_name").alias("new_column"),
+        F.when(renamed, F.col("to.name")).otherwise(F.col("column_name")).alias("new_column"),
         "old",
-        "new",
+        F.when(renamed, F.col("to.state")).otherwise(F.col("new")).alias("new"),
+        renamed.alias("renamed"),
+        matched.alias("matched"),
+        (alone & (F.col("n_new") == 0)).alias("dropped"),
+        (alone & (F.col("n_old") == 0)).alias("added"),
+        ((F.col("n_old") > 1) | (F.col("n_new") > 1)).alias("repeated"),
     )
-    return kept.unionByName(renames.drop("fingerprint"))
+    o, n, on, nn = (F.col(c) for c in ("old", "new", "old_column", "new_column"))
+    digest = F.substring(F.sha2(o["expr_fingerprint"], 256), 1, 16)
+    rename = _change(
+        "rename_column",
+        _refs(REF_COLUMN_SET, F.concat(F.lit(REF_EXPRESSION), digest)),
+        old_column=on,
+        new_column=nn,
+        old_type=o["data_type"],
+        new_type=n["data_type"],
+        old_nullable=o["nullable"],
+        new_nullable=n["nullable"],
+    )
+    drop = _change(
+        "drop_column",
+        _refs(REF_REMOVED),
+        old_column=on,
+        old_type=o["data_type"],
+        old_nullable=o["nullable"],
+    )
+    add = _change(
+        "add_column",
+        _refs(REF_ADDED),
+        new_column=nn,
+        new_type=n["data_type"],
+        new_nullable=n["nullable"],
+    )
+    found = F.array_compact(
+        F.array(
+            F.when(F.col("renamed"), rename),
+            F.when(F.col("dropped"), drop),
+            F.when(F.col("added"), add),
+            F.when(F.col("matched"), _type_change(o, n, on, nn)),
+            F.when(F.col("matched"), _nullability_change(o, n, on, nn)),
+        )
+    )
+    no_change = F.lit(None).cast(_CHANGE_TYPE)
+    entry = lambda change, reason: F.struct(change.alias("change"), reason.alias("reason"))
+    problems = F.array_compact(
+        F.array(
+            F.when(F.col("repeated"), entry(no_change, F.lit("duplicate_column"))),
+            F.when(
+                F.col("matched") & _untyped_rewrite(o, n), entry(no_change, F.lit("untyped_expression_change"))
+            ),
+        )
+    )
+    every = F.concat(F.transform(found, lambda c: entry(c, F.lit(None).cast("string"))), problems)
+    return joined.select(
+        "run_key", "relation", F.concat_ws(".", "relation", "old_column").alias("detail"), F.inline(every)
+    )
+
+
+_CHANGE_TYPE = (
+    "struct<change_type:string,old_column:string,new_column:string,old_type:string,new_type:string,"
+    "old_nullable:boolean,new_nullable:boolean,evidence_refs:array<string>>"
+)
 
 
 def schema_diff(
@@ -260,91 +335,39 @@ def schema_diff(
     before_nodes: DataFrame | None = None,
     after_nodes: DataFrame | None = None,
     rejections: DataFrame | None = None,
+    staged: bool = True,
 ) -> Diff:
     """All changes of every change set, with whole-set rejection.
 
     ``before_nodes``/``after_nodes`` list the relations of each side when some
-    have no column at all; ``rejections`` adds reasons found earlier.
+    have no column at all; ``rejections`` adds reasons found earlier.  Changes
+    and rejections have several readers, so by default the (small) classified
+    rows are written once to the shared folder instead of comparing twice.
     """
-    pairs = pair_columns(before, after)
-    renames = infer_renames(pairs)
     relations = _relation_sides(
         before if before_nodes is None else before_nodes,
         after if after_nodes is None else after_nodes,
     )
-
-    renamed = renames.select(
+    # Columns of a relation that only exists afterwards are no change.
+    only_new = relations.filter(~F.col("in_before")).select("run_key", "relation")
+    classified = classify_columns(pair_columns(before, after)).join(
+        only_new, ["run_key", "relation"], "left_anti"
+    )
+    gone = relations.filter(F.col("in_before") & ~F.col("in_after")).select(
         "run_key",
         "relation",
-        F.inline(
-            F.array(
-                F.struct(F.col("old_column").alias("column_name"), F.lit(True).alias("renamed")),
-                F.struct(F.col("new_column").alias("column_name"), F.lit(True).alias("renamed")),
-            )
-        ),
-    )
-    # Removed or added columns that are no part of a rename.
-    single = pairs.filter((F.col("n_old") == 0) != (F.col("n_new") == 0)).join(
-        renamed, COLUMN_KEY, "left_anti"
-    )
-    drop = _change(
-        "drop_column",
-        _refs(REF_REMOVED),
-        old_column=F.col("column_name"),
-        old_type=F.col("old.data_type"),
-        old_nullable=F.col("old.nullable"),
+        F.col("relation").alias("detail"),
+        F.lit(None).cast(_CHANGE_TYPE).alias("change"),
+        F.lit("removed_relation").alias("reason"),
     )
-    add = _change(
-        "add_column",
-        _refs(REF_ADDED),
-        new_column=F.col("column_name"),
-        new_type=F.col("new.data_type"),
-        new_nullable=F.col("new.nullable"),
-    )
-    singles = single.select(
-        "run_key", "relation", F.inline(F.array(F.when(F.col("n_new") == 0, drop).otherwise(add)))
-    )
-
-    rename = _change(
-        "rename_column",
-        _refs(
-            REF_COLUMN_SET,
-            F.concat(F.lit(REF_EXPRESSION), F.substring(F.sha2("fingerprint", 256), 1, 16)),
-        ),
-        old_column=F.col("old_column"),
-        new_column=F.col("new_column"),
-        old_type=F.col("old.data_type"),
-        new_type=F.col("new.data_type"),
-        old_nullable=F.col("old.nullable"),
-        new_nullable=F.col("new.nullable"),
-    )
-    moved = renames.select("run_key", "relation", F.inline(F.array(rename)))
-    matched = _matched(pairs, renames)
-
-    found = singles.unionByName(moved).unionByName(attribute_changes(matched))
-    # Columns of a relation that only exists afterwards are no change.
-    only_new = relations.filter(~F.col("in_before")).select("run_key", "relation")
-    found = found.join(only_new, ["run_key", "relation"], "left_anti")
+    classified = classified.unionByName(gone)
+    if staged:
+        classified = cut_lineage(classified)
 
-    reasons = [
-        _rejection(
-            relations.filter(F.col("in_before") & ~F.col("in_after")), "removed_relation", F.col("relation")
-        ),
-        _rejection(
-            pairs.filter((F.col("n_old") > 1) | (F.col("n_new") > 1)),
-            "duplicate_column",
-            F.concat_ws(".", "relation", "column_name"),
-        ),
-        _rejection(
-            matched.filter(_untyped_rewrite(F.col("old"), F.col("new"))),
-            "untyped_expression_change",
-            F.concat_ws(".", "relation", "old_column"),
-        ),
-    ]
-    rejected = reasons[0].unionByName(reasons[1]).unionByName(reasons[2])
+    rejected = _rejection(classified.filter(F.col("reason").isNotNull()), F.col("reason"), F.col("detail"))
     if rejections is not None:
         rejected = rejected.unionByName(rejections.select("run_key", "reason", "detail"))
-
+    found = classified.filter(F.col("reason").isNull()).select("run_key", "relation", "change.*")
     accepted = exclude_runs(found, rejected, ["relation", "old_column", "new_column"])
     path = F.lit(source_path) if isinstance(source_path, str) else source_path
     return Diff(finish_changes(accepted.withColumn("source_path", posix_path(path))), rejected)
@@ -508,6 +531,5 @@ __all__ = [
     "removed_relations",
     "schema_diff",
     "severity_key",
-    "spread_join",
     "validate_changes",
 ]

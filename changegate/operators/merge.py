@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from changegate.constants import ASSET_TYPE_RANK, CONFLICT_FACTS, EVIDENCE_FIELDS, STATUS_RANK
 from changegate.operators.score import with_fact_states
+from changegate.session import cut_lineage
 
 ASSET_KEY = ["run_key", "urn"]
 SET_FACTS = {"owners": "has_owners", "assertion_urns": "has_assertions"}
@@ -72,13 +73,14 @@ class Merged:
     members: DataFrame
 
 
-def merge_assets(impacted: DataFrame, members: DataFrame | None = None) -> Merged:
+def merge_assets(impacted: DataFrame, members: DataFrame | None = None, staged: bool = False) -> Merged:
     """Merge the reports of all changes of a run conservatively.
 
     One grouped pass keeps the riskiest type, the nearest hop and three-valued
     flags, and tests all scalar facts for disagreement by minimum, maximum and
     null count.  The list facts stay in long form (``members``): two changes
     agree on a list exactly when every member is reported by all of them.
+    ``staged`` writes the merged rows once for the readers of the three results.
     """
     rows = with_fact_states(impacted)
     if "recent_query_usage_score" not in rows.columns:
@@ -110,6 +112,8 @@ def merge_assets(impacted: DataFrame, members: DataFrame | None = None) -> Merge
     for fact in SET_FACTS:
         partial = F.coalesce(F.col(f"shared_{fact}") < F.col("n_reports"), F.lit(False))
         merged = merged.withColumn(f"differs_{fact}", F.col(f"differs_{fact}") | partial)
+    if staged:
+        merged = cut_lineage(merged)
 
     entries = [
         F.when(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from changegate.plans import diffing
+from changegate.plans import diffing, tracing
 
 FLAGSHIP = "worst_change"
 
-_MODULES = (diffing,)
+_MODULES = (diffing, tracing)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: text for module in _MODULES for name, text in module.ORACLES.items()}

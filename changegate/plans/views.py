@@ -178,7 +178,7 @@ from orders""",
     ),
 }
 
-_WORD = re.compile(r"\b[a-z_]+\b")
+_WORD = re.compile(r"\b[a-z_][a-z_0-9]*\b")
 
 
 def needed(statement: str, views: dict[str, str] | None = None) -> list[str]:

@@ -36,6 +36,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cha
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.driver.bindAddress", "127.0.0.1")
+        .config("spark.driver.host", "127.0.0.1")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
