@@ -214,14 +214,15 @@ def column_reach(
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    known = F.when(F.col("column") != NO_COLUMN, F.col("column"))
-    return out.filter(F.col("urn") != F.col("source_urn")).withColumn("column", known)
+    return out.withColumn("column", F.when(F.col("column") != NO_COLUMN, F.col("column")))
 
 
 def reached_assets(columns: DataFrame) -> DataFrame:
     """One row per source and asset: smallest hop, and whether a column is known."""
-    return columns.groupBy("source_urn", "start_column", "urn").agg(
-        F.min("hop_count").alias("hop_count"), (F.count("column") > 0).alias("has_columns")
+    return (
+        columns.groupBy("source_urn", "start_column", "urn")
+        .agg(F.min("hop_count").alias("hop_count"), (F.count("column") > 0).alias("has_columns"))
+        .filter(F.col("urn") != F.col("source_urn"))
     )
 
 

@@ -57,7 +57,8 @@ def q_downstream_reach_parts(spark, sf_dir):
 
 
 def q_column_reach(spark, sf_dir):
-    return gate.reach_columns(_resolved(spark, sf_dir), load_catalog(spark, sf_dir))
+    reach = gate.cut_lineage(gate.reach_columns(_resolved(spark, sf_dir), load_catalog(spark, sf_dir)))
+    return reach.filter(F.col("urn") != F.col("source_urn"))
 
 
 def q_tag_signals(spark, sf_dir):
@@ -76,7 +77,8 @@ def _staged_context(spark, sf_dir):
 def q_enrich_assets(spark, sf_dir):
     catalog = load_catalog(spark, sf_dir)
     resolved = gate.cut_lineage(_resolved(spark, sf_dir))
-    return gate.enrich_changes(resolved, gate.reach_columns(resolved, catalog), catalog).drop("malformed")
+    columns = gate.cut_lineage(gate.reach_columns(resolved, catalog))
+    return gate.enrich_changes(resolved, columns, catalog).drop("malformed")
 
 
 def q_link_assertions(spark, sf_dir):
