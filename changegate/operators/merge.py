@@ -83,8 +83,6 @@ def merge_assets(impacted: DataFrame, members: DataFrame | None = None, staged:
     ``staged`` writes the merged rows once for the readers of the three results.
     """
     rows = with_fact_states(impacted)
-    if "recent_query_usage_score" not in rows.columns:
-        rows = rows.withColumn("recent_query_usage_score", F.lit(None).cast("int"))
     if members is None:
         members = members_of(impacted)
     rows = rows.withColumn("type_rank", _rank(F.col("asset_type"), ASSET_TYPE_RANK))

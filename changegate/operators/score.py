@@ -43,6 +43,8 @@ def with_fact_states(assets: DataFrame) -> DataFrame:
     for flag, values in (("has_owners", "owners"), ("has_assertions", "assertion_urns")):
         if flag not in out.columns:
             out = out.withColumn(flag, F.when(F.col(values).isNotNull(), F.size(values) > 0))
+    if "recent_query_usage_score" not in out.columns:
+        out = out.withColumn("recent_query_usage_score", F.lit(None).cast("int"))
     return out
 
 

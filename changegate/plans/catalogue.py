@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from changegate.plans import diffing, tracing
+from changegate.plans import diffing, scoring, tracing
 
-FLAGSHIP = "worst_change"
+FLAGSHIP = "gate_decision"
 
-_MODULES = (diffing, tracing)
+_MODULES = (diffing, tracing, scoring)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLES = {name: text for module in _MODULES for name, text in module.ORACLES.items()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from changegate.functions import text
 from changegate.functions.identity import change_id
 from changegate.operators import diff, score
+from changegate.plans.staging import staged
 from changegate.plans.views import table, view, with_clause
 from changegate.policy import Policy
 
@@ -26,6 +27,11 @@ def gate_diff(spark: SparkSession, sf_dir: str) -> diff.Diff:
     return diff.schema_diff(snapshot(spark, sf_dir, "gate_before"), snapshot(spark, sf_dir, "gate_after"))
 
 
+def gate_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes of the many-run snapshots, as input of later operators."""
+    return staged(spark, sf_dir, "changes", lambda: gate_diff(spark, sf_dir).changes)
+
+
 def _flat(changes: DataFrame) -> DataFrame:
     return changes.withColumn("evidence_refs", F.array_join("evidence_refs", ","))
 
@@ -74,17 +80,17 @@ def q_change_ids(spark, sf_dir):
 def q_severity(spark, sf_dir):
     policy = Policy()
     key = diff.severity_key()
-    return gate_diff(spark, sf_dir).changes.select(
+    return gate_changes(spark, sf_dir).select(
         "change_id", key.alias("severity_key"), policy.severity_points(key).alias("severity_points")
     )
 
 
 def q_worst_change(spark, sf_dir):
-    return score.worst_change(gate_diff(spark, sf_dir).changes, Policy())
+    return score.worst_change(gate_changes(spark, sf_dir), Policy())
 
 
 def q_remediation_scope(spark, sf_dir):
-    return score.remediation_scope(gate_diff(spark, sf_dir).changes)
+    return score.remediation_scope(gate_changes(spark, sf_dir))
 
 
 def q_duplicates(spark, sf_dir):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import functions as F
 
 from changegate.operators import lineage
 from changegate.plans import gate
-from changegate.plans.diffing import DIFF_VIEWS, gate_diff
+from changegate.plans.diffing import DIFF_VIEWS, gate_changes
+from changegate.plans.staging import staged
 from changegate.plans.views import table, view, with_clause
 
 
@@ -22,19 +25,49 @@ def load_catalog(spark, sf_dir) -> gate.Catalog:
     )
 
 
-def _resolved(spark, sf_dir):
-    return gate.resolve_changes(gate_diff(spark, sf_dir).changes, load_catalog(spark, sf_dir))
+def resolved_changes(spark, sf_dir):
+    return staged(
+        spark,
+        sf_dir,
+        "resolved",
+        lambda: gate.resolve_changes(gate_changes(spark, sf_dir), load_catalog(spark, sf_dir)),
+    )
+
+
+def reached_columns(spark, sf_dir):
+    return staged(
+        spark,
+        sf_dir,
+        "columns",
+        lambda: gate.reach_columns(resolved_changes(spark, sf_dir), load_catalog(spark, sf_dir)),
+    )
+
+
+def gate_context(spark, sf_dir) -> gate.Context:
+    """The context of all changes, each of its tables written once."""
+    built: list[gate.Context] = []
+
+    def part(name: str):
+        def build():
+            if not built:
+                built.append(gate.collect_context(gate_changes(spark, sf_dir), load_catalog(spark, sf_dir)))
+            return getattr(built[0], name)
+
+        return staged(spark, sf_dir, f"context-{name}", build)
+
+    return gate.Context(*[part(f.name) for f in fields(gate.Context)])
 
 
 def q_resolve_dataset(spark, sf_dir):
-    changes = gate_diff(spark, sf_dir).changes
+    changes = gate_changes(spark, sf_dir)
     return lineage.resolve_dataset(changes, view(spark, sf_dir, "gate_catalog")).select(
         "run_key", "change_id", "source_urn", "catalog_status", "catalog_reason"
     )
 
 
 def q_check_baseline(spark, sf_dir):
-    return _resolved(spark, sf_dir).select(
+    resolved = gate.resolve_changes(gate_changes(spark, sf_dir), load_catalog(spark, sf_dir))
+    return resolved.select(
         "run_key", "change_id", "source_urn", "checked_column", "catalog_status", "catalog_reason"
     )
 
@@ -57,7 +90,9 @@ def q_downstream_reach_parts(spark, sf_dir):
 
 
 def q_column_reach(spark, sf_dir):
-    reach = gate.cut_lineage(gate.reach_columns(_resolved(spark, sf_dir), load_catalog(spark, sf_dir)))
+    reach = gate.cut_lineage(
+        gate.reach_columns(resolved_changes(spark, sf_dir), load_catalog(spark, sf_dir))
+    )
     return reach.filter(F.col("urn") != F.col("source_urn"))
 
 
@@ -69,33 +104,32 @@ def q_owners_state(spark, sf_dir):
     return lineage.owners_state(view(spark, sf_dir, "gate_owner"))
 
 
-def _staged_context(spark, sf_dir):
-    changes = gate.cut_lineage(gate_diff(spark, sf_dir).changes)
-    return gate.collect_context(changes, load_catalog(spark, sf_dir))
-
-
 def q_enrich_assets(spark, sf_dir):
-    catalog = load_catalog(spark, sf_dir)
-    resolved = gate.cut_lineage(_resolved(spark, sf_dir))
-    columns = gate.cut_lineage(gate.reach_columns(resolved, catalog))
-    return gate.enrich_changes(resolved, columns, catalog).drop("malformed")
+    resolved, columns = resolved_changes(spark, sf_dir), reached_columns(spark, sf_dir)
+    return gate.enrich_changes(resolved, columns, load_catalog(spark, sf_dir)).drop("malformed")
 
 
 def q_link_assertions(spark, sf_dir):
-    return _staged_context(spark, sf_dir).links
+    resolved, columns = resolved_changes(spark, sf_dir), reached_columns(spark, sf_dir)
+    enriched = gate.enrich_changes(resolved, columns, load_catalog(spark, sf_dir))
+    return gate.link_changes(resolved, columns, enriched, view(spark, sf_dir, "gate_assertion"))
 
 
 def q_impacted_assets(spark, sf_dir):
     """Reached assets with their facts, and the assertions of the changed datasets."""
-    return _staged_context(spark, sf_dir).impacted
+    return gate.collect_context(gate_changes(spark, sf_dir), load_catalog(spark, sf_dir)).impacted
 
 
 def q_assertion_assets(spark, sf_dir):
-    return _staged_context(spark, sf_dir).impacted.filter(F.col("asset_type") == "assertion")
+    sources = resolved_changes(spark, sf_dir).filter(F.col("source_urn").isNotNull())
+    names = view(spark, sf_dir, "gate_assertion").select("assertion_urn", "name")
+    return lineage.assertion_assets(
+        sources.select("run_key", "change_id", "source_urn"), gate_context(spark, sf_dir).links, names
+    )
 
 
 def q_evidence_states(spark, sf_dir):
-    return _staged_context(spark, sf_dir).states.drop("source_urn")
+    return gate_context(spark, sf_dir).states.drop("source_urn")
 
 
 def q_audit_pages(spark, sf_dir):

@@ -91,7 +91,9 @@ union all
 select {_ORDER_URN.format('o_orderkey')}, cast(null as varchar(10)), {_CUSTOMER_URN}, cast(null as varchar(10))
 from orders join customer on o_custkey = c_custkey
 union all
-select {_CUSTOMER_URN}, cast(null as varchar(10)), {_NATION_URN.format('c_nationkey')}, cast(null as varchar(10)) from customer""",
+select {_CUSTOMER_URN}, cast(null as varchar(10)), {_NATION_URN.format('c_nationkey')}, cast(null as varchar(10)) from customer
+union all
+select {_TABLE_URN.format('k')}, 'c' || p_partkey, {_NATION_URN.format('p_size % 25')}, 'size' from {_GATE_PART} where p_partkey % 9 = 0""",
     "gate_asset": f"""
 select {_CUSTOMER_URN} as urn, c_name as name, c_custkey % 211 <> 0 as ownership_known from customer
 union all
