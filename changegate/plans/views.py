@@ -47,6 +47,15 @@ def _bridge_rows(side: str, role: str, where: str = "true") -> str:
 from {_GATE_PART} where {where}"""
 
 
+def _bridge_nodes(side: str) -> str:
+    """Facts of one side of a rename bridge, with one changed fact in some runs."""
+    odd = lambda n, base: f"'{base}' || case when k % {n} = 0 then '{side}' else '' end"
+    return f"""select 'run:' || k as run_key, 'shop.t' || k as relation, '{side}' as side,
+  {odd(41, 'shop.t')} as relation_identity, {odd(43, 'context')} as query_context_sha256,
+  {odd(47, 'config')} as config_sha256, {odd(53, 'constraint')} as model_constraints_sha256,
+  {odd(59, 'duckdb')} as adapter_type, k % 61 <> 0 as tests_complete from {_GATE_PART} where i = 3"""
+
+
 VIEWS: dict[str, str] = {
     # Two snapshots of 25 relations, one per brand.
     "snap_before": """
@@ -178,6 +187,17 @@ from orders""",
             _bridge_rows("patched", "new", "i = 3"),
         ]
     ),
+    "bridge_rename": f"""
+select 'run:' || k as run_key, 'shop.t' || k as relation, 'c' || p_partkey as old_column, 'c' || p_partkey || '_v2' as new_column,
+  p_type as new_type, p_size % 2 = 0 as new_nullable from {_GATE_PART} where i = 3""",
+    "bridge_node": "\nunion all\n".join(_bridge_nodes(side) for side in ("before", "proposed", "patched")),
+    # Order lines as model tests; some disappear from the patched side.
+    "bridge_model_test": """
+select distinct 'run:' || k as run_key, 'shop.t' || k as relation, s.side, sha256_of as test_sha256
+from (select *, cast(floor(l_partkey / 8) as bigint) as k, l_returnflag || l_linenumber as sha256_of from lineitem) l
+join (select 'O' as status, 'before' as side union all select 'O', 'proposed' union all select 'O', 'patched'
+  union all select 'F', 'patched') s on s.status = l.l_linestatus
+where not (s.side = 'patched' and k % 11 = 0)""",
 }
 
 _WORD = re.compile(r"\b[a-z_][a-z_0-9]*\b")
@@ -205,7 +225,11 @@ def with_clause(statement: str, extra: dict[str, str] | None = None) -> str:
     names = needed(statement, known)
     if not names:
         return statement
-    return "with " + ",\n".join(f"{n} as ({known[n].strip()})" for n in names) + "\n" + statement.strip()
+    body = statement.strip()
+    head = "with " + ",\n".join(f"{n} as ({known[n].strip()})" for n in names)
+    if body.lower().startswith("with "):
+        return head + ",\n" + body[len("with ") :]
+    return head + "\n" + body
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
