@@ -78,7 +78,8 @@ def canonical_type(raw: Column, text_types: bool = True) -> Column:
     upper = F.upper(F.regexp_replace(blank_to_null(raw), r"\s+", " "))
     base = F.rtrim(F.regexp_extract(upper, r"^([^(]*)", 1))
     args = F.regexp_extract(upper, r"(\(.*)$", 1)
-    args = F.regexp_replace(F.regexp_replace(args, r"\s*,\s*", ", "), r"\(\s+|\s+\)", "")
+    args = F.regexp_replace(args, r"\s*,\s*", ", ")
+    args = F.regexp_replace(F.regexp_replace(args, r"\(\s+", "("), r"\s+\)", ")")
     aliases = F.create_map(*[F.lit(x) for pair in TYPE_ALIASES.items() for x in pair])
     named = F.coalesce(F.try_element_at(aliases, base), base)
     spelled = F.concat(named, args)

@@ -151,7 +151,7 @@ def downstream_reach(
 
 
 def column_reach(
-    sources: DataFrame, edges: DataFrame, max_hops: int = DEFAULT_MAX_HOPS, cut_every: int = 4
+    sources: DataFrame, edges: DataFrame, max_hops: int = DEFAULT_MAX_HOPS, staged: bool = True
 ) -> DataFrame:
     """Columns below a start column: (source_urn, start_column, urn, column, hop).
 
@@ -160,39 +160,49 @@ def column_reach(
     is followed: what is not known to be unaffected counts as reached.  Known
     columns meet their own edges and the column-less ones; unknown columns meet
     the wildcard copy of each edge.  All three are one equi join.
+
+    Copies of an edge are removed once, before the first hop.  With ``staged``
+    the distinct edges and each frontier are written out: the size of a frontier
+    is then known before its hop is planned, so a small one is broadcast and the
+    edges are only scanned, and a large one meets them in a shuffle join.
+
+    A cycle may lead back to another column of the start dataset.  Those rows are
+    kept here (they are traced on) and left out by ``reached_assets``.
     """
-    keyed = (
+    stage = cut_lineage if staged else (lambda df: df)
+    unique_edges = stage(
         edges.select(
             F.col("src_urn").alias("urn"),
             F.lower("src_column").alias("src_column"),
             "dst_urn",
             F.lower("dst_column").alias("dst_column"),
-        )
-        .distinct()
-        .select(
-            "urn",
-            F.explode(F.array(F.lit(ANY_COLUMN), F.coalesce("src_column", F.lit(NO_COLUMN)))).alias("key"),
-            "dst_urn",
-            F.when(F.col("src_column").isNotNull(), F.coalesce("dst_column", F.lit(NO_COLUMN)))
-            .otherwise(NO_COLUMN)
-            .alias("dst_column"),
-        )
+        ).distinct()
     )
     # An unknown column is an empty text while tracing, so that the distinct and
     # the anti joins share one partitioning.
+    keyed = unique_edges.select(
+        "urn",
+        F.explode(F.array(F.lit(ANY_COLUMN), F.coalesce("src_column", F.lit(NO_COLUMN)))).alias("key"),
+        "dst_urn",
+        F.when(F.col("src_column").isNotNull(), F.coalesce("dst_column", F.lit(NO_COLUMN)))
+        .otherwise(NO_COLUMN)
+        .alias("dst_column"),
+    )
     start = F.coalesce(F.lower("start_column"), F.lit(NO_COLUMN))
     item = ["source_urn", "start_column", "urn", "column"]
-    frontier = (
+    frontier = stage(
         sources.select("source_urn", start.alias("start_column"))
         .distinct()
-        .select("source_urn", "start_column", F.col("source_urn").alias("urn"), F.col("start_column").alias("column"))
+        .select(
+            "source_urn", "start_column", F.col("source_urn").alias("urn"), F.col("start_column").alias("column")
+        )
     )
     visited = [frontier]
     found = []
+    keys = F.when(F.col("column") != NO_COLUMN, F.array(F.col("column"), F.lit(NO_COLUMN))).otherwise(
+        F.array(F.lit(ANY_COLUMN))
+    )
     for hop in range(1, max_hops + 1):
-        keys = F.when(
-            F.col("column") != NO_COLUMN, F.array(F.col("column"), F.lit(NO_COLUMN))
-        ).otherwise(F.array(F.lit(ANY_COLUMN)))
         step = (
             frontier.withColumn("key", F.explode(keys))
             .join(keyed, ["urn", "key"])
@@ -206,8 +216,7 @@ def column_reach(
         )
         for seen in visited:
             step = step.join(seen, item, "left_anti")
-        if hop % cut_every == 0 and hop < max_hops:
-            step = cut_lineage(step)
+        step = stage(step)
         visited.append(step)
         found.append(step.withColumn("hop_count", F.lit(hop)))
         frontier = step

@@ -50,11 +50,17 @@ BAD_SUFFIXES = (".duckdb", ".sqlite", ".pyc")
 CHECKSUM_LINE = r"^([0-9a-f]{64})  ([^\r\n]+)\z"
 PNG_SIGNATURE = "89504E470D0A1A0A"
 
-# Cheap text that must be present before a pattern can match: most documents
-# have none, and are then passed over without running the pattern.
-_SHAPE_HINTS = ("PRIVATE KEY-----", "sk-proj-", "ghp_", None, None, "eyJ")
-_NAME_HINT = r"(?i)token|password|api[_-]?key|secret"
-_KEY_HINT = r"AKIA|ASIA|(?i:dhpat|datahub)"
+# Cheap text that must be present (in lower case) before a pattern can match:
+# most documents have none, and are then passed over without running the pattern.
+_SHAPE_HINTS = (
+    ("private key-----",),
+    ("sk-proj-",),
+    ("ghp_",),
+    ("dhpat", "datahub"),
+    ("akia", "asia"),
+    ("eyj",),
+)
+_NAME_HINTS = ("token", "password", "apikey", "api_key", "api-key", "secret")
 
 NO_MATCHES = "array<string>"
 
@@ -68,6 +74,14 @@ def _ascii_boundaries(pattern: str) -> str:
     return pattern.replace(r"\b", edge)
 
 
+def _any_word(text: Column, words: tuple[str, ...]) -> Column:
+    lowered = F.lower(text)
+    hit = F.lit(False)
+    for word in words:
+        hit = hit | lowered.contains(word)
+    return hit
+
+
 def _count(text: Column, pattern: str, hint: Column) -> Column:
     return F.when(hint, F.regexp_count(text, F.lit(_ascii_boundaries(pattern)))).otherwise(0)
 
@@ -86,11 +100,12 @@ def _total(counts: list[Column]) -> Column:
 
 def secret_hits(text: Column) -> tuple[Column, Column]:
     """(raw, kept) counts: values that carry a placeholder word are not kept."""
-    hints = [text.contains(h) if h else text.rlike(_KEY_HINT) for h in _SHAPE_HINTS]
-    shapes = _total([_count(text, p, h) for p, h in zip(SECRET_SHAPES, hints, strict=True)])
+    shapes = _total(
+        [_count(text, p, _any_word(text, h)) for p, h in zip(SECRET_SHAPES, _SHAPE_HINTS, strict=True)]
+    )
     valued = F.concat(
-        _matches(text, BEARER_VALUE, text.rlike("(?i)bearer")),
-        _matches(text, NAMED_SECRET, text.rlike(_NAME_HINT)),
+        _matches(text, BEARER_VALUE, _any_word(text, ("bearer",))),
+        _matches(text, NAMED_SECRET, _any_word(text, _NAME_HINTS)),
     )
 
     def real(value: Column) -> Column:

@@ -110,7 +110,7 @@ def link_changes(
 def collect_context(changes: DataFrame, catalog: Catalog, max_hops: int = DEFAULT_MAX_HOPS) -> Context:
     """Resolve, trace, enrich and link all changes of all runs together."""
     resolved = cut_lineage(resolve_changes(changes, catalog))
-    columns = cut_lineage(reach_columns(resolved, catalog, max_hops))
+    columns = reach_columns(resolved, catalog, max_hops)  # already written hop by hop
     enriched = cut_lineage(enrich_changes(resolved, columns, catalog))
     ownership = lineage.ownership_status(resolved, enriched)
     kept = lineage.drop_unavailable(enriched, ownership)

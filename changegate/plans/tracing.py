@@ -90,9 +90,7 @@ def q_downstream_reach_parts(spark, sf_dir):
 
 
 def q_column_reach(spark, sf_dir):
-    reach = gate.cut_lineage(
-        gate.reach_columns(resolved_changes(spark, sf_dir), load_catalog(spark, sf_dir))
-    )
+    reach = gate.reach_columns(resolved_changes(spark, sf_dir), load_catalog(spark, sf_dir))
     return reach.filter(F.col("urn") != F.col("source_urn"))
 
 
