@@ -164,7 +164,8 @@ from lineitem""",
     "result_page": """
 select conv_id as request_id, cast(turn as int) as page_no, turn as page_offset, cast(1 as bigint) as returned,
   total, turn + 1 < total as has_more
-from (select conv_id, turn, count(*) over (partition by conv_id) as total from conversations) c
+from (select c.conv_id, c.turn, t.total from conversations c
+  join (select conv_id, count(*) as total from conversations group by conv_id) t on t.conv_id = c.conv_id) c
 where not (conv_id % 10 = 0 and turn = 1)""",
     "result_item": """
 select conv_id as request_id, cast(turn as int) as page_no,

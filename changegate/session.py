@@ -37,6 +37,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cha
         .config("spark.driver.memory", "16g")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
+        # Do not record a Python call site for every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
@@ -49,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder; on a cluster a
     machine-local path would lose data with the executor that wrote it.
     """
-    named = spark.conf.get(CHECKPOINT_CONF, None)
+    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):

@@ -1,4 +1,5 @@
 import hashlib
+from decimal import Decimal
 
 import pytest
 from helpers import collect
@@ -127,7 +128,7 @@ def test_text_functions(rows):
 
 def test_quality(rows):
     staged = rows("order_date string, currency string, status string, order_total decimal(12,2)", [
-        ("d1", "GBP", "completed", None), ("d1", "GBP", "completed", 3), ("d2", "GBP", "pending", 9)])
+        ("d1", "GBP", "completed", None), ("d1", "GBP", "completed", Decimal(3)), ("d2", "GBP", "pending", Decimal(9))])
     mart = quality.daily_revenue(staged)
     assert collect(mart, "order_date", "order_count") == [("d1", 2)]
     assert quality.reconcile(mart, mart, ["order_date", "currency"], ["order_count", "gross_revenue"]).count() == 0
@@ -139,10 +140,24 @@ def test_quality(rows):
     assert collect(report) == [("nn", 2, "fail"), ("uq", 1, "fail")]
 
 
-def test_stages_go_to_the_named_folder(spark, rows, tmp_path):
-    assert shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert cut_lineage(rows("k int", [(1,)])).inputFiles()[0].startswith(f"file://{tmp_path}")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+class Named:
+    """A session that names a shared folder, on a cluster or not."""
+
+    def __init__(self, folder, master):
+        self.folder, self.sparkContext, self.conf = folder, self, self
+        self.master, self.applicationId = master, "app"
+
+    def get(self, key, default):
+        return self.folder if key == "spark.checkpoint.dir" else default
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_stages_go_to_the_named_folder(spark, rows):
+    assert shared_dir(Named("hdfs:///shared", "yarn")) == "hdfs:///shared"
+    assert shared_dir(Named(None, "local[2]"))
+    with pytest.raises(ValueError):
+        shared_dir(Named(None, "spark://host:7077"))
+    staged = cut_lineage(rows("k int", [(1,), (2,)]))
+    assert staged.count() == 2 and shared_dir(spark) in staged.inputFiles()[0]
