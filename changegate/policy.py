@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import Column
@@ -116,7 +116,3 @@ def load_policy(path: str | Path) -> Policy:
         except json.JSONDecodeError as exc:
             raise PolicyError("no YAML reader is installed; give the policy as JSON") from exc
     return policy_from_mapping(payload)
-
-
-def policy_digest_payload(policy: Policy) -> dict:
-    return {f.name: getattr(policy, f.name) for f in fields(policy)}

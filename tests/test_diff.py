@@ -73,6 +73,15 @@ def test_manifest_diff_in_canonical_order(spark, rows):
     assert {r.relation for r in found.changes.collect()} == {'"analytics"."sales"'}
 
 
+def test_manifest_files_become_runs(spark, tmp_path):
+    for name, body in (("one", manifest([("id", "bigint", False)])), ("two", '{"metadata": {}}'), ("three", "[1]")):
+        (tmp_path / f"{name}.json").write_text(body)
+    docs = manifests.read_manifests(spark, str(tmp_path), r"regexp_extract(path, '([a-z]+)[.]json$', 1)", "before")
+    parsed = manifests.parse_manifests(docs)
+    assert collect(parsed.nodes, "run_key", "relation") == [("one", '"analytics"."sales"')]
+    assert collect(parsed.rejections, "run_key", "reason") == [("three", "manifest_invalid"), ("two", "manifest_invalid")]
+
+
 def test_ambiguous_expressions_stay_drops_and_adds(rows):
     before = snapshot(rows, [("r", "t", c, "int", None, i, "x") for i, c in enumerate(["a1", "a2"])])
     after = snapshot(rows, [("r", "t", c, "int", None, i, "x") for i, c in enumerate(["b1", "b2"])])
