@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 16
+MIN_SALTS, MAX_SALTS = 8, 256
 _SALT = "_salt"
 
 
+def salts_for(spark: SparkSession) -> int:
+    """A quarter of the shuffle partitions: what one hot key may spread over.
+
+    The bounds keep a small session from copying for nothing and a large one
+    from copying the one-row-per-key side more than 256 times; beyond that AQE
+    splits the salted partitions of a hot key further.
+    """
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_SALTS, max(MIN_SALTS, partitions // 4))
+
+
 def spread_join(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
     how: str,
     spread_on: list[str],
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join a large left side with a right side of at most one row per key.
 
@@ -24,6 +35,8 @@ def spread_join(
     No size is assumed: if the right side turns out small, AQE still replaces
     the shuffle join by a broadcast.
     """
+    if salts is None:
+        salts = salts_for(left.sparkSession)
     salted = left.withColumn(_SALT, F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int"))
     fanned = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(fanned, [*keys, _SALT], how).drop(_SALT)
