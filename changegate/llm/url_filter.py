@@ -43,7 +43,7 @@ RULES = (
 STRICT = ("xxx", "porn", "hentai", "casino", "gambling", "viagra", "escort", "warez", "camgirls")
 SOFT = (
     "sex", "adult", "nude", "poker", "bet", "betting", "slots", "pills", "cheap", "win", "bonus", "dating", "loan", "free",
-    "replica", "torrent", "keygen", "hot",
+    "replica", "torrent", "keygen", "hot", "bets", "spam", "ads", "track", "farm", "x",
 )
 PRODUCTION = UrlPolicy(RULES, STRICT, SOFT)
 
