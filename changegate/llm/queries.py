@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changegate.llm import byte_bpe, quality, token_count, toxicity, url_filter
+from changegate.llm import byte_bpe, quality, sharding, token_count, toxicity, url_filter
 from changegate.llm.common import read_table
 
 
@@ -24,11 +24,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_token_counts, op4_byte_bpe, op5_quality_rules, op8_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_token_counts, op4_byte_bpe, op5_quality_rules, op7_sharding, op8_toxicity)}
 
 # Where SQL has no such operation, the query has no entry here; tests hold it against a brute-force version.
 ORACLES = {"op1_url_filter": url_filter.oracle_sql()}

@@ -40,10 +40,10 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-STRICT = ("xxx", "porn", "hentai", "casino", "gambling", "viagra", "escort", "warez", "camgirls")
+STRICT = ("xxx", "adult", "porn", "hentai", "casino", "gambling", "viagra", "escort", "warez", "camgirls")
 SOFT = (
-    "sex", "adult", "nude", "poker", "bet", "betting", "slots", "pills", "cheap", "win", "bonus", "dating", "loan", "free",
-    "replica", "torrent", "keygen", "hot", "bets", "spam", "ads", "track", "farm", "x",
+    "sex", "nude", "poker", "bet", "betting", "slots", "pills", "cheap", "win", "bonus", "dating", "loan", "free",
+    "replica", "torrent", "keygen", "hot", "bets", "spam", "ads", "track", "farm",
 )
 PRODUCTION = UrlPolicy(RULES, STRICT, SOFT)
 
