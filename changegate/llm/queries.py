@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changegate.llm import byte_bpe, quality, sharding, simhash, token_count, toxicity, url_filter
+from changegate.llm import byte_bpe, packing, quality, sharding, simhash, token_count, toxicity, url_filter
 from changegate.llm.common import read_table
 
 
@@ -36,7 +36,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_token_counts, op4_byte_bpe, op5_quality_rules, op7_sharding, op8_toxicity, op9_simhash)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_token_counts, op4_byte_bpe, op5_quality_rules, op7_sharding, op8_toxicity, op9_simhash, op10_packing)}
 
 # Where SQL has no such operation, the query has no entry here; tests hold it against a brute-force version.
 ORACLES = {"op1_url_filter": url_filter.oracle_sql()}

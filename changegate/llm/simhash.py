@@ -89,7 +89,7 @@ def bit_planes(values: np.ndarray) -> np.ndarray:
     padded = np.zeros(width * 64, dtype=np.uint64)
     padded[: len(values)] = values
     bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8").astype(np.uint64)
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").copy().view("<u8")
 
 
 def within(planes: np.ndarray, value: int, radius: int, first: int = 0) -> np.ndarray:
