@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changegate.llm import byte_bpe, packing, quality, sharding, simhash, token_count, toxicity, url_filter
+from changegate.llm import byte_bpe, cover_tree, html_text, packing, quality, sharding, simhash, token_count, toxicity, url_filter
 from changegate.llm.common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -40,7 +48,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_token_counts, op4_byte_bpe, op5_quality_rules, op7_sharding, op8_toxicity, op9_simhash, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter, op2_topk, op3_token_counts, op4_byte_bpe, op5_quality_rules, op6_html_text, op7_sharding, op8_toxicity,
+        op9_simhash, op10_packing,
+    )
+}
 
 # Where SQL has no such operation, the query has no entry here; tests hold it against a brute-force version.
-ORACLES = {"op1_url_filter": url_filter.oracle_sql()}
+ORACLES = {"op1_url_filter": url_filter.oracle_sql(), "op2_topk": cover_tree.oracle_sql()}
