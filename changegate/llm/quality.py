@@ -20,6 +20,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -247,8 +248,6 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     The texts are read twice, once for the counts of votes and once to filter, and never shuffled.
     """
-    import pandas as pd
-
     text = f"cast(`{text_col}` as string) as text"
     quality = posteriors(arrow_map(docs.selectExpr("cast(null as bigint) as doc_id", text), _features, FEATURE_SCHEMA))
     kept = frozenset(code for code, value in quality.items() if value >= KEEP_AT)

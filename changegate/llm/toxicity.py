@@ -30,6 +30,7 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -423,8 +424,6 @@ def toxic_spans(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", t
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not predicted toxic."""
-    import pandas as pd
-
     model = train(docs, labels, id_col, text_col)
 
     @F.pandas_udf("boolean")
