@@ -43,6 +43,7 @@ PREFIXES = (3, 4, 5, 6, 7)
 MIN_CONTEXTS, MIN_LIFT = 5, 12.0  # what makes a form toxic: distinct neighbourhoods, and how much more often in toxic texts
 ROUNDS, RATE, PENALTY = 60, 0.5, 1e-3
 MAX_KNOWN_WORDS = 300_000
+LIKELY = 0.3  # tags from here on count towards a document's score
 
 _WORD = re.compile(r"\w+")
 
@@ -177,8 +178,11 @@ UNUSABLE = ToxicityModel({}, 0.0, [[1.0, 1.0], [1.0, 1.0]], [0.5, 0.5], [0.0, 0.
 
 
 def evidence(p: np.ndarray) -> tuple[float, float]:
-    """What a document's tags say: the strongest one, and how many there are on a log scale."""
-    return (float(p.max()), math.log1p(float(p.sum()))) if len(p) else (0.0, 0.0)
+    """What a document's tags say: the strongest one, and how many likely ones there are on a log scale.
+
+    Unlikely ones are left out, or the mere length of a text would count.
+    """
+    return (float(p.max()), math.log1p(float(p[p >= LIKELY].sum()))) if len(p) else (0.0, 0.0)
 
 
 def toxic_forms(texts: list[list[str]], toxic: list[bool]) -> set[str]:
