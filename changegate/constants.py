@@ -58,8 +58,6 @@ ASSET_TYPE_PREFIXES = {
     "urn:li:assertion:": "assertion",
 }
 
-# Decisions in rising order.
-DECISION_RANK = {"PASS": 0, "REVIEW": 1, "BLOCK": 2}
 GATE_DECISIONS = ("PASS", "PASS_WITH_REMEDIATION", "REVIEW", "BLOCK")
 
 # Facts compared when one asset is reported by several changes,
@@ -74,7 +72,3 @@ CONFLICT_FACTS = (
     ("direct_column_lineage", "lineage", "lineage"),
     ("recent_query_usage_score", "usage", "catalog"),
 )
-
-DEFAULT_MAX_HOPS = 3
-PAGE_WINDOW = 100
-MAX_PAGES = 10

@@ -51,27 +51,19 @@ def row_digest(columns: list[str]) -> Column:
     return F.sha2(canonical_json(**{name: F.col(name) for name in columns}), 256)
 
 
+LANES = 8  # 32-bit parts of a row's digest
+
+
 def content_digest(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One SHA-256 per key over an unordered multiset of rows.
+    """One SHA-256 per key over an unordered multiset of rows, in one shuffle.
 
-    Equal rows are counted before anything is gathered, so a group of copies
-    costs one entry.  Distinct row digests are then folded in three levels by
-    digest prefix: a hot key is spread over 65,536 leaves and no task ever holds
-    more than one leaf of it.
+    The eight 32-bit lanes of every row's SHA-256 are summed on their own, exactly, and the digest is taken over the row count
+    and the eight sums.  Sums do not depend on the order, count copies, and combine in the map tasks, so a hot key costs no
+    more than one small row per task.  Lists of sums of different multisets that are equal would need a collision of the
+    summed digests.
     """
+    lane = lambda i: F.conv(F.substring("_row", 8 * i + 1, 8), 16, 10).cast("decimal(28,0)")
     rows = df.select(*keys, row_digest(columns).alias("_row"))
-    counted = rows.groupBy(*keys, "_row").agg(F.count(F.lit(1)).alias("_n"))
-    entry = F.concat_ws(":", F.col("_row"), F.col("_n").cast("string"))
-    leaves = counted.groupBy(*keys, F.substring("_row", 1, 4).alias("_leaf")).agg(
-        _fold(entry).alias("_digest"), F.sum("_n").alias("_n")
-    )
-    nodes = leaves.groupBy(*keys, F.substring("_leaf", 1, 2).alias("_node")).agg(
-        _fold(F.concat_ws(":", "_leaf", "_digest")).alias("_digest"), F.sum("_n").alias("_n")
-    )
-    return nodes.groupBy(*keys).agg(
-        _fold(F.concat_ws(":", "_node", "_digest")).alias("sha256"), F.sum("_n").alias("row_count")
-    )
-
-
-def _fold(entry: Column) -> Column:
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256)
+    summed = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), *[F.sum(lane(i)).alias(f"_lane{i}") for i in range(LANES)])
+    parts = [F.col("row_count").cast("string"), *[F.col(f"_lane{i}").cast("string") for i in range(LANES)]]
+    return summed.select(*keys, F.sha2(F.concat_ws(":", *parts), 256).alias("sha256"), "row_count")

@@ -17,7 +17,7 @@ from changegate.constants import (
 )
 from changegate.functions.identity import change_id
 from changegate.functions.text import normalize_identifier, posix_path
-from changegate.operators.skew import exclude_runs
+from changegate.operators.skew import even_join, exclude_runs
 from changegate.session import cut_lineage
 
 COLUMN_KEY = ["run_key", "relation", "column_name"]
@@ -328,6 +328,27 @@ _CHANGE_TYPE = (
 )
 
 
+def classified_rows(
+    before: DataFrame, after: DataFrame, before_nodes: DataFrame | None = None, after_nodes: DataFrame | None = None
+) -> DataFrame:
+    """Every change and every reason for rejection, before whole sets are rejected."""
+    relations = _relation_sides(
+        before if before_nodes is None else before_nodes,
+        after if after_nodes is None else after_nodes,
+    )
+    # Columns of a relation that only exists afterwards are no change.
+    only_new = relations.filter(~F.col("in_before")).select("run_key", "relation")
+    classified = even_join(classify_columns(pair_columns(before, after)), only_new, ["run_key", "relation"], "left_anti")
+    gone = relations.filter(F.col("in_before") & ~F.col("in_after")).select(
+        "run_key",
+        "relation",
+        F.col("relation").alias("detail"),
+        F.lit(None).cast(_CHANGE_TYPE).alias("change"),
+        F.lit("removed_relation").alias("reason"),
+    )
+    return classified.unionByName(gone)
+
+
 def schema_diff(
     before: DataFrame,
     after: DataFrame,
@@ -344,23 +365,7 @@ def schema_diff(
     and rejections have several readers, so by default the (small) classified
     rows are written once to the shared folder instead of comparing twice.
     """
-    relations = _relation_sides(
-        before if before_nodes is None else before_nodes,
-        after if after_nodes is None else after_nodes,
-    )
-    # Columns of a relation that only exists afterwards are no change.
-    only_new = relations.filter(~F.col("in_before")).select("run_key", "relation")
-    classified = classify_columns(pair_columns(before, after)).join(
-        only_new, ["run_key", "relation"], "left_anti"
-    )
-    gone = relations.filter(F.col("in_before") & ~F.col("in_after")).select(
-        "run_key",
-        "relation",
-        F.col("relation").alias("detail"),
-        F.lit(None).cast(_CHANGE_TYPE).alias("change"),
-        F.lit("removed_relation").alias("reason"),
-    )
-    classified = classified.unionByName(gone)
+    classified = classified_rows(before, after, before_nodes, after_nodes)
     if staged:
         classified = cut_lineage(classified)
 
@@ -368,7 +373,7 @@ def schema_diff(
     if rejections is not None:
         rejected = rejected.unionByName(rejections.select("run_key", "reason", "detail"))
     found = classified.filter(F.col("reason").isNull()).select("run_key", "relation", "change.*")
-    accepted = exclude_runs(found, rejected, ["relation", "old_column", "new_column"])
+    accepted = exclude_runs(found, rejected)
     path = F.lit(source_path) if isinstance(source_path, str) else source_path
     return Diff(finish_changes(accepted.withColumn("source_path", posix_path(path))), rejected)
 
@@ -514,7 +519,7 @@ def changes_from_ddl_log(actions: DataFrame, source_path: str = "<sql>") -> Diff
         )
     )
     good = staged.filter("_ok").select("run_key", "relation", F.inline(F.array(change)))
-    accepted = exclude_runs(good, rejected, ["relation", "old_column", "new_column"])
+    accepted = exclude_runs(good, rejected)
     return Diff(finish_changes(accepted.withColumn("source_path", posix_path(F.lit(source_path)))), rejected)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from changegate.functions.identity import content_digest, row_digest
 from changegate.functions.text import type_fingerprint
 from changegate.operators.diff import Diff, schema_diff
-from changegate.operators.skew import spread_join
+from changegate.operators.skew import even_join
 
 SIDES = ("before", "proposed", "patched")
 RELATION_KEY = ["run_key", "relation"]
@@ -66,7 +66,7 @@ def interface_check(
     test_sha256.  All rules of a relation come from one grouped pass over its
     columns; position rules use ordinals, so no column list is gathered.
     """
-    sided = spread_join(pivot_sides(columns), renames, RELATION_KEY, "inner", ["column_name"])
+    sided = even_join(pivot_sides(columns), renames, RELATION_KEY, "inner")
     b, p, q = (F.col(s) for s in SIDES)
     is_old = F.col("column_name") == F.col("old_column")
     is_new = F.col("column_name") == F.col("new_column")

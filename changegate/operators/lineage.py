@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changegate.constants import ADDITIVE_TYPES, DEFAULT_MAX_HOPS, MAX_PAGES, PAGE_WINDOW
+from changegate.constants import ADDITIVE_TYPES
 from changegate.functions.text import asset_type, dataset_name, type_fingerprint, valid_urn
-from changegate.operators.skew import spread_join
-from changegate.session import cut_lineage
+from changegate.operators.skew import even_join
+from changegate.session import fresh_path
 
 CHANGE_KEY = ["run_key", "change_id"]
 # Join keys of the column match: no column stated, and any column.
@@ -30,7 +33,7 @@ def resolve_dataset(changes: DataFrame, catalog: DataFrame, candidates: DataFram
         F.count_distinct("urn").alias("n_exact"), F.min("urn").alias("exact_urn")
     )
     normal = F.lower(F.replace(F.col("relation"), F.lit('"'), F.lit("")))
-    out = changes.withColumn("full_name", normal).join(exact, "full_name", "left")
+    out = even_join(changes.withColumn("full_name", normal), exact, ["full_name"], "left")
     if candidates is None:
         near = named.groupBy(F.element_at(F.split("full_name", r"\."), -1).alias("near_key")).agg(
             F.count(F.lit(1)).alias("n_near")
@@ -39,7 +42,7 @@ def resolve_dataset(changes: DataFrame, catalog: DataFrame, candidates: DataFram
     else:
         near = candidates.groupBy(F.col("relation").alias("near_key")).agg(F.count(F.lit(1)).alias("n_near"))
         out = out.withColumn("near_key", F.col("relation"))
-    out = out.join(near, "near_key", "left")
+    out = even_join(out, near, ["near_key"], "left")
 
     direct = F.col("relation").startswith("urn:li:dataset:")
     direct_ok = direct & dataset_name(F.col("relation")).isNotNull()
@@ -72,16 +75,12 @@ def check_baseline(resolved: DataFrame, fields: DataFrame, listing: DataFrame |
         F.col("urn").alias("source_urn"), F.lower("field_path").alias("field_key")
     ).agg(F.count(F.lit(1)).alias("n_match"), F.max("native_type").alias("native_type"))
     per_dataset = one.groupBy("source_urn").agg(F.sum("n_match").alias("n_fields"))
-    out = (
-        resolved.withColumn("checked_column", changed_column())
-        .withColumn("field_key", F.lower("checked_column"))
-        .join(one, ["source_urn", "field_key"], "left")
-        .join(per_dataset, "source_urn", "left")
-    )
+    named = resolved.withColumn("checked_column", changed_column()).withColumn("field_key", F.lower("checked_column"))
+    out = even_join(even_join(named, one, ["source_urn", "field_key"], "left"), per_dataset, ["source_urn"], "left")
     exhausted = F.lit(True)
     if listing is not None:
         read = listing.groupBy(F.col("urn").alias("source_urn")).agg(F.bool_and("exhausted").alias("exhausted"))
-        out = out.join(read, "source_urn", "left")
+        out = even_join(out, read, ["source_urn"], "left")
         exhausted = F.coalesce("exhausted", F.lit(False))
 
     n_match = F.coalesce("n_match", F.lit(0))
@@ -117,113 +116,98 @@ def check_baseline(resolved: DataFrame, fields: DataFrame, listing: DataFrame |
     )
 
 
-def downstream_reach(
-    sources: DataFrame, edges: DataFrame, max_hops: int = DEFAULT_MAX_HOPS, cut_every: int = 4
-) -> DataFrame:
-    """Assets below each source with their smallest hop, 1 to ``max_hops``.
+@dataclass(frozen=True)
+class Reach:
+    """What was reached, and the sources whose trace a bound on the hops cut off."""
+
+    rows: DataFrame
+    truncated: DataFrame
+
+
+def _trace(start: DataFrame, expand: Callable[[DataFrame], DataFrame], source: list[str], max_hops: int | None) -> Reach:
+    """Breadth-first trace of all sources together, to the end or to ``max_hops``.
 
-    All sources are traced together; (source, urn) is the key of the visited
-    set, so results never mix.  Each hop is one equi join and one distinct that
-    is already partitioned for the anti joins with the earlier hops.  Every
-    ``cut_every`` hops the frontier is written out to bound the plan.
+    Every hop is written to a folder of its own.  The next one starts from a frontier of known size and leaves out all
+    earlier hops with one anti join against the whole folder, so the plan of a hop does not grow with its number, and a lost
+    executor costs one hop.
     """
-    links = edges.select(F.col("src_urn").alias("urn"), "dst_urn").distinct()
-    frontier = sources.select("source_urn", F.col("source_urn").alias("urn")).distinct()
-    visited = [frontier]
-    found = []
-    for hop in range(1, max_hops + 1):
-        step = (
-            frontier.join(links, "urn")
-            .select("source_urn", F.col("dst_urn").alias("urn"))
-            .distinct()
-        )
-        for seen in visited:
-            step = step.join(seen, ["source_urn", "urn"], "left_anti")
-        if hop % cut_every == 0 and hop < max_hops:
-            step = cut_lineage(step)
-        visited.append(step)
-        found.append(step.withColumn("hop_count", F.lit(hop)))
-        frontier = step
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def column_reach(
-    sources: DataFrame, edges: DataFrame, max_hops: int = DEFAULT_MAX_HOPS, staged: bool = True
-) -> DataFrame:
-    """Columns below a start column: (source_urn, start_column, urn, column, hop).
+    spark, item = start.sparkSession, start.columns
+    folder = fresh_path(spark, "reach")
+    start.distinct().write.parquet(f"{folder}/hop_count=0")
+    hop, open_sources = 0, None
+    while True:
+        frontier = spark.read.schema(start.schema).parquet(f"{folder}/hop_count={hop}")
+        if hop and frontier.isEmpty():
+            break
+        visited = spark.read.schema(start.schema).parquet(*[f"{folder}/hop_count={h}" for h in range(hop + 1)])
+        step = expand(frontier).select(*item).distinct().join(visited, item, "left_anti")
+        if hop == max_hops:
+            open_sources = step.select(*source).distinct()
+            break
+        hop += 1
+        step.write.parquet(f"{folder}/hop_count={hop}")
+    rows = spark.read.schema(f"{_ddl(start)}, hop_count int").parquet(folder).filter("hop_count > 0")
+    return Reach(rows, start.select(*source).filter(F.lit(False)) if open_sources is None else open_sources)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
+
+
+def downstream_reach(sources: DataFrame, edges: DataFrame, max_hops: int | None = None) -> Reach:
+    """Assets below each source with their smallest hop: (source_urn, urn, hop_count).
+
+    All sources are traced together; (source, urn) is the key of what was visited, so results never mix.
+    """
+    links = edges.select(F.col("src_urn").alias("urn"), "dst_urn")
+
+    def expand(frontier: DataFrame) -> DataFrame:
+        return frontier.join(links, "urn").select("source_urn", F.col("dst_urn").alias("urn"))
+
+    return _trace(sources.select("source_urn", F.col("source_urn").alias("urn")), expand, ["source_urn"], max_hops)
+
+
+def column_reach(sources: DataFrame, edges: DataFrame, max_hops: int | None = None) -> Reach:
+    """Columns below a start column: (source_urn, start_column, urn, column, hop_count).
 
     An edge without a source column carries every column of its dataset, and an
     asset reached through one has an unknown (null) column from which every edge
     is followed: what is not known to be unaffected counts as reached.  Known
     columns meet their own edges and the column-less ones; unknown columns meet
-    the wildcard copy of each edge.  All three are one equi join.
-
-    Copies of an edge are removed once, before the first hop.  With ``staged``
-    the distinct edges and each frontier are written out: the size of a frontier
-    is then known before its hop is planned, so a small one is broadcast and the
-    edges are only scanned, and a large one meets them in a shuffle join.
+    the wildcard copy of each edge.  All three are one equi join, over only those
+    edges that leave a dataset of the frontier.
 
     A cycle may lead back to another column of the start dataset.  Those rows are
     kept here (they are traced on) and left out by ``reached_assets``.
     """
-    stage = cut_lineage if staged else (lambda df: df)
-    unique_edges = stage(
-        edges.select(
-            F.col("src_urn").alias("urn"),
-            F.lower("src_column").alias("src_column"),
-            "dst_urn",
-            F.lower("dst_column").alias("dst_column"),
-        ).distinct()
-    )
     # An unknown column is an empty text while tracing, so that the distinct and
-    # the anti joins share one partitioning.
-    keyed = unique_edges.select(
-        "urn",
-        F.explode(F.array(F.lit(ANY_COLUMN), F.coalesce("src_column", F.lit(NO_COLUMN)))).alias("key"),
+    # the anti join share one partitioning.
+    plain = edges.select(
+        F.col("src_urn").alias("urn"),
+        F.array(F.lit(ANY_COLUMN), F.coalesce(F.lower("src_column"), F.lit(NO_COLUMN))).alias("edge_keys"),
         "dst_urn",
-        F.when(F.col("src_column").isNotNull(), F.coalesce("dst_column", F.lit(NO_COLUMN)))
+        F.when(F.col("src_column").isNotNull(), F.coalesce(F.lower("dst_column"), F.lit(NO_COLUMN)))
         .otherwise(NO_COLUMN)
         .alias("dst_column"),
     )
     start = F.coalesce(F.lower("start_column"), F.lit(NO_COLUMN))
-    item = ["source_urn", "start_column", "urn", "column"]
-    frontier = stage(
-        sources.select("source_urn", start.alias("start_column"))
-        .distinct()
-        .select(
-            "source_urn", "start_column", F.col("source_urn").alias("urn"), F.col("start_column").alias("column")
-        )
-    )
-    visited = [frontier]
-    found = []
-    keys = F.when(F.col("column") != NO_COLUMN, F.array(F.col("column"), F.lit(NO_COLUMN))).otherwise(
-        F.array(F.lit(ANY_COLUMN))
-    )
-    for hop in range(1, max_hops + 1):
-        step = (
+    known = F.col("column") != NO_COLUMN
+    keys = F.when(known, F.array(F.col("column"), F.lit(NO_COLUMN))).otherwise(F.array(F.lit(ANY_COLUMN)))
+
+    def expand(frontier: DataFrame) -> DataFrame:
+        leaving = plain.join(frontier.select("urn").distinct(), "urn", "left_semi")
+        keyed = leaving.select("urn", F.explode("edge_keys").alias("key"), "dst_urn", "dst_column")
+        return (
             frontier.withColumn("key", F.explode(keys))
             .join(keyed, ["urn", "key"])
-            .select(
-                "source_urn",
-                "start_column",
-                F.col("dst_urn").alias("urn"),
-                F.col("dst_column").alias("column"),
-            )
-            .distinct()
+            .select("source_urn", "start_column", F.col("dst_urn").alias("urn"), F.col("dst_column").alias("column"))
         )
-        for seen in visited:
-            step = step.join(seen, item, "left_anti")
-        step = stage(step)
-        visited.append(step)
-        found.append(step.withColumn("hop_count", F.lit(hop)))
-        frontier = step
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.withColumn("column", F.when(F.col("column") != NO_COLUMN, F.col("column")))
+
+    first = sources.select("source_urn", start.alias("start_column")).select(
+        "source_urn", "start_column", F.col("source_urn").alias("urn"), F.col("start_column").alias("column")
+    )
+    reach = _trace(first, expand, ["source_urn", "start_column"], max_hops)
+    return Reach(reach.rows.withColumn("column", F.when(known, F.col("column"))), reach.truncated)
 
 
 def reached_assets(columns: DataFrame) -> DataFrame:
@@ -305,7 +289,7 @@ def enrich_assets(reached: DataFrame, facts: DataFrame) -> DataFrame:
     """
     found = facts.withColumn("found", F.lit(True))
     false = F.lit(False)
-    return reached.join(found, "urn", "left").select(
+    return even_join(reached, found, ["urn"], "left").select(
         *CHANGE_KEY,
         "urn",
         asset_type(F.col("urn")).alias("asset_type"),
@@ -338,7 +322,7 @@ def ownership_status(changes: DataFrame, enriched: DataFrame) -> DataFrame:
 def drop_unavailable(enriched: DataFrame, status: DataFrame) -> DataFrame:
     """An enrichment that failed lists no asset at all."""
     failed = status.filter(F.col("ownership") == "unavailable").select(*CHANGE_KEY)
-    kept = spread_join(enriched, failed, CHANGE_KEY, "left_anti", ["urn"])
+    kept = even_join(enriched, failed, CHANGE_KEY, "left_anti")
     return kept.drop("found", "malformed")
 
 
@@ -425,26 +409,31 @@ def assertion_assets(sources: DataFrame, links: DataFrame, names: DataFrame) ->
 def audit_pages(
     pages: DataFrame,
     items: DataFrame,
-    max_hops: int = DEFAULT_MAX_HOPS,
-    window: int | None = PAGE_WINDOW,
-    max_pages: int = MAX_PAGES,
+    max_hops: int | None = None,
+    window: int | None = None,
+    max_pages: int | None = None,
     item_prefix: str | None = None,
 ) -> DataFrame:
     """Is a result that arrived in pages provably complete?
 
     ``pages``: request_id, page_no (0-based), page_offset, returned, total,
-    has_more; ``items``: request_id, page_no, item_urn, degree.  Neighbouring
-    pages are compared by pairing each page's end with the next page's start on
-    the key (request, boundary): no page list is gathered, and a request with
-    very many pages is spread like any other rows.  ``has_more`` may be null
-    where a source does not state it.
+    has_more, and optionally truncated_children, the number of children that the
+    source says it left out; ``items``: request_id, page_no, item_urn, degree.
+    Neighbouring pages are compared by pairing each page's end with the next
+    page's start on the key (request, boundary): no page list is gathered, and a
+    request with very many pages is spread like any other rows.  ``has_more`` may
+    be null where a source does not state it.  Items whose page has no row make a
+    request incomplete, also where no page of it has one.  A result is never
+    doubted for its size: ``window`` and ``max_pages`` are limits of a source that
+    has them, and by default there is none.
     """
+    far = F.col("degree") >= 1 if max_hops is None else F.col("degree").between(1, max_hops)
     counted = items.groupBy("request_id", "page_no").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.bool_or(
-            ~valid_urn(F.col("item_urn"))
-            | (F.lit(False) if item_prefix is None else ~F.col("item_urn").startswith(item_prefix))
-            | ~F.coalesce(F.col("degree").between(1, max_hops), F.lit(False))
+            ~F.coalesce(valid_urn(F.col("item_urn")), F.lit(False))
+            | (F.lit(False) if item_prefix is None else ~F.coalesce(F.col("item_urn").startswith(item_prefix), F.lit(False)))
+            | ~F.coalesce(far, F.lit(False))
         ).alias("bad_item"),
     )
     repeated = (
@@ -453,11 +442,13 @@ def audit_pages(
         .groupBy("request_id")
         .agg(F.bool_or(F.col("n") > 1).alias("repeated_item"))
     )
-    full = pages.join(counted, ["request_id", "page_no"], "left").withColumn(
+    cut_off = F.coalesce(F.col("truncated_children"), F.lit(0)) != 0 if "truncated_children" in pages.columns else F.lit(False)
+    listed = pages.withColumn("listed", F.lit(True)).withColumn("cut_off", cut_off)
+    full = listed.join(counted, ["request_id", "page_no"], "full_outer").withColumn(
         "n_items", F.coalesce("n_items", F.lit(0))
     )
     end = F.col("page_offset") + F.col("returned")
-    steps = full.select(
+    steps = full.filter("listed").select(
         "request_id",
         F.inline(
             F.array(
@@ -496,24 +487,29 @@ def audit_pages(
         | ((F.col("returned") == 0) & (end < total))
     )
     per_request = full.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("n_pages"),
+        F.count("listed").alias("n_pages"),
+        F.bool_or(F.col("listed").isNull()).alias("page_missing"),
+        F.bool_or(F.coalesce("cut_off", F.lit(False))).alias("cut_off"),
         F.min("total").alias("low_total"),
         F.max("total").alias("high_total"),
         F.sum("n_items").alias("n_items"),
-        F.bool_or(F.coalesce(bad_page, F.lit(True))).alias("bad_page"),
+        F.bool_or(F.when(F.col("listed"), F.coalesce(bad_page, F.lit(True))).otherwise(False)).alias("bad_page"),
         F.bool_or(F.coalesce("bad_item", F.lit(False))).alias("bad_item"),
         F.count_if(ends_here).alias("n_last"),
     )
     joined = per_request.join(chain, "request_id", "left").join(repeated, "request_id", "left")
     too_wide = F.lit(False) if window is None else F.col("high_total") > window
+    too_many = F.lit(False) if max_pages is None else F.col("n_pages") > max_pages
     reason = (
         F.when(~F.col("low_total").eqNullSafe(F.col("high_total")), "total_changed")
+        .when(F.col("page_missing"), "page_missing")
         .when(F.coalesce("broken_chain", F.lit(True)), "offset_gap")
         .when(F.col("bad_page"), "page_invalid")
+        .when(F.col("cut_off"), "children_truncated")
         .when(F.col("bad_item"), "item_invalid")
         .when(F.coalesce("repeated_item", F.lit(False)), "item_repeated")
         .when(too_wide, "window_exceeded")
-        .when(F.col("n_pages") > max_pages, "too_many_pages")
+        .when(too_many, "too_many_pages")
         .when((F.col("n_last") != 1) | (F.col("n_items") != F.col("high_total")), "incomplete")
     )
     return joined.select(

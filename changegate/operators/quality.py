@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changegate.functions.text import type_fingerprint
-from changegate.operators.skew import spread_join
+from changegate.operators.skew import even_join
 
 # The typed columns of the staging table.
 STAGED_ORDER_TYPES = {
@@ -143,7 +143,7 @@ def gate_run_results(results: DataFrame, expectations: DataFrame) -> DataFrame:
     per run: model, test, text, downstream.  A run is verified when exactly one
     node of the model and exactly one of the test succeeded.
     """
-    joined = spread_join(results, expectations, ["run_key"], "inner", ["unique_id"])
+    joined = even_join(results, expectations, ["run_key"], "inner")
     status = F.lower("status")
     uid = F.col("unique_id")
     is_model = uid.startswith("model.")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from changegate.constants import EVIDENCE_FIELDS
 from changegate.operators.diff import duplicates, severity_key
-from changegate.operators.skew import exclude_runs, spread_join
+from changegate.operators.skew import even_join, exclude_runs
 from changegate.policy import Policy
 
 
@@ -93,7 +93,7 @@ def score_assets(assets: DataFrame, worst: DataFrame, policy: Policy) -> DataFra
     All points of an asset come from its own row and its run's worst change, so
     the only data movement is the join with that one row per run.
     """
-    joined = spread_join(with_fact_states(assets), worst, ["run_key"], "inner", ["urn"])
+    joined = even_join(with_fact_states(assets), worst, ["run_key"], "inner")
     severity = F.struct(
         F.lit("severity").alias("category"),
         F.col("severity_key").alias("key"),
@@ -210,12 +210,8 @@ def override_reasons(
     open_assets = with_fact_states(assets).filter(
         F.col("has_owners").isNull() | F.col("has_assertions").isNull()
     )
-    joined = spread_join(
-        open_assets.select("run_key", "urn", "has_owners", "has_assertions"),
-        known,
-        ["run_key"],
-        "inner",
-        ["urn"],
+    joined = even_join(
+        open_assets.select("run_key", "urn", "has_owners", "has_assertions"), known, ["run_key"], "inner"
     )
 
     def asset_reason(condition: Column, suffix: str) -> Column:
@@ -267,8 +263,8 @@ def assess(
         rejections = duplicates(changes, ["run_key", "change_id"], "duplicate_change_id").unionByName(
             duplicates(assets, ["run_key", "urn"], "duplicate_asset_urn")
         )
-        changes = exclude_runs(changes, rejections, ["change_id"])
-        assets = exclude_runs(assets, rejections, ["urn"])
+        changes = exclude_runs(changes, rejections)
+        assets = exclude_runs(assets, rejections)
     worst = worst_change(changes, policy)
     scored = score_assets(assets, worst, policy)
     basis = score_basis(scored)

@@ -2,47 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_SALTS, MAX_SALTS = 8, 256
-_SALT = "_salt"
 
+def even_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi join whose hot keys adaptive execution can split.
 
-def salts_for(spark: SparkSession) -> int:
-    """A quarter of the shuffle partitions: what one hot key may spread over.
-
-    The bounds keep a small session from copying for nothing and a large one
-    from copying the one-row-per-key side more than 256 times; beyond that AQE
-    splits the salted partitions of a hot key further.
-    """
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_SALTS, max(MIN_SALTS, partitions // 4))
-
-
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    how: str,
-    spread_on: list[str],
-    salts: int | None = None,
-) -> DataFrame:
-    """Join a large left side with a right side of at most one row per key.
-
-    The rows of a hot key are spread over ``salts`` tasks by a hash of
-    ``spread_on``; the right side, one row per key, is repeated once per salt.
-    No size is assumed: if the right side turns out small, AQE still replaces
-    the shuffle join by a broadcast.
+    Spark splits a hot partition of a join only where both sides arrive by a shuffle made for that join.  A side that is an
+    aggregate by the key, or another join, is partitioned already and would be taken as it is, hot partition and all.
+    Joining on copies of the keys makes Spark shuffle both sides; it then measures the partitions, splits the hot ones over
+    tasks and repeats only the few rows of the other side that belong to them.  A side that turns out small is still
+    broadcast instead.  The keys compare as text, a null matches nothing, and the left side's keys are returned.
     """
-    if salts is None:
-        salts = salts_for(left.sparkSession)
-    salted = left.withColumn(_SALT, F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int"))
-    fanned = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(fanned, [*keys, _SALT], how).drop(_SALT)
+    copies = {f"_key{i}": F.concat(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)}
+    joined = left.withColumns(copies).join(right.withColumns(copies).drop(*keys), list(copies), how)
+    return joined.drop(*copies)
 
 
-def exclude_runs(df: DataFrame, rejections: DataFrame, spread_on: list[str]) -> DataFrame:
+def exclude_runs(df: DataFrame, rejections: DataFrame) -> DataFrame:
     """Remove every row of a rejected change set; rejection is never partial."""
     rejected = rejections.select("run_key").distinct()
-    return spread_join(df, rejected, ["run_key"], "left_anti", spread_on)
+    return even_join(df, rejected, ["run_key"], "left_anti")

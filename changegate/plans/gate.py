@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changegate.constants import DEFAULT_MAX_HOPS, EVIDENCE_FIELDS
+from changegate.constants import EVIDENCE_FIELDS
 from changegate.operators import diff, lineage, merge, score
+from changegate.operators.skew import even_join
 from changegate.policy import Policy
 from changegate.session import cut_lineage
 
@@ -60,7 +61,7 @@ def resolve_changes(changes: DataFrame, catalog: Catalog) -> DataFrame:
     ).withColumn("start_column", F.lower(F.coalesce("old_column", "new_column")))
 
 
-def reach_columns(resolved: DataFrame, catalog: Catalog, max_hops: int = DEFAULT_MAX_HOPS) -> DataFrame:
+def reach_columns(resolved: DataFrame, catalog: Catalog, max_hops: int | None = None) -> lineage.Reach:
     """Reach per distinct (dataset, column): changes of many runs share one trace."""
     sources = resolved.filter(F.col("source_urn").isNotNull()).select("source_urn", "start_column")
     return lineage.column_reach(sources, catalog.edges, max_hops)
@@ -107,10 +108,15 @@ def link_changes(
     )
 
 
-def collect_context(changes: DataFrame, catalog: Catalog, max_hops: int = DEFAULT_MAX_HOPS) -> Context:
-    """Resolve, trace, enrich and link all changes of all runs together."""
+def collect_context(changes: DataFrame, catalog: Catalog, max_hops: int | None = None) -> Context:
+    """Resolve, trace, enrich and link all changes of all runs together.
+
+    Lineage is traced to its end unless ``max_hops`` bounds it; a change whose trace the bound cuts off has truncated
+    lineage and traversal.
+    """
     resolved = cut_lineage(resolve_changes(changes, catalog))
-    columns = reach_columns(resolved, catalog, max_hops)  # already written hop by hop
+    reach = reach_columns(resolved, catalog, max_hops)  # already written hop by hop
+    columns = reach.rows
     enriched = cut_lineage(enrich_changes(resolved, columns, catalog))
     ownership = lineage.ownership_status(resolved, enriched)
     kept = lineage.drop_unavailable(enriched, ownership)
@@ -123,7 +129,12 @@ def collect_context(changes: DataFrame, catalog: Catalog, max_hops: int = DEFAUL
 
     known = F.col("source_urn").isNotNull()
     states = (
-        resolved.select("run_key", "change_id", "source_urn", F.col("catalog_status").alias("catalog"))
+        even_join(
+            resolved.select("run_key", "change_id", "source_urn", "start_column", F.col("catalog_status").alias("catalog")),
+            reach.truncated.withColumn("cut_off", F.lit(True)),
+            ["source_urn", "start_column"],
+            "left",
+        )
         .join(ownership, lineage.CHANGE_KEY, "left")
         .join(lineage.assertion_status(resolved, links), lineage.CHANGE_KEY, "left")
     )
@@ -133,8 +144,8 @@ def collect_context(changes: DataFrame, catalog: Catalog, max_hops: int = DEFAUL
         "change_id",
         "source_urn",
         "catalog",
-        # The whole edge table was read, so a traced change is traced completely.
-        *[F.when(known, "complete").otherwise(missing).alias(f) for f in ("lineage", "traversal")],
+        # The whole edge table was read, so a trace that was not cut off is complete.
+        *[F.when(known & F.col("cut_off"), "truncated").when(known, "complete").otherwise(missing).alias(f) for f in ("lineage", "traversal")],
         *[F.when(known, F.col(f)).otherwise(missing).alias(f) for f in ("ownership", "assertions")],
     )
     states = cut_lineage(states)
@@ -195,7 +206,7 @@ def run_gate(
     catalog: Catalog,
     policy: Policy | None = None,
     proofs: DataFrame | None = None,
-    max_hops: int = DEFAULT_MAX_HOPS,
+    max_hops: int | None = None,
 ) -> Gate:
     """Diff, context, score and final decision of every change set.
 

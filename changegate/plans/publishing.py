@@ -318,7 +318,7 @@ _INVALID = """select run_id, source_urn, 'run_id_invalid' as violation from p wh
 union all select run_id, source_urn, 'source_not_a_dataset' from p where k % 101 = 0
 union all select run_id, source_urn, 'decision_invalid' from p where decision = 'MAYBE'
 union all select run_id, source_urn, 'risk_score_invalid' from p where original_risk > 100
-union all select run_id, source_urn, 'document_size_invalid' from p where body <> 'fine'
+union all select run_id, source_urn, 'document_size_invalid' from p where body = 'empty'
 union all select run_id, source_urn, 'document_urn_invalid' from p where document_urn like '% %'"""
 
 ORACLES = {

@@ -39,7 +39,7 @@ def reached_columns(spark, sf_dir):
         spark,
         sf_dir,
         "columns",
-        lambda: gate.reach_columns(resolved_changes(spark, sf_dir), load_catalog(spark, sf_dir)),
+        lambda: gate.reach_columns(resolved_changes(spark, sf_dir), load_catalog(spark, sf_dir)).rows,
     )
 
 
@@ -73,11 +73,11 @@ def q_check_baseline(spark, sf_dir):
 
 
 def q_downstream_reach(spark, sf_dir):
-    """Everything within three hops of every supplier, counted per source and hop."""
+    """Everything below every supplier, counted per source and hop."""
     suppliers = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("supplier:"), "s_suppkey").alias("source_urn")
     )
-    reach = lineage.downstream_reach(suppliers, view(spark, sf_dir, "lineage_edge"))
+    reach = lineage.downstream_reach(suppliers, view(spark, sf_dir, "lineage_edge")).rows
     return reach.groupBy("source_urn", "hop_count").agg(
         F.count(F.lit(1)).alias("n_assets"), F.min("urn").alias("first_urn"), F.max("urn").alias("last_urn")
     )
@@ -86,11 +86,17 @@ def q_downstream_reach(spark, sf_dir):
 def q_downstream_reach_parts(spark, sf_dir):
     """Every asset below every part, row by row."""
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("source_urn"))
-    return lineage.downstream_reach(parts, view(spark, sf_dir, "lineage_edge"))
+    return lineage.downstream_reach(parts, view(spark, sf_dir, "lineage_edge")).rows
+
+
+def q_reach_truncated(spark, sf_dir):
+    """Suppliers below which something is left after two hops."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("source_urn"))
+    return lineage.downstream_reach(suppliers, view(spark, sf_dir, "lineage_edge"), max_hops=2).truncated
 
 
 def q_column_reach(spark, sf_dir):
-    reach = gate.reach_columns(resolved_changes(spark, sf_dir), load_catalog(spark, sf_dir))
+    reach = gate.reach_columns(resolved_changes(spark, sf_dir), load_catalog(spark, sf_dir)).rows
     return reach.filter(F.col("urn") != F.col("source_urn"))
 
 
@@ -131,7 +137,7 @@ def q_evidence_states(spark, sf_dir):
 
 
 def q_audit_pages(spark, sf_dir):
-    return lineage.audit_pages(view(spark, sf_dir, "result_page"), view(spark, sf_dir, "result_item"))
+    return lineage.audit_pages(view(spark, sf_dir, "result_page"), view(spark, sf_dir, "result_item"), max_hops=3)
 
 
 QUERIES = {
@@ -139,6 +145,7 @@ QUERIES = {
     "check_baseline": q_check_baseline,
     "downstream_reach": q_downstream_reach,
     "downstream_reach_parts": q_downstream_reach_parts,
+    "reach_truncated": q_reach_truncated,
     "column_reach": q_column_reach,
     "tag_signals": q_tag_signals,
     "owners_state": q_owners_state,
@@ -154,7 +161,7 @@ QUERIES = {
 def _entity_reach(sources: str) -> str:
     hops, seen = [], ["h0"]
     views = {"h0": f"select distinct source_urn, source_urn as urn from ({sources}) s"}
-    for hop in (1, 2, 3):
+    for hop in (1, 2, 3, 4):
         minus = " ".join(f"except select source_urn, urn from {s}" for s in seen)
         views[f"h{hop}"] = f"""select distinct f.source_urn, e.dst_urn as urn from h{hop - 1} f
           join lineage_edge e on e.src_urn = f.urn {minus}"""
@@ -171,7 +178,7 @@ def _column_reach() -> dict[str, str]:
           from gate_resolved where source_urn is not null""",
     }
     seen, hops = ["c0"], []
-    for hop in (1, 2, 3):
+    for hop in (1, 2, 3, 4):
         minus = " ".join(f"except select * from {s}" for s in seen)
         views[f"c{hop}"] = f"""select distinct f.source_urn, f.start_column, e.dst_urn as urn,
             case when e.src_column is not null then e.dst_column end as col
@@ -294,6 +301,7 @@ from entity_reach group by source_urn, hop_count""",
         _SUPPLIERS,
     ),
     "downstream_reach_parts": sql("select * from entity_reach", _PARTS),
+    "reach_truncated": sql("select distinct source_urn from h3", _SUPPLIERS),
     "column_reach": sql('select source_urn, start_column, urn, col as "column", hop_count from col_reach'),
     "tag_signals": sql("select * from gate_tagged"),
     "owners_state": sql("select * from gate_owned"),
@@ -303,16 +311,18 @@ from entity_reach group by source_urn, hop_count""",
     "impacted_assets": sql("select * from gate_impacted"),
     "evidence_states": sql("select * exclude (source_urn) from gate_state"),
     "audit_pages": sql("""
-select request_id, n_pages, n_items, total, case when reason is null then 'complete' else 'truncated' end as status, reason
+select request_id, n_pages, (select count(*) from result_item i where i.request_id = r.request_id) as n_items, total, case when reason is null then 'complete' else 'truncated' end as status, reason
 from (select request_id, count(*) as n_pages, sum(n_items) as n_items, max(total) as total,
   case when min(total) <> max(total) then 'total_changed'
+    when exists (select 1 from result_item i where i.request_id = q.request_id
+      and not exists (select 1 from result_page o where o.request_id = i.request_id and o.page_no = i.page_no)) then 'page_missing'
     when min(page_no) <> 0 or min(page_offset) <> 0
       or bool_or(prev_no is not null and (page_no <> prev_no + 1 or page_offset <> prev_end)) then 'offset_gap'
     when bool_or(returned <> n_items or page_offset + returned > total
       or has_more <> (page_offset + returned < total)) then 'page_invalid'
+    when bool_or(truncated_children <> 0) then 'children_truncated'
     when bool_or(bad_item) then 'item_invalid'
     when max(n_distinct) <> sum(n_items) then 'item_repeated'
-    when max(total) > 100 then 'window_exceeded' when count(*) > 10 then 'too_many_pages'
     when sum(n_items) <> max(total) then 'incomplete' end as reason
   from (select p.*, lag(page_no) over w as prev_no, lag(page_offset + returned) over w as prev_end,
       (select count(*) from result_item i where i.request_id = p.request_id and i.page_no = p.page_no) as n_items,

@@ -163,7 +163,7 @@ select 'run:' || l_returnflag as run_key,
 from lineitem""",
     "result_page": """
 select conv_id as request_id, cast(turn as int) as page_no, turn as page_offset, cast(1 as bigint) as returned,
-  total, turn + 1 < total as has_more
+  total, turn + 1 < total as has_more, cast(case when conv_id % 31 = 0 and turn = 2 then 1 else 0 end as int) as truncated_children
 from (select c.conv_id, c.turn, t.total from conversations c
   join (select conv_id, count(*) as total from conversations group by conv_id) t on t.conv_id = c.conv_id) c
 where not (conv_id % 10 = 0 and turn = 1)""",
@@ -171,7 +171,7 @@ where not (conv_id % 10 = 0 and turn = 1)""",
 select conv_id as request_id, cast(turn as int) as page_no,
   'urn:li:dataset:' || case when conv_id % 17 = 0 then role else role || turn end as item_urn,
   cast(case when conv_id % 23 = 0 then 4 else turn % 3 + 1 end as int) as degree
-from conversations where not (conv_id % 10 = 0 and turn = 1)""",
+from conversations where not (conv_id % 20 = 10 and turn = 1)""",
     "staged_orders": """
 select cast(o_orderkey as bigint) as order_id, cast(o_custkey as varchar(30)) as customer_id,
   cast(o_orderdate as date) as order_date,

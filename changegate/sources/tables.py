@@ -14,6 +14,9 @@ SEED_SCHEMA = (
 )
 
 
+NO_MONTH = "0000-00"  # of records without a readable time
+
+
 def read_seed(spark: SparkSession, path: str, schema: str = SEED_SCHEMA) -> DataFrame:
     """Typed CSV load; a row that does not fit the types fails the load."""
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
@@ -45,8 +48,8 @@ def upsert_catalog(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def ledger_key() -> F.Column:
-    """A run may be recorded once per seal: the run and the start of its seal."""
-    return F.concat_ws("-", "run_id", F.substring("artifact_hash", 1, 12))
+    """A run may be recorded once per seal: the run and its whole seal."""
+    return F.concat_ws("-", "run_id", "artifact_hash")
 
 
 def read_ledger(spark: SparkSession, store: Store) -> DataFrame | None:
@@ -57,46 +60,38 @@ def read_ledger(spark: SparkSession, store: Store) -> DataFrame | None:
 def append_ledger(spark: SparkSession, runs: DataFrame, store: Store) -> DataFrame:
     """Add sealed run records; stored ones are immutable.
 
-    Returns the outcome per record: appended, identical, or refused because the
-    stored record of the same key differs, the seal is malformed, or one batch
-    holds two versions.  Files are partitioned by month, not by run: a folder per
-    run would not survive many runs.  The rebalance lets AQE split a month that
+    Returns the outcome per record: appended, identical (the run is stored with
+    this seal), or refused because the seal is malformed.  Files are partitioned
+    by month, not by run: a folder per run would not survive many runs.  Only the
+    months of the batch are looked up; the rebalance lets AQE split a month that
     holds most of a batch and join small ones, so files stay well sized.
     """
-    rows = runs.withColumn("record_key", ledger_key())
+    month = F.coalesce(F.date_format(F.col("created_at").try_cast("timestamp"), "yyyy-MM"), F.lit(NO_MONTH))
+    rows = runs.withColumn("record_key", ledger_key()).withColumn("run_month", month)
     stored = read_ledger(spark, store)
     if stored is None:
-        known = rows.select("record_key", F.col("artifact_hash").alias("stored_hash")).filter(F.lit(False))
+        judged = rows.withColumn("known", F.lit(False))
     else:
-        known = stored.select("record_key", F.col("artifact_hash").alias("stored_hash"))
-    batch = rows.groupBy("record_key").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("artifact_hash").alias("n_seals")
-    )
+        known = stored.select("run_month", "record_key").withColumn("known", F.lit(True))
+        judged = rows.join(known, ["run_month", "record_key"], "left")
     outcome = (
         F.when(~F.coalesce(F.col("artifact_hash").rlike(SEAL_SHAPE), F.lit(False)), "refused_malformed_seal")
-        .when(F.col("n_seals") > 1, "refused_two_versions")
-        .when(F.col("stored_hash").isNull(), "appended")
-        .when(F.col("stored_hash") == F.col("artifact_hash"), "identical")
-        .otherwise("refused_differs")
-    )
-    judged = (
-        rows.join(batch, "record_key")
-        .join(known, "record_key", "left")
-        .withColumn("outcome", outcome)
-        .drop("n", "n_seals", "stored_hash")
+        .when(F.col("known"), "identical")
+        .otherwise("appended")
     )
+    judged = judged.withColumn("outcome", outcome).drop("known")
     path = store.file(f"ledger-batches/{_batch_name()}")
     judged.write.parquet(path)
     written = spark.read.schema(judged.schema).parquet(path)
     new = written.filter(F.col("outcome") == "appended").drop("outcome").dropDuplicates(["record_key"])
-    dated = new.withColumn("run_month", F.date_format(F.col("created_at").cast("timestamp"), "yyyy-MM"))
-    dated.hint("rebalance", "run_month").write.mode("append").partitionBy("run_month").parquet(store.file("ledger"))
+    new.hint("rebalance", "run_month").write.mode("append").partitionBy("run_month").parquet(store.file("ledger"))
     return written.select("run_id", "artifact_hash", "outcome")
 
 
 def latest_run(ledger: DataFrame) -> DataFrame:
-    """The newest record; computed from the ledger, so never out of step with it."""
-    return ledger.orderBy(F.col("created_at").desc(), F.col("record_key").desc()).limit(1)
+    """The newest record; computed from the ledger's last month, so never out of step with it."""
+    last = ledger.agg(F.max("run_month")).first()[0]
+    return ledger.filter(F.col("run_month") == last).orderBy(F.col("created_at").desc(), F.col("record_key").desc()).limit(1)
 
 
 def _batch_name() -> str:

@@ -1,4 +1,5 @@
 from helpers import CHANGE_SCHEMA, change, collect
+from pyspark.sql import functions as F
 
 from changegate.operators import lineage
 
@@ -46,16 +47,19 @@ def test_reach_on_a_cyclic_graph_matches_brute_force(rows):
     edges = [(f"n{i}", f"n{(i * 7 + j) % 40}") for i in range(40) for j in (1, 5)] + [("n0", f"x{i}") for i in range(200)]
     sources = [f"n{i}" for i in range(0, 40, 3)]
     e, s = rows("src_urn string, dst_urn string", edges + edges), rows("source_urn string", [(x,) for x in sources])
-    for hops, cut in ((3, 4), (5, 2)):
-        got = lineage.downstream_reach(s, e, hops, cut_every=cut)
-        assert set(collect(got, "source_urn", "urn", "hop_count")) == brute_reach(edges, sources, hops)
+    for hops in (1, 3, 5, None):
+        got = lineage.downstream_reach(s, e, hops)
+        assert set(collect(got.rows, "source_urn", "urn", "hop_count")) == brute_reach(edges, sources, hops or 50)
+        left = {a for a in sources if len(brute_reach(edges, [a], hops or 50)) < len(brute_reach(edges, [a], 50))}
+        assert {r.source_urn for r in got.truncated.collect()} == left
+    assert lineage.downstream_reach(s.limit(0), e).rows.count() == 0
 
 
 def test_column_reach_follows_columns_and_unknown_follows_all(rows):
     schema = "src_urn string, src_column string, dst_urn string, dst_column string"
     edges = rows(schema, [("t", "a", "m", "X"), ("t", "b", "n", "y"), ("m", "x", "d", "p"), ("m", "z", "e", "q"),
                           ("t", None, "board", None), ("board", "any", "f", "r"), ("m", "x", "t", "c"), ("t", "c", "g", "s")])
-    got = lineage.column_reach(rows("source_urn string, start_column string", [("t", "A")]), edges)
+    got = lineage.column_reach(rows("source_urn string, start_column string", [("t", "A")]), edges).rows
     assert collect(got, "urn", "column", "hop_count") == sorted([
         ("m", "x", 1), ("board", None, 1), ("d", "p", 2), ("f", "r", 2), ("t", "c", 2), ("g", "s", 3)], key=repr)
     assets = collect(lineage.reached_assets(got), "urn", "hop_count", "has_columns")
@@ -104,7 +108,9 @@ def test_page_audit(rows):
     assert got["good"] == got["empty"] == ("complete", None)
     reasons = {k: v[1] for k, v in got.items() if v[0] == "truncated"}
     assert reasons == {"late": "offset_gap", "gap": "offset_gap", "total": "total_changed", "more": "page_invalid",
-                       "short": "incomplete", "wide": "window_exceeded", "over": "page_invalid"}
+                       "short": "incomplete", "over": "page_invalid"}
+    limited = dict(collect(lineage.audit_pages(pages, items, window=100, max_pages=2), "request_id", "reason"))
+    assert limited["wide"] == "window_exceeded" and limited["good"] == "too_many_pages"
 
 
 def test_page_audit_items(rows):
@@ -113,4 +119,11 @@ def test_page_audit_items(rows):
         ("twice", 0, "urn:li:dataset:a", 1), ("twice", 0, "urn:li:dataset:a", 1), ("shape", 0, "urn:li:dataset:a", 1),
         ("shape", 0, "nothing", 1), ("deep", 0, "urn:li:dataset:a", 1), ("deep", 0, "urn:li:dataset:b", 4)])
     got = collect(lineage.audit_pages(pages, items), "request_id", "reason")
-    assert got == [("deep", "item_invalid"), ("shape", "item_invalid"), ("twice", "item_repeated")]
+    assert got == [("deep", None), ("shape", "item_invalid"), ("twice", "item_repeated")]
+    assert collect(lineage.audit_pages(pages, items, max_hops=3), "request_id", "reason")[0] == ("deep", "item_invalid")
+    more = items.unionByName(rows("request_id string, page_no int, item_urn string, degree int", [
+        ("deep", 1, "urn:li:dataset:c", 1), ("lost", 0, "urn:li:dataset:c", 1)]))
+    found = dict(collect(lineage.audit_pages(pages, more), "request_id", "reason"))
+    assert found["deep"] == found["lost"] == "page_missing"
+    cut = pages.withColumn("truncated_children", F.when(F.col("request_id") == "deep", 3))
+    assert dict(collect(lineage.audit_pages(cut, items), "request_id", "reason"))["deep"] == "children_truncated"

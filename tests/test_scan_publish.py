@@ -103,8 +103,9 @@ def test_two_phase_publish(spark, rows):
     (dict(text=""), "document_size_invalid"), (dict(text="é" * 4097), "document_size_invalid"), (dict(run="a b"), "run_id_invalid"),
     (dict(run="a\n"), "run_id_invalid"), (dict(source="urn:li:chart:x"), "source_not_a_dataset"), (dict(decision=None), "decision_invalid")])
 def test_publish_rules(rows, bad, rule):
-    assert [v for *_, v in collect(publish.validate_publish(states(rows, **bad)))] == [rule]
+    assert [v for *_, v in collect(publish.validate_publish(states(rows, **bad), max_document_bytes=8192))] == [rule]
     assert publish.validate_publish(states(rows)).count() == 0
+    assert publish.validate_publish(states(rows, text="é" * 100_000)).count() == 0
 
 
 def test_ledger_is_immutable(spark, rows):
@@ -112,13 +113,14 @@ def test_ledger_is_immutable(spark, rows):
     make = lambda *items: rows("run_id string, created_at string, artifact_hash string", list(items))
     a, b = ("r1", "2024-01-01 00:00:00", "a" * 64), ("r2", "2024-02-01 00:00:00", "b" * 64)
     assert collect(tables.append_ledger(spark, make(a, a), store), "outcome") == [("appended",)] * 2
-    other = (a[0], a[1], "a" * 12 + "c" * 52)
+    other = (a[0], a[1], "a" * 12 + "c" * 52)  # the same run under another seal that starts alike
     got = collect(tables.append_ledger(spark, make(a, b), store), "run_id", "outcome")
     assert got == [("r1", "identical"), ("r2", "appended")]
     assert collect(tables.append_ledger(spark, make(other, ("r3", a[1], "x")), store), "run_id", "outcome") == [
-        ("r1", "refused_differs"), ("r3", "refused_malformed_seal")]
+        ("r1", "appended"), ("r3", "refused_malformed_seal")]
+    assert collect(tables.append_ledger(spark, make(other, ("r4", "no time", "d" * 64)), store), "run_id", "outcome") == [("r1", "identical"), ("r4", "appended")]
     ledger = tables.read_ledger(spark, store)
-    assert ledger.count() == 2 and tables.latest_run(ledger).first().run_id == "r2"
+    assert ledger.count() == 4 and tables.latest_run(ledger).first().run_id == "r2"
 
 
 def test_digest_is_order_free_and_counts_copies(rows):
