@@ -11,6 +11,7 @@ SMALL = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.shuffle.partitions": "12",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
 }
 URN = "urn:li:dataset:(urn:li:dataPlatform:w,shop.{},PROD)"
 
