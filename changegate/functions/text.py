@@ -73,11 +73,17 @@ def relation_name(node: Column) -> Column:
     return blank_to_null(canonical_relation(F.coalesce(blank_to_null(node["relation_name"]), parts)))
 
 
-def canonical_type(raw: Column, text_types: bool = True) -> Column:
+def one_text_type(adapter: Column) -> Column:
+    """Whether all character types of an adapter's dialect are one unbounded text type."""
+    # Fixed value: the adapter whose dialect has one text type.
+    return F.coalesce(F.lower(adapter) == "duckdb", F.lit(False))
+
+
+def canonical_type(raw: Column, text_types: Column) -> Column:
     """Upper-case type with one spacing style and one name per meaning.
 
     ``text_types`` folds all character types (with or without length) to TEXT,
-    the convention of the embedded analytics dialect; pass False elsewhere.
+    which is right in some dialects only (see ``one_text_type``).
     """
     upper = F.upper(F.regexp_replace(blank_to_null(raw), r"\s+", " "))
     base = F.rtrim(F.regexp_extract(upper, r"^([^(]*)", 1))
@@ -87,9 +93,7 @@ def canonical_type(raw: Column, text_types: bool = True) -> Column:
     aliases = F.create_map(*[F.lit(x) for pair in TYPE_ALIASES.items() for x in pair])
     named = F.coalesce(F.try_element_at(aliases, base), base)
     spelled = F.concat(named, args)
-    if not text_types:
-        return spelled
-    return F.when(base.isin(*TEXT_TYPES), F.lit("TEXT")).otherwise(spelled)
+    return F.when(text_types & base.isin(*TEXT_TYPES), F.lit("TEXT")).otherwise(spelled)
 
 
 def type_fingerprint(raw: Column) -> Column:
@@ -97,12 +101,26 @@ def type_fingerprint(raw: Column) -> Column:
     return F.lower(F.regexp_replace(raw, r"\s", ""))
 
 
+def canonical_json_text(value: Column) -> Column:
+    """JSON text with sorted keys at all levels and no layout; text that is no JSON stays as it is.
+
+    A variant keeps the fields of an object in the order of their names.
+    """
+    return F.coalesce(F.to_json(F.try_parse_json(value)), value)
+
+
+def constraint_kind(constraint: Column) -> Column:
+    """Kind of a constraint: the ``type`` of an object's JSON text, or the text itself."""
+    stated = F.when(constraint.startswith("{"), F.get_json_object(constraint, "$.type")).otherwise(constraint)
+    return F.replace(F.lower(strip(stated)), F.lit(" "), F.lit("_"))
+
+
 def derive_nullable(nullable: Column, not_null: Column, constraints: Column) -> Column:
-    """Nullability: declared, else the opposite of not_null, else a constraint, else unknown."""
-    stated = F.exists(
-        constraints,
-        lambda c: F.replace(F.lower(c["type"]), F.lit(" "), F.lit("_")) == "not_null",
-    )
+    """Nullability: declared, else the opposite of not_null, else a constraint, else unknown.
+
+    ``constraints`` are texts, as for ``constraint_kind``.
+    """
+    stated = F.exists(constraints, lambda c: F.coalesce(constraint_kind(c) == "not_null", F.lit(False)))
     return F.coalesce(nullable, ~not_null, F.when(stated, F.lit(False)))
 
 

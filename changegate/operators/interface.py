@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changegate.functions import text
 from changegate.functions.identity import content_digest, row_digest
 from changegate.functions.text import type_fingerprint
 from changegate.operators.diff import Diff, schema_diff
@@ -280,15 +281,19 @@ CONTRACT_FIELDS = ["column_name", "data_type", "nullable", "not_null", "quote",
 
 
 def constraint_digests(constraints: Column) -> Column:
-    """Sorted (kind, digest) pairs of a column's constraints; null stays null."""
+    """Sorted (kind, digest) pairs of a column's constraints; null stays null.
+
+    ``constraints`` are texts, as for ``text.constraint_kind``.  The digest is over the whole constraint in canonical form, so
+    another referenced table, expression or name is another constraint.
+    """
     # Constraint kinds kept by name.
     kinds = ("not_null", "unique", "primary_key", "foreign_key", "check", "custom")
-    kind = lambda c: F.replace(F.lower(c["type"]), F.lit(" "), F.lit("_"))
+    kind = text.constraint_kind
     named = lambda c: F.when(kind(c).isin(*kinds), kind(c)).otherwise("other")
     return F.array_sort(
         F.transform(
             constraints,
-            lambda c: F.struct(named(c).alias("type"), F.sha2(F.to_json(c), 256).alias("sha256")),
+            lambda c: F.struct(named(c).alias("type"), F.sha2(text.canonical_json_text(c), 256).alias("sha256")),
         )
     )
 

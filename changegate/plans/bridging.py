@@ -89,7 +89,11 @@ def q_attach_test_rejections(spark, sf_dir):
 
 def q_interface_snapshot(spark, sf_dir):
     """Node digests of all three sides, compared: which sides of a run look alike?"""
-    constraint = F.array(F.struct(F.when(F.col("nullable"), "unique").otherwise("NOT NULL").alias("type")))
+    moved = (F.substring("run_key", 5, 20).cast("bigint") % 67 == 0) & (F.col("side") == "patched")
+    keys = F.when(F.col("side") == "before", F.concat(F.lit('{"to": "'), "relation", F.lit('", "type": "Foreign Key"}'))).otherwise(
+        F.concat(F.lit('{"type":"Foreign Key","to":"'), "relation", F.when(moved, "_x").otherwise(""), F.lit('"}'))
+    )
+    constraint = F.array(F.when(F.col("nullable"), "unique").otherwise("NOT NULL"), keys)
     columns = view(spark, sf_dir, "bridge_column").select(
         "run_key",
         "side",
@@ -237,7 +241,8 @@ union all
 select distinct run_key, 'test_dependencies_invalid', test_id from line_test
 where (l_suppkey % 5 = 0 and node = 'model.shop.t0') or (l_suppkey % 5 <> 0 and l_suppkey % 11 = 0)"""),
     "interface_snapshot": sql("""
-with c as (select run_key, side, string_agg(column_name || '/' || data_type || '/' || nullable, ',' order by column_name) as body
+with c as (select run_key, side, string_agg(column_name || '/' || data_type || '/' || nullable, ',' order by column_name)
+  || case when cast(substr(run_key, 5) as bigint) % 67 = 0 and side = 'patched' then 'moved' else '' end as body
   from bridge_column group by run_key, side),
 s as (select c.run_key, c.side, c.body || n.config_sha256 || n.query_context_sha256 as body from c join bridge_node n
   on n.run_key = c.run_key and n.side = c.side)

@@ -191,12 +191,15 @@ def q_normalize(spark, sf_dir):
         F.lit(None).cast("string").alias("identifier"),
         F.col("p_brand").alias("name"),
     )
-    constraint = F.array(F.struct(F.when(F.col("p_size") % 7 == 0, "NOT NULL").otherwise("unique").alias("type")))
+    kind = F.when(F.col("p_size") % 7 == 0, "NOT NULL").otherwise("unique")
+    constraint = F.array(F.when(F.col("p_size") % 2 == 0, kind).otherwise(F.to_json(F.struct(kind.alias("type")))))
     return table(spark, sf_dir, "part").select(
         "p_partkey",
         text.normalize_identifier(name, F.col("p_size") % 2 == 0).alias("identifier"),
         text.relation_name(node).alias("relation"),
-        text.canonical_type(raw_type).alias("canonical_type"),
+        text.canonical_type(raw_type, text.one_text_type(F.when(F.col("p_size") % 3 == 0, "postgres").otherwise("duckdb"))).alias(
+            "canonical_type"
+        ),
         text.type_fingerprint(raw_type).alias("type_fingerprint"),
         text.derive_nullable(
             F.when(F.col("p_size") % 11 == 0, F.lit(True)), F.when(F.col("p_size") % 13 == 0, F.lit(True)), constraint
@@ -450,7 +453,7 @@ select p_partkey,
   case when p_size % 3 = 0 then '"Shop"."' || p_name || '"'
     else lower(case when p_size % 5 <> 0 then 'Warehouse.' else '' end || 'Sales.' ||
       case when p_size % 2 = 0 then p_brand else 'Alias' end) end as relation,
-  case p_size % 4 when 0 then 'TEXT' when 1 then 'DECIMAL(12, 2)' when 2 then 'INT' else upper(p_type) end as canonical_type,
+  case p_size % 4 when 0 then case when p_size % 3 = 0 then 'VARCHAR(20)' else 'TEXT' end when 1 then 'DECIMAL(12, 2)' when 2 then 'INT' else upper(p_type) end as canonical_type,
   lower(replace(raw_type, ' ', '')) as type_fingerprint,
   case when p_size % 11 = 0 then true when p_size % 13 = 0 then false when p_size % 7 = 0 then false end as nullable,
   sha256('cast(src.' || lower(p_name) || ' as text)||' || '''Keep  Case''') as fingerprint,

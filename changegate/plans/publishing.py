@@ -184,7 +184,10 @@ def q_materialize(spark, sf_dir):
 
 
 def _documents(spark, sf_dir):
-    """Parts as model manifests in JSON, one node and one column each; some are damaged."""
+    """Parts as model manifests in JSON, one node and one column each, of two adapters; some are damaged.
+
+    Equal settings are written in two orders and layouts; constraints are objects or names.
+    """
     k = F.col("p_partkey")
     column = F.struct(
         F.initcap("p_name").alias("name"),
@@ -192,23 +195,31 @@ def _documents(spark, sf_dir):
         F.when(k % 3 == 0, k % 2 == 0).alias("nullable"),
         F.when(k % 3 == 1, F.lit(True)).alias("not_null"),
         (k % 4 == 0).alias("quote"),
-        F.when(k % 3 == 2, F.array(F.struct(F.lit("Not Null").alias("type")))).alias("constraints"),
+        F.when(k % 3 == 2, F.lit("@CONSTRAINTS@")).alias("constraints"),
     )
     node = F.struct(
         F.when(k % 7 == 0, "test").when(k % 2 == 0, "model").otherwise("seed").alias("resource_type"),
         F.when(k % 6 == 0, F.concat(F.lit('"Shop".T'), k)).alias("relation_name"),
         F.lit("Main").alias("schema"),
         F.concat(F.lit("t"), k).alias("name"),
+        F.when(k % 11 != 0, F.lit("@CONFIG@")).alias("config"),
+        F.lit("@KEYS@").alias("constraints"),
         F.create_map(F.lit("c"), column).alias("columns"),
     )
     manifest = F.struct(
-        F.struct(F.lit("duckdb").alias("adapter_type")).alias("metadata"),
+        F.struct(F.when(k % 8 == 0, "postgres").otherwise("duckdb").alias("adapter_type")).alias("metadata"),
         F.create_map(F.concat(F.lit("model.shop.t"), k), node).alias("nodes"),
     )
+    config = F.when(k % 2 == 0, '{"b": {"y": 1, "x": [1, 2]},  "a": "t"}').otherwise('{"a":"t","b":{"x":[1,2],"y":1}}')
+    keys = F.concat(F.lit('[{"type": "foreign_key", "to": "t'), k % 4, F.lit('"}]'))
+    columns = F.when(k % 2 == 0, '["Not Null"]').otherwise('[{"name": "n", "type": "not_null"}]')
+    body = F.to_json(manifest)
+    for mark, value in (("CONFIG", config), ("KEYS", keys), ("CONSTRAINTS", columns)):
+        body = F.replace(body, F.lit(f'"@{mark}@"'), value)
     return table(spark, sf_dir, "part").select(
         F.concat(F.lit("run:"), k).alias("run_key"),
         F.lit("before").alias("side"),
-        F.when(k % 17 == 0, F.lit('{"nodes": 1')).otherwise(F.to_json(manifest)).alias("json"),
+        F.when(k % 17 == 0, F.lit('{"nodes": 1')).otherwise(body).alias("json"),
         F.col("p_partkey"),
     )
 
@@ -232,22 +243,20 @@ def _projections(spark, sf_dir):
 
 def q_parse_manifests(spark, sf_dir):
     return manifests.parse_manifests(_documents(spark, sf_dir)).nodes.select(
-        "run_key", "unique_id", "resource_type", "relation", "adapter_type"
+        "run_key", "unique_id", "resource_type", "relation", "adapter_type", "config_sha256", "model_constraints_sha256"
     )
 
 
 def q_read_manifests(spark, sf_dir):
-    """Manifests written as files and read back, one change set per source file."""
+    """All manifests, the damaged ones too, written as one file a change set, read back and parsed: nodes and rejections."""
     path = fresh_path(spark, "manifests")
-    docs = _documents(spark, sf_dir).filter(F.col("p_partkey") % 17 != 0)
-    docs.select(F.col("json").alias("value")).write.text(path)
-    back = spark.read.text(path).select(
-        F.regexp_extract("value", r'"model\.shop\.t(\d+)"', 1).alias("k"), F.col("value").alias("json")
-    )
-    parsed = manifests.parse_manifests(
-        back.select(F.concat(F.lit("run:"), "k").alias("run_key"), F.lit("before").alias("side"), "json")
-    )
-    return parsed.nodes.groupBy("resource_type").agg(F.count(F.lit(1)).alias("n_nodes"))
+    _documents(spark, sf_dir).select(F.concat(F.lit("part-"), "p_partkey").alias("name"), F.col("json").alias("value")).repartition(
+        "name"
+    ).write.partitionBy("name").text(path)
+    docs = manifests.read_manifests(spark, path, r"concat('run:', regexp_extract(path, 'name=part-([0-9]+)/', 1))", "before")
+    parsed = manifests.parse_manifests(docs)
+    nodes = parsed.nodes.select("run_key", F.col("resource_type").alias("outcome"), F.col("relation").alias("detail"))
+    return nodes.unionByName(parsed.rejections.withColumnRenamed("reason", "outcome"))
 
 
 def q_manifest_rejections(spark, sf_dir):
@@ -262,19 +271,9 @@ def q_manifest_columns(spark, sf_dir):
 
 
 def q_content_digest(spark, sf_dir):
-    """Order-free digests of each order's lines: equal rows in, equal digest out."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    shuffled = lines.orderBy(F.xxhash64("l_partkey", "l_linenumber"))
-    changed = lines.withColumn("l_quantity", F.when(F.col("l_partkey") % 50 == 0, 0.0).otherwise(F.col("l_quantity")))
-    columns = ["l_linenumber", "l_partkey", "l_quantity"]
-    a, b, c = (identity.content_digest(x, ["l_orderkey"], columns) for x in (lines, shuffled, changed))
-    return (
-        a.join(b.select("l_orderkey", F.col("sha256").alias("b")), "l_orderkey")
-        .join(c.select("l_orderkey", F.col("sha256").alias("c")), "l_orderkey")
-        .select(
-            "l_orderkey", "row_count", (F.col("sha256") == F.col("b")).alias("same"), (F.col("sha256") == F.col("c")).alias("unchanged")
-        )
-    )
+    """Order-free digest of each order's lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    return identity.content_digest(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_returnflag"])
 
 
 def q_change_summary(spark, sf_dir):
@@ -360,9 +359,14 @@ from staged_orders where status = 'completed' group by currency"""),
 select 'run:' || p_partkey as run_key, 'model.shop.t' || p_partkey as unique_id,
   case when p_partkey % 2 = 0 then 'model' else 'seed' end as resource_type,
   case when p_partkey % 6 = 0 then '"Shop".t' || p_partkey else 'main.t' || p_partkey end as relation,
-  'duckdb' as adapter_type from part where p_partkey % 17 <> 0 and p_partkey % 7 <> 0""",
-    "read_manifests": """select case when p_partkey % 2 = 0 then 'model' else 'seed' end as resource_type, count(*) as n_nodes
-from part where p_partkey % 17 <> 0 and p_partkey % 7 <> 0 group by 1""",
+  case when p_partkey % 8 = 0 then 'postgres' else 'duckdb' end as adapter_type,
+  sha256(case when p_partkey % 11 = 0 then '{}' else '{"a":"t","b":{"x":[1,2],"y":1}}' end) as config_sha256,
+  sha256('[{"to":"t' || p_partkey % 4 || '","type":"foreign_key"}]|null') as model_constraints_sha256
+from part where p_partkey % 17 <> 0 and p_partkey % 7 <> 0""",
+    "read_manifests": """select 'run:' || p_partkey as run_key, case when p_partkey % 17 = 0 then 'manifest_invalid'
+    when p_partkey % 2 = 0 then 'model' else 'seed' end as outcome,
+  case when p_partkey % 17 = 0 then 'before' when p_partkey % 6 = 0 then '"Shop".t' || p_partkey else 'main.t' || p_partkey end as detail
+from part where p_partkey % 17 = 0 or p_partkey % 7 <> 0""",
     "manifest_rejections": """
 with p as (select p_partkey as k, 'run:' || p_partkey as run_key, array_to_string(list_transform(string_split(p_name, ' '),
   lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') as nice from part),
@@ -377,15 +381,22 @@ with n as (select p_partkey as k, p_name, array_to_string(list_transform(string_
 b as (select 'run:' || k as run_key, 'model.shop.t' || k as unique_id,
   case when k % 6 = 0 then '"Shop".t' || k else 'main.t' || k end as relation, * from n)
 select run_key, unique_id, relation, case when k % 4 = 0 then '"' || nice || '"' else lower(nice) end as column_name,
-  case when k % 5 <> 0 then 'TEXT' when k % 19 = 0 then null when k % 10 = 0 then 'INT' when k % 23 = 0 then 'BIGINT' end as data_type,
+  case when k % 5 <> 0 then case when k % 8 = 0 then 'VARCHAR(10)' else 'TEXT' end when k % 19 = 0 then null when k % 10 = 0 then 'INT' when k % 23 = 0 then 'BIGINT' end as data_type,
   k % 5 = 0 and k % 19 <> 0 and (k % 10 = 0 or k % 23 = 0) as data_type_from_projection,
   case k % 3 when 0 then k % 2 = 0 else false end as nullable,
   case when k % 19 <> 0 then 0 end as ordinal, k % 19 <> 0 as has_projection,
   case when k % 19 <> 0 then sha256('src.' || lower(p_name)) end as expr_fingerprint from b
 union all
 select run_key, unique_id, relation, 'extra', 'DATE', true, null, 1, true, sha256('src.' || lower(p_name)) from b""",
-    "content_digest": """select l_orderkey, count(*) as row_count, true as same,
-not bool_or(l_partkey % 50 = 0 and l_quantity <> 0) as unchanged from lineitem group by l_orderkey""",
+    "content_digest": """
+with h as (select l_orderkey, sha256('{"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || ',"l_returnflag":"'
+  || l_returnflag || '"}') as h from lineitem),
+s as (select l_orderkey, count(*) as row_count, """
+    + ", ".join(f"sum(cast('0x' || substr(h, {8 * i + 1}, 8) as bigint)) as lane{i}" for i in range(identity.LANES))
+    + """ from h group by l_orderkey)
+select l_orderkey, sha256(row_count || ':' || """
+    + " || ':' || ".join(f"lane{i}" for i in range(identity.LANES))
+    + """) as sha256, row_count from s""",
     "change_summary": with_clause("""select run_key, relation, change_type as change,
 coalesce(old_column, old_type, '-') as existing, coalesce(new_column, new_type, '-') as proposed from gate_change""", DIFF_VIEWS),
     "blast_radius_summary": with_clause("""

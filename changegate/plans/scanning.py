@@ -207,7 +207,7 @@ select page_id, path, reason from (select page_id, path, case k when 0 then 'abs
 where reason is not null""",
     "verify_checksums": f"""
 with f as ({_FILES})
-select upper(h) || '  ' || path as path, 'malformed_line' as problem from f where doc_id % 13 = 4 union all
+select upper(h || '  ' || path) as path, 'malformed_line' as problem from f where doc_id % 13 = 4 union all
 select path, problem from (select path, case when doc_id % 13 in (2, 4) then 'unexpected' when doc_id % 13 = 5 then 'missing'
   when doc_id % 13 = 3 then 'listed_twice' when doc_id % 13 = 1 and reverse(h) <> h then 'mismatch' end as problem from f) x
 where problem is not null""",

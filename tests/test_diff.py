@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from helpers import CHANGE_SCHEMA, COLUMN_SCHEMA, change, collect
 
 from changegate.functions import identity, text
-from changegate.operators import diff
+from changegate.operators import diff, interface
 from changegate.sources import manifests
 
 FACTS = ["change_type", "old_column", "new_column", "old_type", "new_type", "old_nullable", "new_nullable"]
@@ -34,51 +34,87 @@ def test_change_id_matches_canonical_json_for_any_text(rows, name):
     assert df.select(identity.change_id()).first()[0] == f"change-{want}"
 
 
-def manifest(columns):
+def manifest(columns, adapter="duckdb", **node):
     return json.dumps({
-        "metadata": {"adapter_type": "duckdb"},
-        "nodes": {"model.shop.sales": {
-            "resource_type": "model", "name": "sales", "relation_name": '"analytics"."sales"',
-            "columns": {n: {"name": n, "data_type": t, "nullable": null} for n, t, null in columns},
+        "metadata": {"adapter_type": adapter},
+        "nodes": {"model.lake.trips": {
+            "resource_type": "model", "name": "trips", "database": "Lake", "schema": "City", "columns": columns, **node,
         }},
     })
 
 
-def test_manifest_diff_in_canonical_order(spark, rows):
-    old = [("id", "bigint", False), ("total", "decimal(12, 2)", True), ("code", "varchar", True),
-           ("note", "varchar", True), ("status", "varchar(20)", True)]
-    new = [("id", "bigint", False), ("gross", "decimal(18, 2)", False), ("currency", "varchar(3)", False),
-           ("note", "bigint", True), ("status", "varchar(20)", False)]
-    docs = rows("run_key string, side string, json string", [("r", "before", manifest(old)), ("r", "after", manifest(new))])
-    source = {"gross": "total"}
-    outputs = [("r", side, "model.shop.sales", i, n, False, source.get(n, n), None)
-               for side, cols in (("before", old), ("after", new)) for i, (n, _, _) in enumerate(cols)]
+def trips(rows, sides, outputs=()):
+    """Parsed manifests of both sides, and the columns of the query's outputs (side, name, expression, cast)."""
+    docs = rows("run_key string, side string, json string", [("r", s, j) for s, j in sides.items()])
     projections = rows("run_key string, side string, unique_id string, ordinal int, name string, quoted boolean, "
-                       "expression string, cast_type string", outputs)
+                       "expression string, cast_type string", [("r", s, "model.lake.trips", i, n, False, e, c) for i, (s, n, e, c) in enumerate(outputs)])
     parsed = manifests.parse_manifests(docs)
     columns = manifests.manifest_columns(parsed.nodes, projections)
-    assert parsed.rejections.count() == 0 and columns.rejections.count() == 0
+    assert parsed.rejections.count() == 0
+    return parsed, columns
+
+
+def test_changes_between_two_manifests(rows):
+    """A renamed, a dropped, an added, a retyped and a newly required column of one model."""
+    before = manifest({"fare": {"data_type": "float8"}, "tip": {"data_type": "real"}, "day": {"data_type": "date", "nullable": True}})
+    after = manifest({"price": {"data_type": "double precision"}, "day": {"data_type": "timestamp", "nullable": False}, "zone": {"data_type": "int2"}})
+    outputs = [("before", "fare", "t.fare", None), ("after", "price", "T.FARE", None), ("before", "tip", "t.tip", None),
+               ("before", "day", "t.day", None), ("after", "day", "t.day", None), ("after", "zone", "t.zone", None)]
+    _, columns = trips(rows, {"before": before, "after": after}, outputs)
+    assert columns.rejections.count() == 0
     sides = columns.columns
     found = diff.schema_diff(sides.filter("side = 'before'"), sides.filter("side = 'after'"))
-    got = [tuple(r) for r in diff.canonical_order(found.changes).select(*FACTS).collect()]
-    assert got == [
-        ("rename_column", "total", "gross", "DECIMAL(12, 2)", "DECIMAL(18, 2)", True, False),
-        ("drop_column", "code", None, "TEXT", None, True, None),
-        ("add_column", None, "currency", None, "TEXT", None, False),
-        ("type_change", "note", "note", "TEXT", "BIGINT", None, None),
-        ("type_change", "total", "gross", "DECIMAL(12, 2)", "DECIMAL(18, 2)", None, None),
-        ("nullability_change", "status", "status", None, None, True, False),
-        ("nullability_change", "total", "gross", None, None, True, False),
+    assert [tuple(r) for r in diff.canonical_order(found.changes).select("relation", *FACTS).collect()] == [
+        ("lake.city.trips", "rename_column", "fare", "price", "DOUBLE", "DOUBLE", None, None),
+        ("lake.city.trips", "drop_column", "tip", None, "REAL", None, None, None),
+        ("lake.city.trips", "add_column", None, "zone", None, "SMALLINT", None, None),
+        ("lake.city.trips", "type_change", "day", "day", "DATE", "TIMESTAMP", None, None),
+        ("lake.city.trips", "nullability_change", "day", "day", None, None, True, False),
     ]
-    assert {r.relation for r in found.changes.collect()} == {'"analytics"."sales"'}
+
+
+@pytest.mark.parametrize(("adapter", "n"), [("postgres", 1), ("duckdb", 0), (None, 1)])
+def test_types_are_read_in_the_adapters_dialect(rows, adapter, n):
+    sides = {s: manifest({"c": {"data_type": t}}, adapter) for s, t in (("before", "varchar(10)"), ("after", "varchar(500)"))}
+    _, columns = trips(rows, sides)
+    found = diff.schema_diff(*(columns.columns.filter(f"side = '{s}'") for s in ("before", "after")))
+    assert found.changes.filter("change_type = 'type_change'").count() == n
+
+
+def test_digests_do_not_depend_on_layout_but_on_every_field(rows):
+    same = [{"a": 1, "b": {"d": [1, 2], "c": None}}, {"b": {"c": None, "d": [1, 2]}, "a": 1}]
+    parsed, _ = trips(rows, {"before": manifest({}, config=same[0], constraints=[{"type": "foreign_key", "to": "x"}]),
+                             "after": manifest({}, config=same[1], constraints=[{"to": "y", "type": "foreign_key"}])})
+    rows_ = parsed.nodes.select("config_sha256", "model_constraints_sha256").collect()
+    assert len({r[0] for r in rows_}) == 1 and len({r[1] for r in rows_}) == 2
+    kinds = rows("c array<string>", [(['{"type":"foreign_key","to":"x"}'],), (['{"to": "x", "type": "foreign_key"}'],), (['{"type":"foreign_key","to":"y"}'],),
+                                     (["foreign_key"],), (None,)])
+    got = [r[0] for r in kinds.select(interface.constraint_digests(F.col("c"))).collect()]
+    assert got[0] == got[1] and len({str(g) for g in got}) == 4 and got[4] is None
+
+
+@pytest.mark.parametrize(("column", "nullable"), [
+    ({"constraints": ["not_null"]}, False), ({"constraints": [" Not Null "]}, False), ({"constraints": [{"type": "not_null"}]}, False),
+    ({"constraints": ["unique", {"type": "check"}]}, None), ({"not_null": False}, True), ({"nullable": True, "constraints": ["not_null"]}, True), ({}, None)])
+def test_nullability_of_manifest_columns(rows, column, nullable):
+    _, columns = trips(rows, {"before": manifest({"c": {"data_type": "int", **column}})})
+    assert collect(columns.columns, "column_name", "nullable") == [("c", nullable)]
+
+
+def test_columns_that_cannot_be_judged(rows):
+    _, columns = trips(rows, {"before": manifest({"c": {"data_type": "int"}, "C": {}, "": {"name": " "}, "two": {}})},
+                       [("before", "c", "x", "text"), ("before", "two", "x", None), ("before", "two", "y", None)])
+    assert collect(columns.rejections, "reason", "detail") == [
+        ("column_name_missing", "model.lake.trips"), ("conflicting_types", "model.lake.trips.c"), ("duplicate_column", "model.lake.trips.c")]
+    assert [r.has_projection for r in columns.columns.filter("column_name = 'two'").collect()] == [False]
 
 
 def test_manifest_files_become_runs(spark, tmp_path):
-    for name, body in (("one", manifest([("id", "bigint", False)])), ("two", '{"metadata": {}}'), ("three", "[1]")):
+    for name, body in (("one", manifest({"id": {"data_type": "bigint"}})), ("two", '{"metadata": {}}'), ("three", "[1]")):
         (tmp_path / f"{name}.json").write_text(body)
     docs = manifests.read_manifests(spark, str(tmp_path), r"regexp_extract(path, '([a-z]+)[.]json$', 1)", "before")
     parsed = manifests.parse_manifests(docs)
-    assert collect(parsed.nodes, "run_key", "relation") == [("one", '"analytics"."sales"')]
+    assert collect(parsed.nodes, "run_key", "relation") == [("one", "lake.city.trips")]
     assert collect(parsed.rejections, "run_key", "reason") == [("three", "manifest_invalid"), ("two", "manifest_invalid")]
 
 

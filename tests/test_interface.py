@@ -94,10 +94,10 @@ def test_compat_column_keeps_places(rows):
 
 def test_snapshot_ignores_order_and_sees_constraints(rows):
     schema = ("run_key string, side string, unique_id string, column_name string, data_type string, nullable boolean, "
-              "not_null boolean, quote boolean, constraints array<struct<type:string>>")
-    base = [("n", "a", "INT", [("unique",), ("not null",)]), ("n", "b", "INT", None)]
+              "not_null boolean, quote boolean, constraints array<string>")
+    base = [("n", "a", "INT", ["unique", "not null"]), ("n", "b", "INT", None)]
     make = lambda run, items: [(run, "s", u, c, t, None, None, False, k) for u, c, t, k in items]
-    data = make("one", base) + make("two", [base[1], ("n", "a", "INT", [("not null",), ("unique",)])]) + make(
+    data = make("one", base) + make("two", [base[1], ("n", "a", "INT", ["not null", "unique"])]) + make(
         "three", [base[0], ("n", "b", "INT", [])])
     nodes = rows("run_key string, side string, unique_id string, config_sha256 string", [(r, "s", "n", "c") for r in ("one", "two", "three")])
     got = dict(collect(interface.snapshot_digest(interface.interface_snapshot(nodes, rows(schema, data))), "run_key", "sha256"))

@@ -137,8 +137,9 @@ def test_text_functions(rows):
     quoted = text.normalize_identifier(F.col("a"), F.lit(True))
     assert [r[0] for r in df.select(quoted).collect()] == ['"Ab"', '"q""x"', None, None]
     types = rows("t string", [("varchar",), ("varchar(3)",), ("decimal(12,2)",), (" numeric ( 5 ) ",), ("bigint",), ("timestamp  with time zone",)])
-    assert [r[0] for r in types.select(text.canonical_type(F.col("t"))).collect()] == [
+    assert [r[0] for r in types.select(text.canonical_type(F.col("t"), text.one_text_type(F.lit("duckdb")))).collect()] == [
         "TEXT", "TEXT", "DECIMAL(12, 2)", "DECIMAL(5)", "BIGINT", "TIMESTAMP WITH TIME ZONE"]
+    assert [r[0] for r in types.select(text.canonical_type(F.col("t"), text.one_text_type(F.lit("postgres")))).collect()][:2] == ["VARCHAR", "VARCHAR(3)"]
     urns = rows("u string", [("urn:li:dataset:(urn:li:dataPlatform:x,a%2Fb+c,PROD)",), ("urn:li:dataset:(x,PROD)",), ("urn:li:chart:1",)])
     assert [r[0] for r in urns.select(text.dataset_name(F.col("u"))).collect()] == ["a/b+c", None, None]
     paths = rows("p string", [("a\\b//c/./d/",), ("/x//y",), (".",), ("",), (None,)])
