@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changegate.constants import EVIDENCE_FIELDS
-from changegate.operators import diff, lineage, merge, score
+from changegate.operators import diff, interface, lineage, merge, score
 from changegate.operators.skew import even_join
 from changegate.policy import Policy
 from changegate.session import cut_lineage
@@ -43,6 +43,26 @@ class Context:
     records: DataFrame
 
 
+@dataclass(frozen=True)
+class Bridge:
+    """What was built to keep an old interface: the patched snapshot, in the columns of the other two.
+
+    ``nodes`` and ``tests``, of all three sides, add their rules to the proof (see ``interface.interface_check``).
+    """
+
+    patched: DataFrame
+    nodes: DataFrame | None = None
+    tests: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class Proofs:
+    """(run_key, proven, n_broken_rules) of every bridge in scope, and what the proven ones leave to be scored."""
+
+    proofs: DataFrame
+    residual: DataFrame
+
+
 @dataclass(frozen=True)
 class Gate:
     decisions: DataFrame
@@ -192,7 +212,7 @@ def merge_context(context: Context) -> merge.Merged:
 def assess_context(context: Context, policy: Policy) -> Gate:
     merged = merge_context(context)
     state = merge.worst_status(context.states, merged.conflicts)
-    records = context.records.unionByName(merge.conflict_records(merged.conflicts))
+    records = evidence_records(context, merged)
     # Change ids are content hashes and assets were just grouped: both unique.
     assessment = score.assess(
         context.resolved, merged.assets, state, policy, records, check_duplicates=False
@@ -200,27 +220,76 @@ def assess_context(context: Context, policy: Policy) -> Gate:
     return Gate(assessment.runs, assessment, merged, state, assessment.reasons)
 
 
+def evidence_records(context: Context, merged: merge.Merged) -> DataFrame:
+    """Records of all changes and of conflicting facts, and an error for every id that stands for different contents."""
+    records = context.records.unionByName(merge.conflict_records(merged.conflicts))
+    return records.unionByName(merge.record_conflicts(records, ["kind", "status", "critical"]))
+
+
+def prove_bridges(changes: DataFrame, before: DataFrame, after: DataFrame, bridge: Bridge) -> Proofs:
+    """Does the patched side of a single rename keep the old interface, and what else does it change?
+
+    The snapshots have run_key, relation, column_name, data_type, nullable, ordinal and expr_fingerprint.  Only runs that are
+    exactly one rename, and for which something was built, are looked at.
+    """
+    built = even_join(score.remediation_scope(changes), bridge.patched.select("run_key").distinct(), ["run_key"], "left_semi")
+    scope = cut_lineage(built)
+    renames = even_join(changes, scope, ["run_key"], "left_semi").select(
+        "run_key", "relation", "old_column", "new_column", "new_type", "new_nullable"
+    )
+    fields = ["run_key", "relation", "column_name", "data_type", "nullable", "ordinal", "expr_fingerprint"]
+    sides = None
+    for name, snapshot in zip(interface.SIDES, (before, after, bridge.patched), strict=True):
+        side = even_join(snapshot.select(*fields), scope, ["run_key"], "left_semi").withColumn("side", F.lit(name))
+        sides = side if sides is None else sides.unionByName(side)
+    columns = cut_lineage(interface.column_contracts(sides, ["column_name", "data_type", "nullable"]))
+    limited = [None if t is None else even_join(t, scope, ["run_key"], "left_semi") for t in (bridge.nodes, bridge.tests)]
+    proofs = interface.interface_proof(interface.interface_check(columns, renames, *limited))
+    # A run of which no rule could be checked is not proven.
+    proofs = cut_lineage(scope.join(proofs, "run_key", "left").withColumn("proven", F.coalesce("proven", F.lit(False))))
+    left = interface.residual_diff(columns)
+    proven = proofs.filter("proven").select("run_key")
+    # A patched side that cannot be compared proves nothing.
+    unclear = left.rejections.select("run_key").distinct().withColumn("unclear", F.lit(True))
+    proofs = proofs.join(unclear, "run_key", "left").withColumn("proven", F.col("proven") & F.col("unclear").isNull()).drop("unclear")
+    return Proofs(proofs, even_join(left.changes, proven, ["run_key"], "left_semi"))
+
+
 def run_gate(
     before: DataFrame,
     after: DataFrame,
     catalog: Catalog,
     policy: Policy | None = None,
-    proofs: DataFrame | None = None,
+    bridge: Bridge | None = None,
     max_hops: int | None = None,
 ) -> Gate:
     """Diff, context, score and final decision of every change set.
 
-    ``proofs`` (run_key, proven) lists runs whose bridge was built, tested and
-    shown to keep the old interface.  Only a run that is a single rename can
-    have one; its new column then remains as an addition to be rescored.
+    ``bridge`` has the patched snapshots of runs for which a bridge was built; its proof, and the score of what it leaves, are
+    derived here.  Only a run that is a single rename can have one.  Change sets that cannot be judged are shown as rejected
+    and blocked; ``rejections`` says why.
     """
     policy = policy or Policy()
     found = diff.schema_diff(before, after)
     changes = cut_lineage(found.changes)
     context = collect_context(changes, catalog, max_hops)
     gate = assess_context(context, policy)
-    decisions = decide(gate.decisions, changes, context, gate.state, policy, proofs)
-    return Gate(decisions, gate.assessment, gate.merged, gate.state, found.rejections)
+    proofs = None if bridge is None else prove_bridges(changes, before, after, bridge)
+    records = evidence_records(context, gate.merged)
+    decisions = decide(gate.decisions, changes, context, gate.state, policy, proofs, records)
+    return Gate(with_rejected(decisions, found.rejections), gate.assessment, gate.merged, gate.state, found.rejections)
+
+
+def with_rejected(decisions: DataFrame, rejections: DataFrame) -> DataFrame:
+    """One row per rejected change set besides the judged ones: nothing is known of it, so it is blocked."""
+    rejected = rejections.select("run_key").distinct().select(
+        "run_key",
+        F.lit("UNSUPPORTED").alias("remediation_status"),
+        F.lit("BLOCK").alias("final_decision"),
+        F.lit("REJECTED").alias("status"),
+        F.lit(False).alias("passing"),
+    )
+    return decisions.unionByName(rejected, allowMissingColumns=True)
 
 
 def decide(
@@ -229,13 +298,18 @@ def decide(
     context: Context,
     state: DataFrame,
     policy: Policy,
-    proofs: DataFrame | None,
+    proofs: Proofs | None = None,
+    records: DataFrame | None = None,
 ) -> DataFrame:
-    """Final decision and status per run, with the residual score of proven bridges."""
+    """Final decision and status per run, with the residual score of proven bridges.
+
+    What a bridge leaves is judged on the same evidence as the change itself, its records included.
+    """
     scope = score.remediation_scope(changes)
     if proofs is None:
-        proofs = scope.select("run_key", F.lit(False).alias("proven")).filter(F.lit(False))
-    tested = scope.join(proofs, "run_key", "left").select(
+        nothing = scope.filter(F.lit(False)).withColumn("proven", F.lit(False))
+        proofs = Proofs(nothing, changes.filter(F.lit(False)))
+    tested = scope.join(proofs.proofs.select("run_key", "proven"), "run_key", "left").select(
         "run_key",
         F.when(F.col("proven"), "TESTED")
         .when(F.col("proven").isNull(), "GENERATED")
@@ -243,8 +317,10 @@ def decide(
         .alias("remediation_status"),
         F.coalesce("proven", F.lit(False)).alias("proven"),
     )
-    residual = residual_changes(changes, tested.filter("proven").select("run_key"))
-    rescored = score.residual_assess(residual, context.impacted, state, policy).select(
+    residual = proofs.residual
+    if records is not None:
+        records = even_join(records, residual.select("run_key").distinct(), ["run_key"], "left_semi")
+    rescored = score.residual_assess(residual, context.impacted, state, policy, records).select(
         "run_key",
         F.col("score").alias("residual_score"),
         F.col("decision").alias("residual_decision"),
@@ -256,7 +332,10 @@ def decide(
         .withColumn("remediation_status", F.coalesce("remediation_status", F.lit("UNSUPPORTED")))
         .withColumn("counterfactual_verified", F.coalesce("proven", F.lit(False)))
         .withColumn("interface_preserved", F.coalesce("proven", F.lit(False)))
-        .withColumn("counterfactual_condition", F.when(F.col("proven"), "RESIDUAL_CHANGES"))
+        .withColumn(
+            "counterfactual_condition",
+            F.when(F.col("proven") & F.col("residual_score").isNull(), "NO_RESIDUAL_CHANGES").when(F.col("proven"), "RESIDUAL_CHANGES"),
+        )
         .withColumn("publish_state", F.lit("NOT_REQUESTED"))
     )
     final = joined.withColumn("final_decision", score.gate_decision()).withColumn("status", score.run_status())
@@ -277,19 +356,3 @@ def decide(
         "status",
         "passing",
     )
-
-
-def residual_changes(changes: DataFrame, proven: DataFrame) -> DataFrame:
-    """What a proven bridge leaves of a rename: the new column as an addition."""
-    null_text = F.lit(None).cast("string")
-    left = changes.join(proven, "run_key", "left_semi").filter(F.col("change_type") == "rename_column")
-    added = (
-        left.withColumn("change_type", F.lit("add_column"))
-        .withColumn("old_column", null_text)
-        .withColumn("old_type", null_text)
-        .withColumn("old_nullable", F.lit(None).cast("boolean"))
-        .withColumn("evidence_refs", F.array(F.lit(diff.REF_ADDED)))
-        .withColumn("source_path", F.lit("<verified-counterfactual>"))
-        .drop("change_id")
-    )
-    return diff.finish_changes(added)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from changegate.constants import CONFLICT_FACTS
 from changegate.operators import merge, score
 from changegate.plans import gate
-from changegate.plans.diffing import snapshot
+from changegate.plans.diffing import gate_changes, snapshot
 from changegate.plans.staging import staged
 from changegate.plans.tracing import TRACE_VIEWS, gate_context, load_catalog
 from changegate.plans.views import table, view, with_clause
@@ -112,18 +112,16 @@ def q_assess(spark, sf_dir):
     return gate.assess_context(gate_context(spark, sf_dir), Policy()).decisions
 
 
-def _proofs(spark, sf_dir):
-    """Bridges of every second run count as built, tested and proven."""
-    parts = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 8).alias("k")).distinct()
-    return parts.filter(F.col("k") % 3 != 0).select(
-        F.concat(F.lit("run:"), "k").alias("run_key"), (F.col("k") % 2 == 0).alias("proven")
-    )
+def q_gate_decision(spark, sf_dir):
+    """The flagship: three snapshots and a catalog in, one final decision per change set out."""
+    before, after, patched = (snapshot(spark, sf_dir, n) for n in ("gate_before", "gate_after", "gate_patched"))
+    return gate.run_gate(before, after, load_catalog(spark, sf_dir), bridge=gate.Bridge(patched)).decisions
 
 
-def q_gate_decision(spark, sf_dir):
-    """The flagship: snapshots and catalog in, one final decision per change set out."""
-    before, after = (snapshot(spark, sf_dir, n) for n in ("gate_before", "gate_after"))
-    return gate.run_gate(before, after, load_catalog(spark, sf_dir), proofs=_proofs(spark, sf_dir)).decisions
+def q_gate_proofs(spark, sf_dir):
+    """Which bridges of single renames keep the old interface, and how many rules the others break."""
+    before, after, patched = (snapshot(spark, sf_dir, n) for n in ("gate_before", "gate_after", "gate_patched"))
+    return gate.prove_bridges(gate_changes(spark, sf_dir), before, after, gate.Bridge(patched)).proofs.select("run_key", "proven")
 
 
 def _outcomes(spark, sf_dir):
@@ -180,6 +178,7 @@ QUERIES = {
     "override_reasons": q_override_reasons,
     "assess": q_assess,
     "gate_decision": q_gate_decision,
+    "gate_proofs": q_gate_proofs,
     "run_status": q_run_status,
 }
 
@@ -352,7 +351,10 @@ least(15, cast(round(3 * log2(1 + count(distinct l_orderkey))) as int)) as bread
     "override_reasons": sql("select run_key, reason from gate_reason"),
     "assess": sql("select * from gate_assessed"),
     "gate_decision": sql("""select *, final_decision in ('PASS', 'PASS_WITH_REMEDIATION') and status = 'COMPLETE' as passing
-from gate_final"""),
+from gate_final
+union all by name select distinct run_key, 'UNSUPPORTED' as remediation_status, 'BLOCK' as final_decision, 'REJECTED' as status,
+  false as passing from gate_rejection"""),
+    "gate_proofs": sql("""select run_key, proven from gate_tested where remediation_status <> 'GENERATED'"""),
     "run_status": """
 with o as (select o_orderkey as k, o_orderstatus as s from orders),
 d as (select k, case when k % 3 <> 0 and s = 'F' and k % 7 <> 0 and k % 11 <> 0 and (k % 13 = 0 or k % 4 <> 0)
