@@ -38,7 +38,7 @@ from changegate.llm.common import arrow_map, cut_lineage, text_bytes
 
 CONTEXT, END_ID = 4096, 2
 BINS, DIMS, GRID_BITS, PROJECTION_SEED = 256, 3, 10, 20240
-MAX_WORDS, MAX_WORD_BYTES = 600_000, 64
+MAX_WORDS, MAX_WORD_BYTES = 300_000, 64
 
 TOKEN_SCHEMA = "doc_id bigint, key bigint, n bigint, ids binary"
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"

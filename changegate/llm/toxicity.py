@@ -38,11 +38,11 @@ from pyspark.sql import functions as F
 from changegate.llm.common import arrow_map, bounded_batches, text_bytes
 
 HELD_OUT_OF = 5  # rows whose crc32 of the id is divisible by this are never learned from
-MAX_ROWS, MAX_BYTES = 6_000, 48 << 20  # the bound of the learning sample
+MAX_ROWS, MAX_BYTES = 3_000, 24 << 20  # the bound of the learning sample
 PREFIXES = (3, 4, 5, 6, 7)
 MIN_CONTEXTS, MIN_LIFT = 5, 12.0  # what makes a form toxic: distinct neighbourhoods, and how much more often in toxic texts
 ROUNDS, RATE, PENALTY = 60, 0.5, 1e-3
-MAX_KNOWN_WORDS = 300_000
+MAX_KNOWN_WORDS = 200_000
 LIKELY = 0.3  # tags from here on count towards a document's score
 
 _WORD = re.compile(r"\w+")
@@ -187,27 +187,25 @@ def evidence(p: np.ndarray) -> tuple[float, float]:
 
 def toxic_forms(texts: list[list[str]], toxic: list[bool]) -> set[str]:
     """Forms that are met in toxic documents far more often than in clean ones, each neighbourhood counted once."""
-    count = {True: Counter(), False: Counter()}
-    places: dict[bool, set] = {True: set(), False: set()}
-    size = Counter()
-    for words, is_toxic in zip(texts, toxic, strict=True):
-        seen, mine = places[is_toxic], count[is_toxic]
-        for before, word, after in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
-            place = hash((before, word, after))
-            if place not in seen:
-                seen.add(place)
-                size[is_toxic] += 1
-                mine.update((word,))
-    by_form = {kind: Counter() for kind in count}
-    for kind, counter in count.items():
-        for word, n in counter.items():
+    size, by_form = Counter(), {True: Counter(), False: Counter()}
+    for kind in (True, False):  # toxic first: what they do not hold need not be counted in the clean ones
+        seen, count = set(), Counter()
+        for words, is_toxic in zip(texts, toxic, strict=True):
+            if is_toxic == kind:
+                for place in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
+                    mark = hash(place)
+                    if mark not in seen:
+                        seen.add(mark)
+                        count[place[1]] += 1
+        size[kind] = len(seen) + 1.0
+        for word, n in count.items():
             for f in forms(word):
-                by_form[kind][f] += n
-    rate = {kind: size[kind] + 1.0 for kind in count}
+                if kind or f in by_form[True]:
+                    by_form[kind][f] += n
     return {
         f
         for f, n in by_form[True].items()
-        if n >= MIN_CONTEXTS and (n / rate[True]) >= MIN_LIFT * ((by_form[False][f] + 0.5) / rate[False])
+        if n >= MIN_CONTEXTS and (n / size[True]) >= MIN_LIFT * ((by_form[False][f] + 0.5) / size[False])
     }
 
 
@@ -215,7 +213,8 @@ def learn(texts: list[str], toxic: list[bool]) -> ToxicityModel:
     """A model from labelled documents; every step is deterministic."""
     if len(set(toxic)) < 2:
         return UNUSABLE
-    split = [words_of(t) for t in texts]
+    one: dict[str, str] = {}  # one string per word, however often it occurs
+    split = [[one.setdefault(w, w) for w in words_of(t)] for t in texts]
     known = toxic_forms(split, toxic)
     # Only forms that tag a word, or that such a word shares with others, can have a weight.
     columns: dict[str, int] = {}
