@@ -12,12 +12,13 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from changegate.plans import catalogue
 from changegate.plans.diffing import gate_changes
 from changegate.plans.tracing import gate_context, reached_columns
-from changegate.session import local_session
+from changegate.session import clean_up, local_session
 
 HEADLINE = (
     "gate_decision",
@@ -48,7 +49,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     partitions = int(cpus) if cpus.isdigit() else 8
-    spark = local_session(cpus, shuffle_partitions=partitions, app="changegate-bench")
+    shared = os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="changegate-bench-")
+    spark = local_session(cpus, shuffle_partitions=partitions, app="changegate-bench", shared=shared)
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()  # start the workers
 
@@ -81,6 +83,7 @@ def main() -> None:
         "queries": times,
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }
+    clean_up(spark)
     spark.stop()
     print(json.dumps(line), flush=True)
 

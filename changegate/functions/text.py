@@ -162,7 +162,7 @@ def dataset_name(urn: Column) -> Column:
 
 def assertion_fields(fields: Column) -> Column:
     """Distinct lower-case field paths of one assertion; unreadable ones are skipped."""
-    usable = F.filter(F.coalesce(fields, F.array().cast("array<string>")), lambda f: f != "")
+    usable = F.filter(F.coalesce(fields, F.array().cast("array<string>")), lambda f: F.coalesce(f != "", F.lit(False)))
     return F.array_distinct(F.transform(usable, F.lower))
 
 

@@ -67,7 +67,11 @@ def interface_check(
     test_sha256.  All rules of a relation come from one grouped pass over its
     columns; position rules use ordinals, so no column list is gathered.
     """
-    sided = even_join(pivot_sides(columns), renames, RELATION_KEY, "inner")
+    one = F.struct("old_column", "new_column", "new_type", "new_nullable")
+    counted = renames.groupBy(*RELATION_KEY).agg(F.count(F.lit(1)).alias("n_renames"), F.max(one).alias("rename"))
+    # A relation with two renames has no bridge to check: it fails, and its columns are not mixed.
+    single = counted.filter(F.col("n_renames") == 1).select(*RELATION_KEY, "rename.*")
+    sided = even_join(pivot_sides(columns), single, RELATION_KEY, "inner")
     b, p, q = (F.col(s) for s in SIDES)
     is_old = F.col("column_name") == F.col("old_column")
     is_new = F.col("column_name") == F.col("new_column")
@@ -136,14 +140,14 @@ def interface_check(
         & (c("proposed_ordinal") == c("old_ordinal"))
         & (c("old_proposed") == 0),
     }
-    out = _long(facts, rules)
+    out = _long(facts, rules).unionByName(_long(counted, {"single_rename": F.col("n_renames") == 1}))
     positions = (
         columns.groupBy(*RELATION_KEY, "side", "ordinal")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy(*RELATION_KEY)
         .agg((F.max("n") == 1).alias("positions_unique"))
     )
-    wanted = renames.select(*RELATION_KEY)
+    wanted = counted.select(*RELATION_KEY)
     out = out.unionByName(
         _long(positions.join(wanted, RELATION_KEY, "left_semi"), {"positions_unique": c("positions_unique")})
     )

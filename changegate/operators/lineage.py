@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changegate.constants import ADDITIVE_TYPES
-from changegate.functions.text import asset_type, dataset_name, type_fingerprint, valid_urn
+from changegate.functions.text import assertion_fields, asset_type, dataset_name, type_fingerprint, valid_urn
 from changegate.operators.skew import even_join
 from changegate.session import fresh_path
 
@@ -328,8 +328,8 @@ def drop_unavailable(enriched: DataFrame, status: DataFrame) -> DataFrame:
 
 def _assertion_keys(assertions: DataFrame) -> DataFrame:
     """Join keys of an assertion: its fields and the wildcard, or no column at all."""
-    usable = F.when(F.col("field") != "", F.lower("field"))
-    rows = assertions.select("assertion_urn", "dataset_urn", usable.alias("key"))
+    fields = F.col("fields") if "fields" in assertions.columns else F.array("field")
+    rows = assertions.select("assertion_urn", "dataset_urn", F.explode_outer(assertion_fields(fields)).alias("key"))
     by_field = rows.filter(F.col("key").isNotNull()).distinct()
     whole = rows.groupBy("assertion_urn", "dataset_urn").agg(
         F.when(F.count("key") == 0, NO_COLUMN).otherwise(ANY_COLUMN).alias("key")
@@ -342,7 +342,7 @@ def link_assertions(datasets: DataFrame, columns: DataFrame, assertions: DataFra
 
     ``datasets``: run_key, change_id, dataset_urn, has_columns; ``columns``: the
     known affected columns in long form; ``assertions``: assertion_urn,
-    dataset_urn, field (null when none is stated).  An assertion without fields
+    dataset_urn, and field (null when none is stated) or a list ``fields``.  An assertion without fields
     is kept; with fields it is kept if one is affected or if the affected
     columns are unknown, and then ``unknown_columns`` is set.
     """

@@ -52,16 +52,22 @@ def _disagree(value: Column) -> Column:
     return ~all_null & (some_null | (F.min(value) != F.max(value)))
 
 
+EVIDENCE_FACT = "evidence_refs"
+
+
 def members_of(impacted: DataFrame) -> DataFrame:
-    """Long form of the list columns: (run, change, urn, fact, member)."""
+    """Long form of the list columns, evidence references included: (run, change, urn, fact, member)."""
     parts = [
         impacted.select(
             "run_key", "change_id", "urn", F.lit(fact).alias("fact"), F.explode(fact).alias("member")
         ).distinct()
-        for fact in SET_FACTS
+        for fact in (*SET_FACTS, EVIDENCE_FACT)
         if fact in impacted.columns
     ]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @dataclass(frozen=True)
@@ -136,12 +142,14 @@ def merge_assets(impacted: DataFrame, members: DataFrame | None = None, staged:
         "recent_query_usage_score",
         "n_reports",
     )
-    # A list that is unknown in any report is unknown as a whole.
+    # A list that is unknown in any report is unknown as a whole; evidence is only ever added to.
     known = assets.select(
         *ASSET_KEY,
         F.explode(
             F.array_compact(
-                F.array(*[F.when(F.col(flag).isNotNull(), F.lit(fact)) for fact, flag in SET_FACTS.items()])
+                F.array(
+                    F.lit(EVIDENCE_FACT), *[F.when(F.col(flag).isNotNull(), F.lit(fact)) for fact, flag in SET_FACTS.items()]
+                )
             )
         ).alias("fact"),
     )

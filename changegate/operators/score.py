@@ -108,8 +108,53 @@ def score_assets(assets: DataFrame, worst: DataFrame, policy: Policy) -> DataFra
     )
 
 
-def asset_contributions(scored: DataFrame) -> DataFrame:
-    """Long form of the points of each asset, with a clamp row where it applied."""
+# Why each kind of points is given, by key.
+EXPLANATIONS = {
+    "assertion_contract": "an assertion depends on the asset",
+    "critical_asset": "the asset is marked critical",
+    "dashboard_or_chart": "people look at the asset",
+    "data_job_or_flow": "a job or flow runs on the asset",
+    "sensitive_data": "the asset is marked sensitive",
+    "direct_column_lineage": "a changed column is known to reach the asset",
+    "missing_owner": "ownership was looked up and nobody owns the asset",
+    "recent_query_usage": "recent queries use the asset, counted up to the policy's limit",
+    "asset_score_range": "the sum was moved into the range of scores",
+}
+
+
+def explanation(category: Column, key: Column, points: Column, policy_penalty: int) -> Column:
+    """One sentence for a contribution; severities and hops are told with their numbers."""
+    told = F.when(category == "severity", F.concat(F.lit("the worst change of the set is of class "), key))
+    if policy_penalty:
+        hops = (-points / policy_penalty).cast("int")
+        told = told.when(key == "downstream_hops", F.concat(hops.cast("string"), F.lit(f" more hops at {policy_penalty} points each")))
+    for name, text in EXPLANATIONS.items():
+        told = told.when(key == name, text)
+    return told
+
+
+def contribution_evidence(contributions: DataFrame, changes: DataFrame, members: DataFrame) -> DataFrame:
+    """What each contribution rests on: (run_key, asset_urn, key, evidence_ref), in long form.
+
+    A severity rests on the evidence of the worst change, everything else on the merged evidence of the asset (``members``
+    of the merge, by the fact ``evidence_refs``).  No list is gathered, so an asset may have any number of references.
+    """
+    of_change = changes.select("run_key", "change_id", F.explode("evidence_refs").alias("evidence_ref"))
+    of_asset = members.filter(F.col("fact") == "evidence_refs").select(
+        "run_key", F.col("urn").alias("asset_urn"), F.col("member").alias("evidence_ref")
+    )
+    shown = ["run_key", "asset_urn", "key", "evidence_ref"]
+    severe = contributions.filter(F.col("category") == "severity")
+    other = contributions.filter(~F.col("category").isin("severity", "clamp"))
+    return (
+        even_join(severe, of_change, ["run_key", "change_id"], "inner").select(*shown)
+        .unionByName(even_join(other, of_asset, ["run_key", "asset_urn"], "inner").select(*shown))
+        .distinct()
+    )
+
+
+def asset_contributions(scored: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """Long form of the points of each asset and why, with a clamp row where it applied."""
     clamp = F.when(
         F.col("score") != F.col("raw_score"),
         F.struct(
@@ -128,6 +173,9 @@ def asset_contributions(scored: DataFrame) -> DataFrame:
         "part.category",
         "part.key",
         "part.points",
+        explanation(F.col("part.category"), F.col("part.key"), F.col("part.points"), (policy or Policy()).hop_penalty).alias(
+            "explanation"
+        ),
     )
 
 

@@ -175,6 +175,7 @@ BRIDGE_VIEWS = {
     )
     + """ union all select run_key, relation, 'positions_unique', max(n) = 1 from (select run_key, relation, side, ordinal,
         count(*) as n from bridge_column group by all) x group by run_key, relation"""
+    + " union all select run_key, relation, 'single_rename', count(*) = 1 from bridge_rename group by run_key, relation"
     + " union all select run_key, relation, 'three_sides', count(*) = 3 from bridge_node group by run_key, relation"
     + "".join(
         f""" union all select b.run_key, b.relation, '{fact}_{word}', b.{fact} = q.{fact} from bridge_node b join bridge_node q

@@ -54,7 +54,7 @@ def q_infer_renames(spark, sf_dir):
 
 
 def q_attribute_changes(spark, sf_dir):
-    """Attribute changes of the columns both sides keep."""
+    """Attribute changes of the columns both sides keep, and of the renamed ones."""
     before, after = (snapshot(spark, sf_dir, n) for n in ("snap_before", "snap_after"))
     pairs = diff.pair_columns(before, after)
     kept = pairs.filter((F.col("n_old") > 0) & (F.col("n_new") > 0)).select(
@@ -65,7 +65,8 @@ def q_attribute_changes(spark, sf_dir):
         "old",
         "new",
     )
-    return diff.attribute_changes(kept).drop("evidence_refs")
+    renamed = diff.infer_renames(pairs).select(*kept.columns)
+    return diff.attribute_changes(kept.unionByName(renamed)).drop("evidence_refs")
 
 
 def q_removed_relations(spark, sf_dir):
@@ -136,7 +137,7 @@ VALIDATED_KINDS = (
 
 
 def ddl_actions(spark, sf_dir):
-    """An ALTER log read from the event stream: one batch per user and minute."""
+    """An ALTER log read from the event stream: one batch per user and hour."""
     kind = F.col("event_type")
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("batch:"), "user_id", F.lit("/"), F.date_format("ts", "yyyy-MM-dd HH")).alias("run_key"),
@@ -373,13 +374,16 @@ ORACLES = {
     "diff_rejections": sql("select * from gate_rejection"),
     "infer_renames": sql("select run_key, relation, old_column, new_column from snap_rename"),
     "attribute_changes": sql("""
-select b.run_key, b.relation, 'type_change' as change_type, b.column_name as old_column, b.column_name as new_column,
-  b.data_type as old_type, a.data_type as new_type, cast(null as boolean) as old_nullable,
-  cast(null as boolean) as new_nullable
-from snap_before b join snap_after a using (run_key, relation, column_name) where a.data_type <> b.data_type
+with m as (select b.run_key, b.relation, b.column_name as old_column, a.column_name as new_column, b.data_type as old_type,
+    a.data_type as new_type, b.nullable as old_nullable, a.nullable as new_nullable
+  from snap_before b join snap_after a on a.run_key = b.run_key and a.relation = b.relation and (a.column_name = b.column_name
+    or exists (select 1 from snap_rename r where r.run_key = b.run_key and r.relation = b.relation
+      and r.old_column = b.column_name and r.new_column = a.column_name)))
+select run_key, relation, 'type_change' as change_type, old_column, new_column, old_type, new_type,
+  cast(null as boolean) as old_nullable, cast(null as boolean) as new_nullable from m where old_type <> new_type
 union all
-select b.run_key, b.relation, 'nullability_change', b.column_name, b.column_name, null, null, b.nullable, a.nullable
-from snap_before b join snap_after a using (run_key, relation, column_name) where a.nullable <> b.nullable"""),
+select run_key, relation, 'nullability_change', old_column, new_column, null, null, old_nullable, new_nullable
+from m where old_nullable <> new_nullable"""),
     "removed_relations": sql("select * from gate_rejection where reason = 'removed_relation'"),
     "change_ids": sql("select run_key, change_type, old_column, new_column, change_id from gate_change"),
     "severity": sql("select change_id, severity_key, severity_points from gate_severity"),

@@ -84,6 +84,21 @@ def q_gate_conflicts(spark, sf_dir):
     return gate.merge_context(gate_context(spark, sf_dir)).conflicts
 
 
+def q_merged_evidence(spark, sf_dir):
+    """The evidence of every merged asset: one reference per change that reports it."""
+    reports = _reports(spark, sf_dir).withColumn("evidence_refs", F.array(F.concat(F.lit("report:"), "change_id")))
+    return merge.merge_assets(reports).members.filter(F.col("fact") == merge.EVIDENCE_FACT)
+
+
+def q_contribution_evidence(spark, sf_dir):
+    """What the points of every impacted asset rest on: the worst change's evidence, or the changes that reach the asset."""
+    context, scored = gate_context(spark, sf_dir), _scored(spark, sf_dir)
+    members = context.impacted.select(
+        "run_key", "urn", F.lit(merge.EVIDENCE_FACT).alias("fact"), F.concat(F.lit("lineage:"), "change_id").alias("member")
+    )
+    return score.contribution_evidence(score.asset_contributions(scored), gate_changes(spark, sf_dir), members)
+
+
 def q_asset_contributions(spark, sf_dir):
     return score.asset_contributions(_scored(spark, sf_dir))
 
@@ -172,6 +187,8 @@ QUERIES = {
     "record_conflicts": q_record_conflicts,
     "gate_conflicts": q_gate_conflicts,
     "asset_contributions": q_asset_contributions,
+    "merged_evidence": q_merged_evidence,
+    "contribution_evidence": q_contribution_evidence,
     "asset_score": q_asset_score,
     "score_basis": q_score_basis,
     "breadth": q_breadth,
@@ -312,9 +329,13 @@ def sql(statement: str) -> str:
     return with_clause(statement, SCORE_VIEWS)
 
 
-_CLAMP_SQL = """select run_key, asset_urn, change_id, category, key, points from gate_points
+_CLAMP_SQL = """select *, case when category = 'severity' then 'the worst change of the set is of class ' || key
+  when key = 'downstream_hops' then cast(points // -4 as int) || ' more hops at 4 points each' """ + " ".join(
+    f"when key = '{k}' then '{t.replace(chr(39), chr(39) * 2)}'" for k, t in score.EXPLANATIONS.items()
+) + """ end as explanation from (
+select run_key, asset_urn, change_id, category, key, points from gate_points
 union all select run_key, asset_urn, null, 'clamp', 'asset_score_range', score - raw_score from gate_score
-where score <> raw_score"""
+where score <> raw_score) c"""
 
 ORACLES = {
     "merge_context": sql("select * from report_assets"),
@@ -344,6 +365,12 @@ select 'run:' || (l_orderkey % 10) as run_key,
 having count(distinct l_returnflag || l_linestatus) > 1""",
     "gate_conflicts": sql("select * from merged_conflicts"),
     "asset_contributions": sql(_CLAMP_SQL),
+    "merged_evidence": sql("select distinct run_key, urn, 'evidence_refs' as fact, 'report:' || change_id as member from report_rows"),
+    "contribution_evidence": sql("""
+select p.run_key, p.asset_urn, p.key, unnest(string_split(c.evidence_refs, ',')) as evidence_ref from gate_points p
+  join gate_change c on c.run_key = p.run_key and c.change_id = p.change_id where p.category = 'severity'
+union select p.run_key, p.asset_urn, p.key, 'lineage:' || i.change_id from gate_points p
+  join gate_impacted i on i.run_key = p.run_key and i.urn = p.asset_urn where p.category <> 'severity'"""),
     "asset_score": sql("select * from gate_score"),
     "score_basis": sql("select * from gate_basis"),
     "breadth": """select 'part:' || l_partkey as run_key, count(distinct l_orderkey) as n_assets,

@@ -27,14 +27,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "changegate") -> SparkSession:
-    """A single-machine session for tests and the benchmark."""
+def local_session(
+    cores: str = "*", shuffle_partitions: int = 8, app: str = "changegate", shared: str | None = None
+) -> SparkSession:
+    """A single-machine session for tests and the benchmark, with its own folder for stages unless one is named."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
+        .config(CHECKPOINT_CONF, shared or tempfile.mkdtemp(prefix="changegate-"))
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
         # Do not record a Python call site for every column expression.
@@ -48,27 +51,43 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cha
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder; on a cluster a
-    machine-local path would lose data with the executor that wrote it.
+    A local session without one gets a temporary folder, remembered by its context; on a cluster a machine-local path would
+    lose data with the executor that wrote it, so there the setting is required.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
-    known = _LOCAL_DIRS.get(spark.sparkContext.applicationId)
-    if known is None:
-        known = tempfile.mkdtemp(prefix="changegate-")
-        _LOCAL_DIRS[spark.sparkContext.applicationId] = known
-    return known
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="changegate-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
-_LOCAL_DIRS: dict[str, str] = {}
+def run_dir(spark: SparkSession) -> str:
+    """Where this application writes its stages."""
+    return f"{shared_dir(spark).rstrip('/')}/changegate-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path of this application below the shared folder."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def file_status(spark: SparkSession, path: str):
+    """Hadoop's (file system, path) of a path in any store that Spark reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, hadoop = file_status(spark, path)
+    return system.exists(hadoop)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove the stages of this application, once its results have been read or written elsewhere."""
+    system, hadoop = file_status(spark, run_dir(spark))
+    system.delete(hadoop, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changegate.operators.publish import SEAL_SHAPE, Store, _exists
+from changegate.operators.publish import SEAL_SHAPE, Store
+from changegate.session import exists
 
 # The typed columns of the order seed.
 SEED_SCHEMA = (
@@ -54,7 +55,7 @@ def ledger_key() -> F.Column:
 
 def read_ledger(spark: SparkSession, store: Store) -> DataFrame | None:
     path = store.file("ledger")
-    return spark.read.parquet(path) if _exists(spark, path) else None
+    return spark.read.parquet(path) if exists(spark, path) else None
 
 
 def append_ledger(spark: SparkSession, runs: DataFrame, store: Store) -> DataFrame:

@@ -5,14 +5,16 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
 
-from changegate.session import local_session  # noqa: E402
+from changegate.session import clean_up, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("8", shuffle_partitions=4, app="changegate-tests")
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session("8", shuffle_partitions=4, app="changegate-tests", shared=str(shared))
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean_up(session)
     session.stop()
 
 

@@ -117,3 +117,14 @@ def test_attached_tests(rows):
     assert collect(rejected, "reason", "detail") == [("test_dependencies_invalid", "6"), ("test_points_to_missing_column", "4")]
     evidence = {(u, c): ok for u, c, ok in collect(interface.test_evidence(digests), "unique_id", "column_name", "complete")}
     assert evidence == {("n", "Col"): True, ("n", None): False, ("m", None): False}
+
+
+def test_two_renames_of_one_relation_fail(rows):
+    columns = rows(SCHEMA, [("r", "t", side, name, row["data_type"], row["nullable"], row["ordinal"], row["expr_fingerprint"])
+                            for name, side, row in bridge()])
+    contracts = interface.column_contracts(columns, ["column_name", "data_type", "nullable"])
+    renames = rows("run_key string, relation string, old_column string, new_column string, new_type string, new_nullable boolean", [
+        ("r", "t", "total", "gross", "INT", False), ("r", "t", "day", "date", "INT", False)])
+    one = interface.interface_proof(interface.interface_check(contracts, renames.limit(1)))
+    two = interface.interface_proof(interface.interface_check(contracts, renames))
+    assert collect(one, "proven") == [(True,)] and collect(two, "proven") == [(False,)]

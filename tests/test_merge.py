@@ -70,3 +70,9 @@ def test_hot_asset_with_many_reports(rows):
     merged = merge.merge_assets(rows(SCHEMA, data))
     assert merged.assets.first().n_reports == 600
     assert merged.members.filter(F.col("fact") == "owners").count() == 3
+
+
+def test_evidence_is_united_whatever_is_known(rows):
+    data = [(*report("1", owners=None), ["a", "b"]), (*report("2"), ["b", "c"]), (*report("3", urn="v"), None)]
+    merged = merge.merge_assets(rows(SCHEMA + ", evidence_refs array<string>", data))
+    assert collect(merged.members.filter("fact = 'evidence_refs'"), "urn", "member") == [("u", "a"), ("u", "b"), ("u", "c")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changegate.functions import identity, text
 from changegate.operators import publish, quality, scan
-from changegate.session import cut_lineage, fresh_path, shared_dir
+from changegate.session import cut_lineage, exists, fresh_path, run_dir, shared_dir
 from changegate.sources import tables
 
 # One sample of every shape, built from parts so that no scan of this file finds them.
@@ -174,13 +174,28 @@ class Named:
         return self.folder if key == "spark.checkpoint.dir" else default
 
     def getCheckpointDir(self):
-        return None
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
 
 
 def test_stages_go_to_the_named_folder(spark, rows):
     assert shared_dir(Named("hdfs:///shared", "yarn")) == "hdfs:///shared"
-    assert shared_dir(Named(None, "local[2]"))
+    local = Named(None, "local[2]")
+    assert shared_dir(local) == shared_dir(local) == local.folder
     with pytest.raises(ValueError):
         shared_dir(Named(None, "spark://host:7077"))
     staged = cut_lineage(rows("k int", [(1,), (2,)]))
     assert staged.count() == 2 and shared_dir(spark) in staged.inputFiles()[0]
+    assert exists(spark, run_dir(spark))
+
+
+def test_stages_follow_the_tables(spark, rows, tmp_path):
+    from changegate.plans.staging import staged
+
+    rows("k int", [(1,)]).write.parquet(str(tmp_path / "t.parquet"))
+    read = lambda: staged(spark, str(tmp_path), "copy", lambda: spark.read.parquet(str(tmp_path / "t.parquet")))
+    assert read().count() == 1 and read().inputFiles() == read().inputFiles()
+    rows("k int", [(2,), (3,)]).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    assert read().count() == 3
