@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from changegate.llm.common import arrow_map, cut_lineage, text_bytes
 from changegate.llm.components import connected_components
+from changegate.operators.skew import even_join
 
 SHINGLE_WORDS, RADIUS, SEED = 4, 4, 42
 AGREE = 3  # whole bands that linked fingerprints share
@@ -255,7 +256,7 @@ def classes(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Data
     rooted = distinct.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     rooted = cut_lineage(rooted)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return cut_lineage(rooted.join(least, "root").select("bits", "component_id"))
+    return cut_lineage(even_join(rooted, least, ["root"], "inner").select("bits", "component_id"))
 
 
 def near_duplicates(
