@@ -38,7 +38,7 @@ from changegate.llm.common import arrow_map, cut_lineage, text_bytes
 
 CONTEXT, END_ID = 4096, 2
 BINS, DIMS, GRID_BITS, PROJECTION_SEED = 256, 3, 10, 20240
-MAX_WORDS, MAX_WORD_BYTES = 300_000, 64
+MAX_WORDS, MAX_WORD_BYTES = 400_000, 64
 
 TOKEN_SCHEMA = "doc_id bigint, key bigint, n bigint, ids binary"
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -75,16 +75,16 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.model, self.end = self.tokenizer.model, self._pack([END_ID])
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
         # Words can take the short way only through the pipeline it was written for.
-        self.by_word = [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"] and [
-            s["type"] for s in spec["pre_tokenizer"]["pretokenizers"]
+        normalizers, splitters = (
+            json.loads(part.__getstate__()) if part else {} for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        )
+        self.by_word = [n["type"] for n in normalizers.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [
+            s["type"] for s in splitters.get("pretokenizers", [])
         ] == ["Split", "ByteLevel"]
-        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes = _byte_characters()
         self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
         packed = array(self.code, ids)
@@ -93,12 +93,14 @@ class WordTokenizer:
         return packed.tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        packed = self.pieces.get(piece)
+        """Ids of a lower-case piece; a piece counts as a word of its own, so both share one memory."""
+        data = piece.encode()
+        packed = self.known.get(data)
         if packed is None:
-            text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+            text = piece if piece.isascii() else data.decode("latin-1").translate(self.bytes)
             packed = self._pack([t.id for t in self.model.tokenize(text)])
-            if len(piece) <= MAX_WORD_BYTES:
-                self.pieces[piece] = packed
+            if len(data) <= MAX_WORD_BYTES:
+                self.known[data] = packed
         return packed
 
     def _word(self, word: bytes) -> bytes:
@@ -123,8 +125,6 @@ class WordTokenizer:
             out.append(b"".join(packed) + self.end)
             if len(known) > MAX_WORDS:
                 known.clear()
-            if len(self.pieces) > MAX_WORDS:
-                self.pieces.clear()
         return out
 
 
@@ -213,12 +213,11 @@ def cut(position: int, length: int, context: int = CONTEXT) -> list[tuple[int, i
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _pieces(batch: pa.RecordBatch, path: str, context: int) -> list:
-    dtype = tokenizer(path).dtype
-    columns = [batch.column(k).to_pylist() for k in range(3)]
+def _pieces(batch: pa.RecordBatch, context: int) -> list:
+    columns = [batch.column(k).to_pylist() for k in range(4)]
     out: list[list] = [[] for _ in range(7)]
-    for doc_id, packed, position in zip(*columns, strict=True):
-        ids = np.frombuffer(packed, dtype).astype("<u4")
+    for doc_id, packed, n, position in zip(*columns, strict=True):
+        ids = np.frombuffer(packed, f"<u{len(packed) // n}").astype("<u4")
         for start, length in cut(position, len(ids), context):
             at = position + start
             crc = zlib.crc32(ids[start : start + length].tobytes())
@@ -235,5 +234,5 @@ def pack_documents(
     narrow = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"cast(`{text_col}` as string) as text")
     # Numbered once and written, so that every reader sees the same numbers.
     tokens = cut_lineage(arrow_map(narrow, _tokens, TOKEN_SCHEMA, (path,)).withColumn("row", F.monotonically_increasing_id()))
-    placed = tokens.select("row", "doc_id", "ids").join(positions(tokens.select("row", "key", "n")), "row")
-    return arrow_map(placed.select("doc_id", "ids", "position"), _pieces, PIECE_SCHEMA, (path, context))
+    placed = tokens.select("row", "doc_id", "ids", "n").join(positions(tokens.select("row", "key", "n")), "row")
+    return arrow_map(placed.select("doc_id", "ids", "n", "position"), _pieces, PIECE_SCHEMA, (context,))
