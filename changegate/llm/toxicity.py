@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from changegate.llm.common import arrow_map, bounded_batches, text_bytes
 
 HELD_OUT_OF = 5  # rows whose crc32 of the id is divisible by this are never learned from
-MAX_ROWS, MAX_BYTES = 3_000, 24 << 20  # the bound of the learning sample
+MAX_ROWS, MAX_BYTES = 3_000, 12 << 20  # the bound of the learning sample
 PREFIXES = (3, 4, 5, 6, 7)
 MIN_CONTEXTS, MIN_LIFT = 5, 12.0  # what makes a form toxic: distinct neighbourhoods, and how much more often in toxic texts
 ROUNDS, RATE, PENALTY = 60, 0.5, 1e-3
@@ -189,15 +190,14 @@ def toxic_forms(texts: list[list[str]], toxic: list[bool]) -> set[str]:
     """Forms that are met in toxic documents far more often than in clean ones, each neighbourhood counted once."""
     size, by_form = Counter(), {True: Counter(), False: Counter()}
     for kind in (True, False):  # toxic first: what they do not hold need not be counted in the clean ones
-        seen, count = set(), Counter()
+        marks, flat = array("q"), []
         for words, is_toxic in zip(texts, toxic, strict=True):
             if is_toxic == kind:
-                for place in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
-                    mark = hash(place)
-                    if mark not in seen:
-                        seen.add(mark)
-                        count[place[1]] += 1
-        size[kind] = len(seen) + 1.0
+                marks.extend(map(hash, zip(["", *words[:-1]], words, [*words[1:], ""], strict=True)))
+                flat.extend(words)
+        _, firsts = np.unique(np.frombuffer(marks, dtype=np.int64), return_index=True)
+        count = Counter(flat[i] for i in firsts.tolist())
+        size[kind] = len(firsts) + 1.0
         for word, n in count.items():
             for f in forms(word):
                 if kind or f in by_form[True]:
@@ -270,15 +270,16 @@ def _fit(at: np.ndarray, of: np.ndarray, size: int, tags: np.ndarray, starts: np
         unary = np.bincount(at, weights=w[of], minlength=n) + b
         odds, forward = marginals(unary, starts, step, begin)
         p = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-        # The joint of two neighbours: forward odds and own score of the first, the transition, the rest of the second.
-        first_odds = np.roll(forward + unary, 1)
-        rest = odds - forward
-        joint = np.stack([
-            np.stack([np.zeros(n) + step[0, 0], np.exp(np.clip(rest, -40, 40)) * step[0, 1]]),
-            np.stack([np.exp(np.clip(first_odds, -40, 40)) * step[1, 0], np.exp(np.clip(first_odds + rest, -80, 80)) * step[1, 1]]),
-        ])
-        joint = joint / joint.sum(axis=(0, 1)) * follows
-        expected = joint.sum(axis=2)
+        # Both of two neighbours toxic, from the forward odds and own score of the first, the transition, and the rest of the
+        # second; the other three counts follow from the marginals.
+        before_odds = np.clip(np.roll(forward + unary, 1)[follows], -40, 40)
+        rest = np.clip((odds - forward)[follows], -40, 40)
+        both = 1 / (
+            1 + step[0, 0] / step[1, 1] * np.exp(-before_odds - rest)
+            + step[0, 1] / step[1, 1] * np.exp(-before_odds) + step[1, 0] / step[1, 1] * np.exp(-rest)
+        )
+        n11, into, out_of = both.sum(), p[follows].sum(), np.roll(p, 1)[follows].sum()
+        expected = np.array([[len(both) - into - out_of + n11, into - n11], [out_of - n11, n11]])
         first_expected = np.array([((1 - p) * starts).sum(), (p * starts).sum()])
         gradient = np.concatenate([
             seen - np.bincount(of, weights=p[at], minlength=size), [tags.sum() - p.sum()],
