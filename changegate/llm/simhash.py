@@ -249,14 +249,17 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) ->
 
 
 def classes(prints: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """(bits, component_id) of every fingerprint of written ``prints`` (doc_id, bits)."""
+    """(bits, root, component_id) of every fingerprint of written ``prints`` (doc_id, bits).
+
+    ``root``, the smallest fingerprint of the component, tells components apart; ids do not, since they may be null or repeated.
+    """
     distinct = cut_lineage(prints.groupBy("bits").agg(F.min("doc_id").alias("least")))
     links = cut_lineage(near_links(distinct.select("bits"), radius, chunk))
     roots = connected_components(links)
     rooted = distinct.join(roots.withColumnRenamed("node", "bits"), "bits", "left").withColumn("root", F.coalesce("root", "bits"))
     rooted = cut_lineage(rooted)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return cut_lineage(even_join(rooted, least, ["root"], "inner").select("bits", "component_id"))
+    return cut_lineage(even_join(rooted, least, ["root"], "inner").select("bits", "root", "component_id"))
 
 
 def near_duplicates(
@@ -273,17 +276,19 @@ def keep_one(
 ) -> DataFrame:
     """One row of ``docs``, with all its columns, of every component: that of the smallest id.
 
-    The texts are shuffled once, by id, to meet the short table of rows to keep.  Of rows that repeat an id, the one with the
-    smallest hash of its columns stays; of wholly equal rows, one.
+    The texts are shuffled once, by id, to meet the short table of rows to keep.  Of a component's rows that repeat its smallest
+    id, or that all have none, the one with the smallest hash of its columns stays; of wholly equal rows, one.
     """
     columns = docs.columns
-    digest = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    # The hash passes over nulls, so where they are is hashed too.
+    cells = [F.col(f"`{c}`") for c in columns]
+    digest = F.xxhash64(*cells, *[c.isNull() for c in cells])
     marked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), digest.alias("digest"))
     prints = cut_lineage(arrow_map(marked, _marked_fingerprints, "doc_id bigint, bits bigint, digest bigint", (shingle_words,)))
     found = prints.join(classes(prints.select("doc_id", "bits"), radius), "bits")
     # Ids come before nulls; the struct orders by id, then by digest.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("first")
-    stay = found.groupBy("component_id").agg(first).select("first.digest", "first.doc_id")
+    stay = found.groupBy("root").agg(first).select("first.digest", "first.doc_id")
     row_id = F.col(f"`{id_col}`").cast("bigint")
     kept = docs.select(row_id.alias("_stay_id"), digest.alias("_stay_digest"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")).join(
         stay, F.col("_stay_id").eqNullSafe(F.col("doc_id")) & (F.col("_stay_digest") == F.col("digest")), "left_semi"

@@ -197,6 +197,20 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert kept.count() == len(set(roots)) and simhash.keep_one(documents(spark, [])).count() == 0
 
 
+def test_one_row_stays_of_every_component_whatever_its_ids(spark):
+    """Components of null ids only, one id on two texts, and rows that differ in where their nulls are."""
+    long = [f"{w}{i}" for i in range(400) for w in "xy"]
+    near = " ".join([*long[:-1], "other"])
+    texts = [(None, f"nothing like number {i * i} was ever seen by {i} others") for i in range(6)]
+    texts += [(5, "a text that has nothing in common with any other"), (5, " ".join(long)), (9, near), (9, near), (None, near)]
+    roots = brute_components(brute_prints(texts), range(len(texts)))
+    assert len(set(roots)) == 8 and len(set(roots[7:])) == 1
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_one(documents(spark, texts)).collect()]
+    assert sorted(kept, key=repr) == sorted(texts[:8], key=repr)
+    rows = spark.createDataFrame([(None, "x", None), (None, None, "x")], "doc_id bigint, text string, lang string")
+    assert simhash.keep_one(rows).count() == 2
+
+
 def test_near_duplicates_of_the_table(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     prints = brute_prints(docs)
