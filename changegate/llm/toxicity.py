@@ -9,7 +9,8 @@ are the offending spans.
 forms is found in toxic documents far more often than in clean ones, counted once for each pair of neighbouring words so that
 copies of a text do not count again.  All words of clean documents are clean.  The weights maximise the penalised likelihood
 of those tags.  Learning uses a *bounded* sample of labelled rows, at most about ``max_rows`` documents and ``max_bytes`` of
-text, chosen by a hash of the id; scoring reads every text whole.
+text, chosen by a hash; scoring reads every text whole.  No sampled row is left out for its length: if the texts together are
+longer than ``max_bytes``, the longest are shortened to one common length at which they fit.
 
 *Speed.*  The texts of a batch are laid end to end and treated as one chain: where a text starts, the transition does not
 depend on the tag before it.  The chain is cut into columns of equal length that advance together; products of two-by-two
@@ -35,6 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from changegate.llm.common import arrow_map, bounded_batches, text_bytes
 
@@ -312,44 +314,75 @@ def _remainder(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(HELD_OUT_OF))
 
 
+def common_length(lengths: list[int], copies: list[int], most: int) -> int:
+    """The length to which texts are shortened so that all copies together are no longer than ``most``; the longest, if they fit."""
+    rest, left = most, sum(copies)
+    for n, k in sorted(zip(lengths, copies, strict=True)):
+        if n * left > rest:
+            return max(1, rest // left)
+        rest, left = rest - n * k, left - k
+    return max(lengths, default=0)
+
+
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int = MAX_ROWS
-) -> DataFrame:
-    """text, toxic of at most about ``max_rows`` labelled rows outside the held-out fold, chosen by a hash of the id."""
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES
+) -> DataFrame | None:
+    """_id, UTF-8 data, _toxic and copies of a bounded sample of labelled rows outside the held-out fold; None if there are none.
+
+    Ids are chosen by a hash.  Rows that repeat an id can be any number, so of ids, lengths and digests of the texts a bounded
+    number is chosen first, and only the texts of those, shortened where they exceed ``max_bytes`` together, are read on.
+    """
     usable = labels.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).filter(
         "_id is not null and _toxic is not null"
     )
-    usable = usable.filter(_remainder("_id") != 0)
+    usable = usable.filter(_remainder("_id") != 0).groupBy("_id", F.col("_toxic").cast("boolean").alias("_toxic")).agg(F.count("*").alias("_k"))
     total = usable.count()
     if total > max_rows:
         share = int(max_rows / total * (1 << 32))
         usable = usable.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 32)) < share)
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").cast("binary").alias("data"))
     # The sample's ids are bounded by max_rows, so every task can hold them.
-    return narrow.join(F.broadcast(usable), "_id").select("_id", "text", "_toxic")
+    sizes = narrow.join(F.broadcast(usable), "_id").select(
+        "_id", "_toxic", "_k", F.xxhash64("data").alias("_digest"), F.coalesce(F.octet_length("data"), F.lit(0)).alias("_n")
+    )
+    sizes = sizes.groupBy("_id", "_toxic", "_digest", "_n").agg(F.sum("_k").alias("_k"))
+    # Ids alone seldom give a quarter more than max_rows.  By a hash of the whole row, an id of many texts has its share only.
+    most = max_rows + max_rows // 4
+    chosen = sizes.orderBy(F.xxhash64("_id", "_digest", "_toxic"), "_id", "_digest", "_toxic").limit(most).collect()
+    if not chosen:
+        return None
+    repeats = max(1.0, sum(r["_k"] for r in chosen) / most)
+    copies = [max(1, int(r["_k"] / repeats)) for r in chosen]
+    length = common_length([r["_n"] for r in chosen], copies, max_bytes)
+    rows = [(r["_id"], r["_digest"], r["_toxic"], k) for r, k in zip(chosen, copies, strict=True)]
+    spark = docs.sparkSession
+    picked = spark.createDataFrame(rows, StructType.fromDDL("_id bigint, _digest bigint, _toxic boolean, copies bigint"))
+    return (
+        narrow.withColumn("_digest", F.xxhash64("data"))
+        .join(F.broadcast(picked), ["_id", "_digest"])
+        .select("_id", "_digest", "_toxic", "copies", F.substring("data", 1, length).alias("data"))
+        .dropDuplicates(["_id", "_digest", "_toxic"])
+        .select("_id", "data", "_toxic", "copies")
+    )
 
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES,
 ) -> ToxicityModel:
-    """Learn from the bounded sample inside one task; the driver sees the weights only."""
+    """Learn from the bounded sample inside one task; the driver sees its ids and lengths, and the weights."""
     spark = bounded_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, id_col, text_col, max_rows)
+    sample = labelled_sample(docs, labels, id_col, text_col, max_rows, max_bytes)
+    if sample is None:
+        return UNUSABLE
 
     def fit(batches):
-        rows, size = [], 0
+        rows = []
         for batch in batches:
-            for i, text, toxic in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                rows.append((i, text or "", bool(toxic)))
+            for i, data, toxic, copies in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                rows += [(i, (data or b"").decode("utf-8", "replace"), toxic)] * copies
         rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
-        kept = []
-        for _, text, toxic in rows:
-            size += len(text)
-            if size > max_bytes:
-                break
-            kept.append((text, toxic))
-        model = learn([t for t, _ in kept], [x for _, x in kept]) if kept else UNUSABLE
+        model = learn([t for _, t, _ in rows], [x for _, _, x in rows]) if rows else UNUSABLE
         head = [model.bias, *model.transition[0], *model.transition[1], *model.begin, *model.slope, model.offset, float(model.usable)]
         names, values = [None] * len(head), head
         names, values = names + list(model.weights), values + list(model.weights.values())

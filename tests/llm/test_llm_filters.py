@@ -243,3 +243,31 @@ def test_toxicity_without_labels_scores_zero(spark):
     assert {r["score"] for r in toxicity.score_documents(documents(spark), none).collect()} == {0.0}
     assert toxicity.keep_clean(documents(spark), none).count() == len(TEXTS)
     assert toxicity.score_documents(documents(spark, []), none).count() == 0
+
+
+def test_toxicity_learns_beside_long_and_repeated_rows(spark):
+    """A text longer than the whole bound first in order, one that many rows repeat, and an id of many texts cost no other row."""
+    texts = {i: (f"number {i * 7} nincompoop {i * i} zounds {i * 3}" if i % 4 == 0 else f"river {i} runs {i * i} miles by calm houses") for i in range(1, 400)}
+    order = sorted((i for i in texts if zlib.crc32(str(i).encode()) % 5), key=lambda i: zlib.crc32(str(i).encode()))
+    first = order[0]
+    for long_id in order[:3]:
+        texts[long_id] = " ".join(f"calm{k % 50}" for k in range(6_000))
+    clean = {i: i % 4 == 0 and i not in order[:3] for i in texts}
+    labels = spark.createDataFrame([(i, 0, int(x)) for i, x in clean.items()], "doc_id bigint, quality int, toxic int")
+    rows = [*texts.items(), *[(order[4], texts[order[4]])] * 500, *[(order[5], f"{texts[order[5]]} and {k}") for k in range(500)]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert len(texts[first]) > 30_000
+    model = toxicity.train(docs, labels, max_bytes=30_000)
+    assert model.usable
+    rude, calm = toxicity._scores(["you nincompoop there", "a calm river and some houses"], model)
+    assert rude >= 0.5 > calm
+    sample = toxicity.labelled_sample(docs, labels, "doc_id", "text", 400, 30_000).collect()
+    assert sum(len(r["data"]) * r["copies"] for r in sample) <= 30_000 and sum(r["copies"] for r in sample) <= 1_000
+    assert {r["_toxic"] for r in sample} == {True, False} and min(len(r["data"]) for r in sample) > 10
+
+
+def test_common_length_of_texts():
+    assert toxicity.common_length([5, 9, 7], [1, 1, 1], 21) == 9
+    assert toxicity.common_length([5, 900, 700], [1, 1, 1], 25) == 10
+    assert toxicity.common_length([10, 2], [3, 2], 19) == 5
+    assert toxicity.common_length([], [], 10) == 0
