@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changegate.llm import byte_bpe, cover_tree, html_text, packing, quality, sharding, simhash, token_count, toxicity, url_filter
+from changegate.llm import byte_bpe, cover_tree, html_text, line_quality, packing, periodic_runs, quality, sharding, simhash
+from changegate.llm import token_count, toxicity, url_filter, whitening
 from changegate.llm.common import read_table
 
 
@@ -48,11 +49,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_topk, op3_token_counts, op4_byte_bpe, op5_quality_rules, op6_html_text, op7_sharding, op8_toxicity,
-        op9_simhash, op10_packing,
+        op9_simhash, op10_packing, op11_quality_classifier, op12_whitening, op13_periodic_runs,
     )
 }
 
