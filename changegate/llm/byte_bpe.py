@@ -16,6 +16,8 @@ null ids are kept; extra columns are not read; memory per text is linear in its
 from __future__ import annotations
 
 import hashlib
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +28,7 @@ from changegate.llm import bpe_core
 from changegate.llm.common import arrow_map, text_bytes
 
 LEAF_IDS = 2048
+MAX_CACHED_BYTES = 12  # halves are remembered up to here; pieces as a whole are remembered packed
 DIGEST_SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -35,6 +38,25 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+class _Packed(dict):
+    """Packed ids by piece, encoded at first sight; emptied when full, and without long pieces, so its size is bounded."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("I", self.encode(piece.encode()))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        packed = ids.tobytes()
+        if len(piece) <= bpe_core.MAX_CACHED_CHARS:
+            if len(self) >= bpe_core.MAX_CACHE:
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
 class TreeCodec:
     """Encoder and decoder for one rank file."""
 
@@ -43,54 +65,68 @@ class TreeCodec:
 
         self.vocabulary = bpe_core.load_ranks(path)
         self.pattern = public_tokenizers.PATTERN
-        self._chunks, self._pieces = bpe_core.Cache(), bpe_core.Cache()
+        self._packed, self._pieces, self._seams = _Packed(self.encode_piece), bpe_core.Cache(), bpe_core.Cache()
+        # All tokens end to end, and where each starts, for the leaves of decoding.
+        tokens = self.vocabulary.tokens
+        self._flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self._starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+
+    def _seam(self, a: int, b: int) -> list[int]:
+        """The encoding of two tokens' bytes; empty if they are compatible."""
+        known = self._seams.get((a, b))
+        if known is None:
+            tokens = self.vocabulary.tokens
+            known = self.vocabulary.encode_plain(tokens[a] + tokens[b])
+            if known == [a, b]:
+                known = []
+            self._seams.put((a, b), known)
+        return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two neighbours' bytes from their encodings."""
         if not left or not right:
             return left + right
-        vocabulary = self.vocabulary
-        window, i, j = vocabulary.pair(left[-1], right[0]), 1, 1
+        window, i, j = self._seam(left[-1], right[0]), 1, 1
+        if not window:
+            return left + right
+        tokens = self.vocabulary.tokens
         while True:
-            left_open = i < len(left) and not vocabulary.compatible(left[-i - 1], window[0])
-            right_open = j < len(right) and not vocabulary.compatible(window[-1], right[j])
+            left_open = i < len(left) and self._seam(left[-i - 1], window[0])
+            right_open = j < len(right) and self._seam(window[-1], right[j])
             if not left_open and not right_open:
                 return left[:-i] + window + right[j:]
             i = min(len(left), 2 * i) if left_open else i
             j = min(len(right), 2 * j) if right_open else j
-            window = vocabulary.encode_plain(b"".join(vocabulary.tokens[t] for t in [*left[-i:], *right[:j]]))
+            window = self.vocabulary.encode_plain(b"".join([tokens[t] for t in [*left[-i:], *right[:j]]]))
 
     def encode_piece(self, piece: bytes) -> list[int]:
         known = self._pieces.get(piece)
         if known is None:
             token = self.vocabulary.ids.get(piece)
             if token is not None and self.vocabulary.whole(token):
-                return [token]
-            half = len(piece) // 2
-            known = self.join(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
-            if len(piece) <= bpe_core.MAX_CACHED_CHARS:
+                known = [token]
+            else:
+                half = len(piece) // 2
+                known = self.join(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
+            if len(piece) <= MAX_CACHED_BYTES:
                 self._pieces.put(piece, known)
         return known
 
-    def _encode_chunk(self, chunk: str) -> bytes:
-        pieces = bpe_core.split(chunk, self.pattern, "tiktoken")
-        packed = b"".join(np.array(self.encode_piece(p.encode()), dtype="<u4").tobytes() for p in pieces)
-        if len(chunk) <= bpe_core.MAX_CACHED_CHARS:
-            self._chunks.put(chunk, packed)
-        return packed
-
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        known, encode, out = self._chunks, self._encode_chunk, []
-        for chunk in bpe_core.CHUNK.findall(text):
-            packed = known.get(chunk)
-            out.append(encode(chunk) if packed is None else packed)
-        return b"".join(out)
+        return b"".join(map(self._packed.__getitem__, bpe_core.split_text(text, self.pattern, "tiktoken")))
+
+    def _leaf(self, ids: np.ndarray) -> bytes:
+        """The bytes of some thousand ids, gathered from the flat array of all tokens."""
+        first = self._starts[ids]
+        sizes = self._starts[ids + 1] - first
+        ends = np.cumsum(sizes)
+        return self._flat[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])].tobytes()
 
     def decode(self, packed: bytes) -> bytes:
         """The bytes of packed ids: leaves of some thousand ids, then pairs of neighbours up to the root."""
-        ids, token = np.frombuffer(packed, "<u4"), self.vocabulary.tokens.__getitem__
-        level = [b"".join(map(token, ids[i : i + LEAF_IDS].tolist())) for i in range(0, len(ids), LEAF_IDS)]
+        ids = np.frombuffer(packed, "<u4").astype(np.int64)
+        level = [self._leaf(ids[i : i + LEAF_IDS]) for i in range(0, len(ids), LEAF_IDS)]
         while len(level) > 1:
             level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
         return level[0] if level else b""
