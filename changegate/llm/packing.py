@@ -11,7 +11,7 @@ the sum of the partitions before.  Rows of equal keys are told apart by the row
 partitions.  The ids of a document, two bytes each, are written once and meet its position in one shuffle.
 
 Tokens are those of the ``tokenizers`` library without added special tokens, then ``END_ID``.  The vocabulary drops white space
-and splits there, so a text's tokens are those of its words, which are remembered in a memory of bounded size.
+and splits there, so a text's tokens are those of its pieces, which are remembered in a memory of bounded size.
 
 Defined results: a null or empty text is the one token ``END_ID``.  Repeated rows are packed each; null ids are kept; no
 documents give no rows.  Equal keys are in the order in which Spark read the rows.  Extra columns are not read.
@@ -38,7 +38,7 @@ from changegate.llm.common import arrow_map, cut_lineage, text_bytes
 
 CONTEXT, END_ID = 4096, 2
 BINS, DIMS, GRID_BITS, PROJECTION_SEED = 256, 3, 10, 20240
-MAX_WORDS, MAX_WORD_BYTES = 400_000, 64
+MAX_PIECES, MAX_PIECE_CHARS = 600_000, 64
 
 TOKEN_SCHEMA = "doc_id bigint, key bigint, n bigint, ids binary"
 PIECE_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -50,10 +50,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-# Words of printable ASCII and plain Latin letters: composed already, lower-cased letter by letter, and split the same way in
-# every Unicode version.  All other words go through the whole tokenizer.
-_EASY = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ſ]+|[0-9]|[^a-z0-9À-ÖØ-öø-ſ]+")
+# Printable ASCII, plain Latin letters and ASCII white space: composed already, lower-cased letter by letter, and split the same
+# way in every Unicode version.  Other texts are taken word by word, and words with other characters by the whole tokenizer.
+_EASY = re.compile(r"[!-~À-ÖØ-öø-įı-ſ\t-\r ]*")
+# Letters come first, being the most frequent; only the contractions must come before the last choice.
+_SPLIT = re.compile(r"[a-zÀ-ÖØ-öø-ſ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9À-ÖØ-öø-ſ\t-\r ]+")
+_WORD = re.compile(r"[^\t-\r ]+")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -64,8 +66,24 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+class _Pieces(dict):
+    """Packed ids by lower-case piece, made at first sight; emptied when full, and without long pieces, so its size is bounded."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self.make(piece)
+        if len(piece) <= MAX_PIECE_CHARS:
+            if len(self) >= MAX_PIECES:
+                self.clear()
+            self[piece] = packed
+        return packed
+
+
 class WordTokenizer:
-    """Packed ids of texts, word by word."""
+    """Packed ids of texts, piece by piece."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks of Spark are the parallelism
@@ -74,17 +92,17 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.model, self.end = self.tokenizer.model, self._pack([END_ID])
-        # Words can take the short way only through the pipeline it was written for.
+        self.tokenize, self.end = self.tokenizer.model.tokenize, self._pack([END_ID])
+        # Texts can take the short way only through the pipeline it was written for.
         normalizers, splitters = (
             json.loads(part.__getstate__()) if part else {} for part in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
         )
-        self.by_word = [n["type"] for n in normalizers.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [
+        self.by_piece = [n["type"] for n in normalizers.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [
             s["type"] for s in splitters.get("pretokenizers", [])
         ] == ["Split", "ByteLevel"]
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bytes = _byte_characters()
-        self.known: dict[bytes, bytes] = {}
+        self.pieces, self.odd = _Pieces(self._piece), _Pieces(self._odd)
 
     def _pack(self, ids: list[int]) -> bytes:
         packed = array(self.code, ids)
@@ -93,39 +111,24 @@ class WordTokenizer:
         return packed.tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of a lower-case piece; a piece counts as a word of its own, so both share one memory."""
-        data = piece.encode()
-        packed = self.known.get(data)
-        if packed is None:
-            text = piece if piece.isascii() else data.decode("latin-1").translate(self.bytes)
-            packed = self._pack([t.id for t in self.model.tokenize(text)])
-            if len(data) <= MAX_WORD_BYTES:
-                self.known[data] = packed
-        return packed
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+        return self._pack([t.id for t in self.tokenize(text)])
+
+    def _odd(self, word: str) -> bytes:
+        return self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _is_easy(self, text: str) -> bool:
+        return self.by_piece and _EASY.fullmatch(text) is not None and not any(s in text for s in self.specials)
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if self.by_word and _EASY.fullmatch(text) and not any(s in text for s in self.specials):
-            low = text.lower()
-            return self._piece(low) if low.isalpha() else b"".join(map(self._piece, _SPLIT.findall(low)))
-        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _ids(self, text: str) -> bytes:
+        if self._is_easy(text):
+            return b"".join(map(self.pieces.__getitem__, _SPLIT.findall(text.lower())))
+        words = _WORD.findall(text)
+        return b"".join([self._ids(w) if self._is_easy(w) else self.odd[w] for w in words])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian ids of every text, with the end id."""
-        known, out = self.known, []
-        for text in texts:
-            packed = []
-            for word in text.split():
-                ids = known.get(word)
-                if ids is None:
-                    ids = self._word(word)
-                    if len(word) <= MAX_WORD_BYTES:
-                        known[word] = ids
-                packed.append(ids)
-            out.append(b"".join(packed) + self.end)
-            if len(known) > MAX_WORDS:
-                known.clear()
-        return out
+        return [self._ids(text.decode("utf-8", "replace")) + self.end for text in texts]
 
 
 @lru_cache(maxsize=2)
