@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from changegate.functions import text
 from changegate.functions.identity import content_digest, row_digest
 from changegate.functions.text import type_fingerprint
+from changegate.operators import evidence
 from changegate.operators.diff import Diff, schema_diff
 from changegate.operators.skew import even_join
 
@@ -66,6 +67,9 @@ def interface_check(
     facts and ``tests_complete``; ``tests``: run_key, relation, side,
     test_sha256.  All rules of a relation come from one grouped pass over its
     columns; position rules use ordinals, so no column list is gathered.
+
+    Every rename needs evidence: its relation's columns and, where ``nodes``
+    is given, one node row on each side.  What is absent is a broken rule.
     """
     one = F.struct("old_column", "new_column", "new_type", "new_nullable")
     counted = renames.groupBy(*RELATION_KEY).agg(F.count(F.lit(1)).alias("n_renames"), F.max(one).alias("rename"))
@@ -148,14 +152,15 @@ def interface_check(
         .agg((F.max("n") == 1).alias("positions_unique"))
     )
     wanted = counted.select(*RELATION_KEY)
-    out = out.unionByName(
-        _long(positions.join(wanted, RELATION_KEY, "left_semi"), {"positions_unique": c("positions_unique")})
-    )
+    out = out.unionByName(_long(wanted.join(positions, RELATION_KEY, "left"), {"positions_unique": c("positions_unique")}))
+    kinds, observed = [evidence.COLUMNS], evidence.sides_observed(columns, evidence.COLUMNS, SIDES)
     if nodes is not None:
-        out = out.unionByName(_node_rules(nodes.join(wanted, RELATION_KEY, "left_semi")))
+        kinds.append(evidence.NODES)
+        observed = observed.unionByName(evidence.sides_observed(nodes, evidence.NODES, SIDES, one_row=True))
+        out = out.unionByName(_node_rules(nodes, wanted))
     if tests is not None:
         out = out.unionByName(_test_rules(tests, wanted))
-    return out
+    return out.unionByName(evidence.evidence_check(evidence.requirements(wanted, tuple(kinds)), observed))
 
 
 def _long(facts: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -165,13 +170,14 @@ def _long(facts: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return facts.select(*RELATION_KEY, F.inline(F.array(*entries)))
 
 
-def _node_rules(nodes: DataFrame) -> DataFrame:
+def _node_rules(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Facts that must be as before and as proposed; a relation without a node on a side keeps none of them."""
     aggs = [F.count_distinct("side").alias("n_sides"), F.count(F.lit(1)).alias("n_rows")]
     for fact in NODE_FACTS:
         for side in SIDES:
             aggs.append(F.max(F.when(F.col("side") == side, F.col(fact))).alias(f"{side}_{fact}"))
     aggs.append(F.bool_and("tests_complete").alias("tests_complete"))
-    facts = nodes.groupBy(*RELATION_KEY).agg(*aggs)
+    facts = wanted.join(nodes.groupBy(*RELATION_KEY).agg(*aggs), RELATION_KEY, "left")
     rules = {"three_sides": (F.col("n_sides") == 3) & (F.col("n_rows") == 3)}
     for fact in NODE_FACTS:
         rules[f"{fact}_kept"] = F.col(f"before_{fact}") == F.col(f"patched_{fact}")

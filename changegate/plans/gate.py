@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changegate.constants import EVIDENCE_FIELDS
-from changegate.operators import diff, interface, lineage, merge, score
+from changegate.operators import diff, evidence, interface, lineage, merge, quality, score
 from changegate.operators.skew import even_join
 from changegate.policy import Policy
 from changegate.session import cut_lineage
@@ -45,22 +45,28 @@ class Context:
 
 @dataclass(frozen=True)
 class Bridge:
-    """What was built to keep an old interface: the patched snapshot, in the columns of the other two.
+    """What was built to keep an old interface, and the evidence that it does.
 
-    ``nodes`` and ``tests``, of all three sides, add their rules to the proof (see ``interface.interface_check``).
+    ``patched`` is the patched snapshot, in the columns of the other two; ``nodes`` and ``tests`` are of all three sides (see
+    ``interface.interface_check``); ``results`` and ``expectations`` are those of the runs that tested the patched side (see
+    ``quality.gate_run_results``).  All of them are required: without one, or without a run's rows in one, nothing is proven.
     """
 
     patched: DataFrame
     nodes: DataFrame | None = None
     tests: DataFrame | None = None
+    results: DataFrame | None = None
+    expectations: DataFrame | None = None
 
 
 @dataclass(frozen=True)
 class Proofs:
-    """(run_key, proven, n_broken_rules) of every bridge in scope, and what the proven ones leave to be scored."""
+    """(run_key, proven, n_broken_rules, remediation_status) of every bridge in scope, and what the proven ones leave to be
+    scored; ``missing`` names evidence that was required and absent."""
 
     proofs: DataFrame
     residual: DataFrame
+    missing: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -226,33 +232,62 @@ def evidence_records(context: Context, merged: merge.Merged) -> DataFrame:
     return records.unionByName(merge.record_conflicts(records, ["kind", "status", "critical"]))
 
 
+NODE_SCHEMA = ", ".join(f"{c} string" for c in ("run_key", "relation", "side", *interface.NODE_FACTS)) + ", tests_complete boolean"
+TEST_SCHEMA = "run_key string, relation string, side string, test_sha256 string"
+RESULT_SCHEMA = "run_key string, unique_id string, status string, message string"
+EXPECTATION_SCHEMA = "run_key string, model string, test string, text string, downstream string"
+# What a column promises besides its name, type and nullability, where a snapshot says so.
+PROMISES = tuple(f for f in interface.CONTRACT_FIELDS if f not in ("column_name", "data_type", "nullable"))
+
+
+def _three_sides(before: DataFrame, after: DataFrame, patched: DataFrame, scope: DataFrame) -> DataFrame:
+    """The columns of the runs in scope on all sides, with the digest of everything that any side says they promise."""
+    fields = ["run_key", "relation", "column_name", "data_type", "nullable", "ordinal", "expr_fingerprint"]
+    sides = None
+    for name, snapshot in zip(interface.SIDES, (before, after, patched), strict=True):
+        side = snapshot.select(*fields, *[f for f in PROMISES if f in snapshot.columns]).withColumn("side", F.lit(name))
+        sides = side if sides is None else sides.unionByName(side, allowMissingColumns=True)
+    sides = even_join(sides, scope, ["run_key"], "left_semi")
+    if "constraints" in sides.columns:
+        sides = sides.withColumn("constraints", interface.constraint_digests(F.col("constraints")))
+    return interface.column_contracts(sides, [f for f in interface.CONTRACT_FIELDS if f in sides.columns])
+
+
 def prove_bridges(changes: DataFrame, before: DataFrame, after: DataFrame, bridge: Bridge) -> Proofs:
-    """Does the patched side of a single rename keep the old interface, and what else does it change?
+    """Was the patched side of a single rename tested, does it keep the old interface, and what else does it change?
 
-    The snapshots have run_key, relation, column_name, data_type, nullable, ordinal and expr_fingerprint.  Only runs that are
+    The snapshots have run_key, relation, column_name, data_type, nullable, ordinal and expr_fingerprint, and may have
+    ``not_null``, ``quote``, ``constraints`` (texts) and ``tests_sha256``, which count as promised then.  Only runs that are
     exactly one rename, and for which something was built, are looked at.
     """
+    spark = changes.sparkSession
     built = even_join(score.remediation_scope(changes), bridge.patched.select("run_key").distinct(), ["run_key"], "left_semi")
     scope = cut_lineage(built)
     renames = even_join(changes, scope, ["run_key"], "left_semi").select(
         "run_key", "relation", "old_column", "new_column", "new_type", "new_nullable"
     )
-    fields = ["run_key", "relation", "column_name", "data_type", "nullable", "ordinal", "expr_fingerprint"]
-    sides = None
-    for name, snapshot in zip(interface.SIDES, (before, after, bridge.patched), strict=True):
-        side = even_join(snapshot.select(*fields), scope, ["run_key"], "left_semi").withColumn("side", F.lit(name))
-        sides = side if sides is None else sides.unionByName(side)
-    columns = cut_lineage(interface.column_contracts(sides, ["column_name", "data_type", "nullable"]))
-    limited = [None if t is None else even_join(t, scope, ["run_key"], "left_semi") for t in (bridge.nodes, bridge.tests)]
-    proofs = interface.interface_proof(interface.interface_check(columns, renames, *limited))
-    # A run of which no rule could be checked is not proven.
-    proofs = cut_lineage(scope.join(proofs, "run_key", "left").withColumn("proven", F.coalesce("proven", F.lit(False))))
+    columns = cut_lineage(_three_sides(before, after, bridge.patched, scope))
+
+    def given(rows: DataFrame | None, schema: str) -> DataFrame:
+        return spark.createDataFrame([], schema) if rows is None else even_join(rows, scope, ["run_key"], "left_semi")
+
+    nodes, tests = given(bridge.nodes, NODE_SCHEMA), given(bridge.tests, TEST_SCHEMA)
+    checks = interface.interface_check(columns, renames, nodes, tests)
+    if bridge.tests is None:
+        required = evidence.requirements(renames.select(*interface.RELATION_KEY).distinct(), (evidence.TESTS,))
+        nothing = spark.createDataFrame([], "run_key string, relation string, evidence string, observed boolean")
+        checks = checks.unionByName(evidence.evidence_check(required, nothing))
+    checks = cut_lineage(checks)
     left = interface.residual_diff(columns)
-    proven = proofs.filter("proven").select("run_key")
-    # A patched side that cannot be compared proves nothing.
-    unclear = left.rejections.select("run_key").distinct().withColumn("unclear", F.lit(True))
-    proofs = proofs.join(unclear, "run_key", "left").withColumn("proven", F.col("proven") & F.col("unclear").isNull()).drop("unclear")
-    return Proofs(proofs, even_join(left.changes, proven, ["run_key"], "left_semi"))
+    # A patched side that cannot be compared proves nothing, and a run without any rule is not proven.
+    unclear = left.rejections.select("run_key", F.lit("comparable").alias("rule"), F.lit(False).alias("ok"))
+    proofs = interface.interface_proof(checks.select("run_key", "rule", "ok").unionByName(unclear))
+    verdicts = quality.gate_run_results(given(bridge.results, RESULT_SCHEMA), given(bridge.expectations, EXPECTATION_SCHEMA))
+    outcomes = evidence.bridge_outcomes(scope, verdicts, proofs)
+    outcomes = cut_lineage(outcomes.join(proofs.select("run_key", "n_broken_rules"), "run_key", "left"))
+    proven = outcomes.filter("proven").select("run_key")
+    residual = even_join(left.changes, proven, ["run_key"], "left_semi")
+    return Proofs(outcomes, residual, evidence.missing_evidence(checks))
 
 
 def run_gate(
@@ -265,8 +300,8 @@ def run_gate(
 ) -> Gate:
     """Diff, context, score and final decision of every change set.
 
-    ``bridge`` has the patched snapshots of runs for which a bridge was built; its proof, and the score of what it leaves, are
-    derived here.  Only a run that is a single rename can have one.  Change sets that cannot be judged are shown as rejected
+    ``bridge`` has what was built and tested for some runs; its proof, and the score of what it leaves, are derived here.  Only
+    a run that is a single rename can have one.  Change sets that cannot be judged are shown as rejected
     and blocked; ``rejections`` says why.
     """
     policy = policy or Policy()
@@ -307,14 +342,11 @@ def decide(
     """
     scope = score.remediation_scope(changes)
     if proofs is None:
-        nothing = scope.filter(F.lit(False)).withColumn("proven", F.lit(False))
+        nothing = scope.filter(F.lit(False)).select("run_key", F.lit(False).alias("proven"), F.lit("").alias("remediation_status"))
         proofs = Proofs(nothing, changes.filter(F.lit(False)))
-    tested = scope.join(proofs.proofs.select("run_key", "proven"), "run_key", "left").select(
+    tested = scope.join(proofs.proofs.select("run_key", "proven", "remediation_status"), "run_key", "left").select(
         "run_key",
-        F.when(F.col("proven"), "TESTED")
-        .when(F.col("proven").isNull(), "GENERATED")
-        .otherwise("VERIFICATION_ERROR")
-        .alias("remediation_status"),
+        F.coalesce("remediation_status", F.lit("GENERATED")).alias("remediation_status"),
         F.coalesce("proven", F.lit(False)).alias("proven"),
     )
     residual = proofs.residual

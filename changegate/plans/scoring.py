@@ -127,16 +127,24 @@ def q_assess(spark, sf_dir):
     return gate.assess_context(gate_context(spark, sf_dir), Policy()).decisions
 
 
+def _bridge(spark, sf_dir) -> gate.Bridge:
+    nodes, tests, results, expected = (
+        view(spark, sf_dir, n) for n in ("gate_node", "bridge_model_test", "gate_result", "gate_expectation")
+    )
+    return gate.Bridge(snapshot(spark, sf_dir, "gate_patched"), nodes, tests, results, expected)
+
+
 def q_gate_decision(spark, sf_dir):
-    """The flagship: three snapshots and a catalog in, one final decision per change set out."""
-    before, after, patched = (snapshot(spark, sf_dir, n) for n in ("gate_before", "gate_after", "gate_patched"))
-    return gate.run_gate(before, after, load_catalog(spark, sf_dir), bridge=gate.Bridge(patched)).decisions
+    """The flagship: three snapshots, a catalog and the evidence of bridges in, one final decision per change set out."""
+    before, after = (snapshot(spark, sf_dir, n) for n in ("gate_before", "gate_after"))
+    return gate.run_gate(before, after, load_catalog(spark, sf_dir), bridge=_bridge(spark, sf_dir)).decisions
 
 
 def q_gate_proofs(spark, sf_dir):
-    """Which bridges of single renames keep the old interface, and how many rules the others break."""
-    before, after, patched = (snapshot(spark, sf_dir, n) for n in ("gate_before", "gate_after", "gate_patched"))
-    return gate.prove_bridges(gate_changes(spark, sf_dir), before, after, gate.Bridge(patched)).proofs.select("run_key", "proven")
+    """Which bridges of single renames were tested and keep the old interface, and why the others are not proven."""
+    before, after = (snapshot(spark, sf_dir, n) for n in ("gate_before", "gate_after"))
+    found = gate.prove_bridges(gate_changes(spark, sf_dir), before, after, _bridge(spark, sf_dir))
+    return found.proofs.select("run_key", "proven", "remediation_status")
 
 
 def _outcomes(spark, sf_dir):
@@ -305,12 +313,16 @@ SCORE_VIEWS = {
         least(15, cast(round(3 * log2(1 + coalesce(b.n_assets, 0))) as int)) as breadth_points,
         (select count(*) from gate_reason r where r.run_key = w.run_key) as n_override_reasons
       from gate_worst w left join gate_basis b using (run_key)) a) b) c""",
-    "gate_tested": """select c.run_key, case when p.proven then 'TESTED' when p.proven is null then 'GENERATED'
-        else 'VERIFICATION_ERROR' end as remediation_status, coalesce(p.proven, false) as proven, c.new_nullable
+    "gate_built": """select run_key, tested and rules as proven,
+        case when failed then 'TEST_FAILED' when tested and rules then 'TESTED' else 'VERIFICATION_ERROR' end as remediation_status
+      from (select 'run:' || k as run_key, k % 9 <> 5 and k % 10 = 0 as failed, k % 9 <> 5 and k % 10 <> 0 and k % 7 <> 3 as tested,
+        k % 2 = 0 and k % 5 <> 3 and k % 8 <> 4 and k % 26 <> 0 and not (k % 11 = 0 and exists (select 1 from bridge_model_test t
+          where t.run_key = 'run:' || k and t.side <> 'patched')) as rules
+        from (select distinct cast(floor(p_partkey / 8) as bigint) as k from part) p where k % 3 <> 0) b""",
+    "gate_tested": """select c.run_key, coalesce(p.remediation_status, 'GENERATED') as remediation_status,
+        coalesce(p.proven, false) as proven, c.new_nullable
       from (select run_key, bool_and(new_nullable) as new_nullable from gate_change group by run_key
-        having count(*) = 1 and min(change_type) = 'rename_column') c
-      left join (select distinct 'run:' || k as run_key, k % 2 = 0 as proven
-        from (select cast(floor(p_partkey / 8) as bigint) as k from part) p where k % 3 <> 0) p using (run_key)""",
+        having count(*) = 1 and min(change_type) = 'rename_column') c left join gate_built p using (run_key)""",
     "gate_rescored": """select t.run_key, case when new_nullable then 2 else 12 end as residual_score,
         (select count(*) from gate_reason r where r.run_key = t.run_key and r.reason like 'critical_evidence.%')
           + case when new_nullable is null then 1 else 0 end as n_open from gate_tested t where proven""",
@@ -381,7 +393,7 @@ least(15, cast(round(3 * log2(1 + count(distinct l_orderkey))) as int)) as bread
 from gate_final
 union all by name select distinct run_key, 'UNSUPPORTED' as remediation_status, 'BLOCK' as final_decision, 'REJECTED' as status,
   false as passing from gate_rejection"""),
-    "gate_proofs": sql("""select run_key, proven from gate_tested where remediation_status <> 'GENERATED'"""),
+    "gate_proofs": sql("""select run_key, proven, remediation_status from gate_tested where remediation_status <> 'GENERATED'"""),
     "run_status": """
 with o as (select o_orderkey as k, o_orderstatus as s from orders),
 d as (select k, case when k % 3 <> 0 and s = 'F' and k % 7 <> 0 and k % 11 <> 0 and (k % 13 = 0 or k % 4 <> 0)

@@ -17,6 +17,7 @@ TABLES = (
 ).split()
 
 _GATE_PART = "(select *, cast(floor(p_partkey / 8) as bigint) as k, cast(p_partkey % 8 as int) as i from part) p"
+_REFERS = """'{"type": "foreign_key", "to": "shop.part_' || p_partkey % 7 || '"}'"""
 _PLACE = "cast(row_number() over (partition by k order by p_partkey) - 1 as int)"
 _ORDER_URN = "'urn:li:dataset:(urn:li:dataPlatform:warehouse,shop.order_' || {} || ',PROD)'"
 _TABLE_URN = "'urn:li:dataset:(urn:li:dataPlatform:warehouse,shop.t' || {} || ',PROD)'"
@@ -49,12 +50,13 @@ from {_GATE_PART} where {where}"""
 
 
 def _bridge_nodes(side: str) -> str:
-    """Facts of one side of a rename bridge, with one changed fact in some runs."""
+    """Facts of one side of a rename bridge, with one changed fact in some runs; some runs lack a side or all of them."""
     odd = lambda n, base: f"'{base}' || case when k % {n} = 0 then '{side}' else '' end"
     return f"""select 'run:' || k as run_key, 'shop.t' || k as relation, '{side}' as side,
   {odd(41, 'shop.t')} as relation_identity, {odd(43, 'context')} as query_context_sha256,
   {odd(47, 'config')} as config_sha256, {odd(53, 'constraint')} as model_constraints_sha256,
-  {odd(59, 'duckdb')} as adapter_type, k % 61 <> 0 as tests_complete from {_GATE_PART} where i = 3"""
+  {odd(59, 'duckdb')} as adapter_type, k % 61 <> 0 as tests_complete from {_GATE_PART}
+where i = 3 and k % 67 <> 0{" and k % 71 <> 0" if side == "patched" else ""}"""
 
 
 VIEWS: dict[str, str] = {
@@ -74,28 +76,43 @@ select p_brand as run_key, p_brand as relation,
 from part where p_partkey % 11 <> 0""",
     # Many small change sets: one run and one relation per eight parts.
     "gate_before": f"""
-select 'run:' || k as run_key, 'shop.t' || k as relation, 'c' || p_partkey as column_name,
+select 'run:' || k as run_key, 'shop.t' || k as relation, 'c' || p_partkey as column_name, {_REFERS} as constraint_text,
   case when p_partkey % 53 = 0 then null else p_type end as data_type, p_size % 2 = 0 as nullable, {_PLACE} as ordinal,
   case when p_size <= 2 then 'shared_expr' else 'src.' || p_partkey end as expression
 from {_GATE_PART} where p_partkey % 29 <> 0 and k % 43 <> 0""",
     "gate_after": f"""
 select 'run:' || k as run_key, 'shop.t' || k as relation,
-  'c' || p_partkey || case when p_partkey % 31 = 0 then '_v2' else '' end as column_name,
+  'c' || p_partkey || case when p_partkey % 31 = 0 then '_v2' else '' end as column_name, {_REFERS} as constraint_text,
   case when p_partkey % 53 = 0 then null when p_partkey % 37 = 0 then p_type || '_WIDE' else p_type end as data_type,
   case when p_partkey % 17 = 0 then p_size % 2 <> 0 else p_size % 2 = 0 end as nullable, {_PLACE} as ordinal,
   case when p_size <= 2 then 'shared_expr' when p_partkey % 53 = 0 and p_size > 40 then 'other.' || p_partkey
        else 'src.' || p_partkey end as expression
 from {_GATE_PART} where p_partkey % 23 <> 0 and k % 41 <> 0""",
     # What the bridges of two thirds of the runs were built to: every column before, and the renamed ones under their new
-    # names too, at the end; in odd runs the new column has another type than intended.
+    # names too, at the end; in odd runs the new column has another type than intended, and some runs lose a constraint.
     "gate_patched": """
-select run_key, relation, column_name, data_type, nullable, ordinal, expression from gate_before
-where cast(substr(run_key, 5) as bigint) % 3 <> 0
+select run_key, relation, column_name, case when cast(substr(run_key, 5) as bigint) % 5 <> 3 then constraint_text end as constraint_text,
+  data_type, nullable, ordinal, expression from gate_before where cast(substr(run_key, 5) as bigint) % 3 <> 0
 union all
-select a.run_key, a.relation, a.column_name, a.data_type || case when cast(substr(a.run_key, 5) as bigint) % 2 = 1 then '_X' else '' end,
-  a.nullable, cast(b.n as int), a.expression
+select a.run_key, a.relation, a.column_name, a.constraint_text,
+  a.data_type || case when cast(substr(a.run_key, 5) as bigint) % 2 = 1 then '_X' else '' end, a.nullable, cast(b.n as int), a.expression
 from gate_after a join (select run_key, count(*) as n from gate_before group by run_key) b on b.run_key = a.run_key
 where a.column_name like '%~_v2' escape '~' and cast(substr(a.run_key, 5) as bigint) % 3 <> 0""",
+    # The evidence of the bridges: nodes, which some runs lack, and test runs, of which some failed, are missing or skipped a test.
+    "gate_node": " union all ".join(
+        f"""select distinct 'run:' || k as run_key, 'shop.t' || k as relation, '{side}' as side, 'shop.t' || k as relation_identity,
+  'context' as query_context_sha256, 'config' as config_sha256, 'constraint' as model_constraints_sha256, 'duckdb' as adapter_type,
+  k % 26 <> 0 as tests_complete from {_GATE_PART} where k % 8 <> 4"""
+        for side in ("before", "proposed", "patched")
+    ),
+    "gate_result": f"""
+select distinct 'run:' || k as run_key, 'model.shop.t' || k as unique_id, 'success' as status, '' as message
+from {_GATE_PART} where k % 9 <> 5
+union all
+select distinct 'run:' || k, 'test.shop.bridge_t' || k || '.' || k, case when k % 10 = 0 then 'fail' when k % 7 = 3 then 'skipped' else 'pass' end,
+  '' from {_GATE_PART} where k % 9 <> 5""",
+    "gate_expectation": f"""
+select distinct 'run:' || k as run_key, 't' || k as model, 'bridge_t' || k as test, 'failure' as text, 'none' as downstream from {_GATE_PART}""",
     "gate_catalog": f"""
 select distinct {_TABLE_URN.format('k')} as urn from {_GATE_PART} where k % 13 <> 0
 union all
