@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
 
 from changegate.session import cut_lineage, fresh_path
 
-__all__ = ["arrow_map", "bounded_batches", "cut_lineage", "fresh_path", "read_table", "text_bytes"]
+__all__ = ["arrow_map", "bounded_batches", "cut_lineage", "fresh_path", "read_table", "row_digest", "text_bytes"]
 
 # A batch that crosses to Python holds about this much, however long the texts are (a single longer text is a batch of its own).
 BATCH_BYTES = 8 << 20
@@ -51,3 +53,20 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of every text of a batch; a null is the empty text."""
     for value in column.cast(pa.large_binary()):
         yield value.as_py() or b""
+
+
+def _has(kind: DataType, wanted: tuple[type, ...]) -> bool:
+    if isinstance(kind, wanted):
+        return True
+    if isinstance(kind, ArrayType):
+        return _has(kind.elementType, wanted)
+    return isinstance(kind, StructType) and any(_has(f.dataType, wanted) for f in kind.fields)
+
+
+def row_digest(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; where the nulls are is hashed too, and columns that cannot be hashed are hashed as text."""
+    cells = []
+    for field in docs.schema.fields:
+        cell = F.col(f"`{field.name}`")
+        cells.append(F.to_json(F.struct(cell)) if _has(field.dataType, (MapType, VariantType)) else cell)
+    return F.xxhash64(*cells, *[F.col(f"`{c}`").isNull() for c in docs.columns])

@@ -19,9 +19,9 @@ The slot of a document numbers the documents of its shard from 0 without gaps.
 a hash bucket, cells are counted, and the counts of the buckets before are added: no shard is sorted in one task.
 
 Defined results: a null text has no bytes, is equal to other nulls, not to the empty text, and has the checksum of the empty
-text.  Repeated rows are documents of their own.  Null ids are kept and placed like any other.  No documents give no rows.
-Ties between items of one size may be broken either way.  Extra columns are not
-read.
+text.  Repeated rows are documents of their own.  Null and repeated ids are kept and placed like any other: rows are told apart
+by a number that they get when they are first written.  No documents give no rows.  Ties between items of one size may be broken
+either way.  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def _items_to_shards(items: DataFrame, n_items: int, shards: int, block_items: i
         level = cut_lineage(step.groupBy(F.col("up").alias("id")).agg(F.sum("bytes").alias("bytes")))
         smaller = level.count()
         if smaller >= n_items:
-            break  # nothing was combined; the last round takes what is left
+            block_items *= 2  # blocks of so few items that nothing was combined
         n_items = smaller
     last = level.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_combine_top(shards), "id bigint, shard int")
     return last if way is None else way.join(last.withColumnRenamed("id", "up"), "up").select("id", "shard")
@@ -148,6 +148,8 @@ def shard_documents(
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
             # Equal texts have equal items; a null is an item of its own.
             F.when(text.isNull(), F.lit(b"")).otherwise(F.unhex(F.sha2(text.cast("binary"), 256))).alias("item"),
+            # Tells rows apart whatever their ids are; written with the row, so that every reader sees the same number.
+            F.monotonically_increasing_id().alias("row"),
         )
     )
     groups = cut_lineage(rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
@@ -169,18 +171,18 @@ def shard_documents(
 def _pieces(rows: DataFrame, large: list[tuple[bytes, int]]) -> DataFrame:
     piece = F.lit(0)
     for item, pieces in large:
-        piece = F.when(F.col("item") == F.lit(bytes(item)), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(pieces)).cast("int")).otherwise(piece)
+        piece = F.when(F.col("item") == F.lit(bytes(item)), F.pmod(F.xxhash64("row"), F.lit(pieces)).cast("int")).otherwise(piece)
     return rows.withColumn("piece", piece)
 
 
 def _with_slots(placed: DataFrame, n_rows: int, shards: int) -> DataFrame:
     """Number the rows of every shard from 0 by cells of bounded size."""
     buckets = max(1, n_rows // (shards * CELL_ROWS))
-    celled = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)))
+    celled = placed.withColumn("bucket", F.pmod(F.xxhash64("row", F.lit("cell")), F.lit(buckets)))
     counts = celled.groupBy("shard", "bucket").agg(F.count("*").alias("n"))  # one row per cell, not per document
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("bucket", "shard").orderBy("doc_id", "text_crc32", "size")
+    inside = Window.partitionBy("bucket", "shard").orderBy("doc_id", "text_crc32", "size", "row")
     numbered = celled.withColumn("in_cell", F.row_number().over(inside))
     return numbered.join(offsets, ["bucket", "shard"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),

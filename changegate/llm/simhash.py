@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changegate.llm.common import arrow_map, cut_lineage, text_bytes
+from changegate.llm.common import arrow_map, cut_lineage, row_digest, text_bytes
 from changegate.llm.components import connected_components
 from changegate.operators.skew import even_join
 
@@ -280,9 +280,7 @@ def keep_one(
     id, or that all have none, the one with the smallest hash of its columns stays; of wholly equal rows, one.
     """
     columns = docs.columns
-    # The hash passes over nulls, so where they are is hashed too.
-    cells = [F.col(f"`{c}`") for c in columns]
-    digest = F.xxhash64(*cells, *[c.isNull() for c in cells])
+    digest = row_digest(docs)
     marked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), digest.alias("digest"))
     prints = cut_lineage(arrow_map(marked, _marked_fingerprints, "doc_id bigint, bits bigint, digest bigint", (shingle_words,)))
     found = prints.join(classes(prints.select("doc_id", "bits"), radius), "bits")

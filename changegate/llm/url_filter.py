@@ -73,14 +73,24 @@ def _rule_index(policy: UrlPolicy) -> dict[str, list[tuple[str, str, str]]]:
     return index
 
 
+@lru_cache(maxsize=4)
+def _longest_host(policy: UrlPolicy) -> int:
+    return max(map(len, _rule_index(policy)), default=0)
+
+
 def fitting_rule(host: str, path: str, policy: UrlPolicy) -> tuple[str, str] | None:
-    """(rule, action) of the longest rule that fits, found by walking up the host's parents."""
+    """(rule, action) of the longest rule that fits, found by walking up the host's parents.
+
+    Parents longer than every rule's host are passed over, so the walk does not grow with the length of the host.
+    """
     index, best = _rule_index(policy), None
-    while host:
-        for start, rule, action in index.get(host, ()):
+    beyond = len(host) - _longest_host(policy)
+    at = 0 if beyond <= 0 else host.find(".", beyond - 1) + 1 or len(host)
+    while at < len(host):
+        for start, rule, action in index.get(host[at:], ()):
             if path.startswith(start) and (best is None or len(rule) > len(best[0])):
                 best = (rule, action)
-        host = host.partition(".")[2]
+        at = host.find(".", at) + 1 or len(host)
     return best
 
 

@@ -12,7 +12,7 @@ from cases import TEXTS, as_set, documents
 
 import __spark_entry__ as entry_point
 import corpus_pipeline
-from changegate.llm import components, cover_tree, packing, quality, queries, sharding, simhash, toxicity
+from changegate.llm import components, cover_tree, near_copies, packing, quality, queries, sharding, simhash, toxicity
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -256,6 +256,96 @@ def test_components_of_a_long_path_and_a_hub(spark):
 # ------------------------------------------------------------------------------------------------------------ pipeline
 
 
+def kept_of_groups(rows, similarity=near_copies.SIMILARITY):
+    """Ids that stay, and ids in links, by comparing the shingle sets of all pairs that share a shingle."""
+    sets = [frozenset(near_copies.shingles((t or "").encode().lower().split()).tolist()) for _, t in rows]
+    parent, holders = list(range(len(rows))), defaultdict(list)
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, mine in enumerate(sets):
+        shared = defaultdict(int)
+        for shingle in mine or {"none"}:
+            for j in holders[shingle]:
+                shared[j] += 1
+            holders[shingle].append(i)
+        for j, n in shared.items():
+            if n / max(1, len(mine) + len(sets[j]) - n) >= similarity or not mine:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), doc_id), doc_id)
+    return set(least.values())
+
+
+def exchanged(words, share, rng):
+    return [rng.choice(words) + "x" if rng.random() < share else w for w in words]
+
+
+def test_near_copies_by_similarity(spark):
+    """Copies of texts with words exchanged at random: nine in ten go in every band of similarity, unlike texts never."""
+    rng = random.Random(8)
+    docs = spark.read.parquet(f"{SF_DIR.replace('0.001', '0.01')}/documents.parquet").collect()
+    texts = [t for t in ((r["text"] or "").lower().split() for r in docs) if 100 <= len(t) <= 600][:250]
+    rows, similarity = [], {}
+    for k, words in enumerate(texts):
+        rows.append((k, " ".join(words)))
+        for c in range(4):
+            copy = exchanged(words, rng.random() * 0.03, rng)
+            a, b = (near_copies.shingles([w.encode() for w in w_]) for w_ in (words, copy))
+            rows.append((1000 + 10 * k + c, " ".join(copy)))
+            similarity[1000 + 10 * k + c] = near_copies.jaccard(a, b)
+    kept = {r["doc_id"] for r in near_copies.keep_distinct(documents(spark, rows)).collect()}
+    want = kept_of_groups(rows)
+    assert want <= kept  # nothing goes without a link that leads to a smaller id
+    for low in (0.8, 0.85, 0.9, 0.95):
+        band = [i for i, s in similarity.items() if low <= s < low + 0.05]
+        assert len(band) > 50 and sum(i not in kept for i in band) >= 0.9 * len(band), low
+
+
+def test_near_copies_of_awkward_rows(spark):
+    long = [f"{w}{i}" for i in range(400) for w in "xy"]
+    near, far = [*long[:-1], "other"], [w if i % 9 else "gone" for i, w in enumerate(long)]
+    same_words = " ".join(reversed(long))
+    texts = [(None, f"nothing like number {i * i} was ever seen by {i} others") for i in range(6)]
+    texts += [(5, "a text that has nothing in common with any other"), (5, " ".join(long)), (9, " ".join(near)), (9, " ".join(near)), (None, " ".join(near))]
+    texts += [(11, " ".join(far)), (12, same_words), (13, None), (14, " "), (15, "A\tb"), (16, "a B"), (17, "a c")]
+    for chunk in (near_copies.CHUNK, 2):
+        kept = [(r["doc_id"], r["text"]) for r in near_copies.keep_distinct(documents(spark, texts), chunk=chunk).collect()]
+        assert sorted(kept, key=repr) == sorted([*texts[:8], texts[11], texts[12], texts[13], texts[15], texts[17]], key=repr)
+    columns = documents(spark, texts).columns
+    mapped = documents(spark, texts).selectExpr("*", "map('k', text) as facts", "array(map('a', 1)) as more")
+    for keep in (near_copies.keep_distinct, simhash.keep_one):
+        out = keep(mapped)
+        assert out.columns == [*columns, "facts", "more"] and out.count() > 0
+    assert near_copies.keep_distinct(documents(spark, [])).count() == 0
+
+
+def test_nearest_neighbours_equal_plain_distances():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    values = np.array([base[i % 4] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), False))) for i in range(300)])
+    slots = np.sort(rng.choice([1, 2, 2, 2, 2, 2, 3, 3, *range(4, 20)], len(values)))
+    got = {tuple(p) for p in near_copies.nearest(slots, values, 6, neighbours=2).tolist()}
+    allowed = set()
+    for i, v in enumerate(values):
+        mine = slots == slots[i]
+        for part in (np.flatnonzero(mine[:i]), i + 1 + np.flatnonzero(mine[i + 1 :])):
+            distance = np.bitwise_count(values[part] ^ v)
+            pairs = [tuple(sorted((i, int(k)))) for k in part[distance <= 6]]
+            allowed |= set(pairs)
+            if mine.sum() <= simhash.SMALL:
+                assert set(pairs) <= got
+            else:
+                kept = np.sort([np.bitwise_count(values[a] ^ values[b]) for a, b in pairs if (a, b) in got])[:2]
+                assert kept.tolist() == np.sort(distance[distance <= 6])[:2].tolist()
+    assert got <= allowed
+
+
 def test_pipeline_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     left, stages = docs, dict(corpus_pipeline.STAGES)
@@ -271,7 +361,7 @@ def test_pipeline_stages_against_brute_force(spark):
     rows = [r for r, p, g in zip(rows, profiles, good, strict=True) if g and not p.base_failed]
     left = stages["quality rules"](spark, left, SF_DIR)
     assert left.columns == docs.columns and as_set(left, "doc_id") == sorted(((i,) for i, _ in rows), key=repr)
-    keep = set(brute_components(brute_prints(rows), [i for i, _ in rows]))
+    keep = kept_of_groups(rows)
     left = stages["SimHash near-dedup"](spark, left, SF_DIR)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == keep
     packed = corpus_pipeline.run(spark, SF_DIR).collect()
