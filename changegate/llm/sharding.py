@@ -13,7 +13,7 @@ item up the rounds.  (Handing up *tied* columns instead would leave no room besi
 shard.)  Nothing larger than a block, or than the last round, meets in one task.
 
 A group of copies can be larger than a shard.  Fewer than ``shards`` groups exceed the mean, so they are named in a small
-list, and each is cut into the fewest pieces that do not.
+list, and each is cut by a hash into pieces of about a ``CUT``-th of the mean, small enough to level what the hash leaves uneven.
 
 The slot of a document numbers the documents of its shard from 0 without gaps.  Documents are dealt into cells of a shard and
 a hash bucket, cells are counted, and the counts of the buckets before are added: no shard is sorted in one task.
@@ -42,6 +42,7 @@ BLOCK_ITEMS = 4_000
 TOP_ITEMS = 20_000
 FINE_ITEMS = 4_000
 CELL_ROWS = 500
+CUT = 4
 
 UP_SCHEMA = "id bigint, up bigint, bytes bigint"
 
@@ -156,7 +157,7 @@ def shard_documents(
     total, n_groups, n_rows = groups.agg(F.sum("bytes"), F.count("*"), F.sum("n")).first()
     n_rows, mean = int(n_rows or 0), -(-int(total or 0) // shards)
     # Fewer than ``shards`` groups can be larger than the mean of the shards.
-    large = [(r["item"], -(-r["bytes"] // mean)) for r in groups.filter(F.col("bytes") > mean).select("item", "bytes").collect()] if n_rows else []
+    large = [(r["item"], -(-CUT * r["bytes"] // mean)) for r in groups.filter(F.col("bytes") > mean).select("item", "bytes").collect()] if n_rows else []
     in_pieces = _pieces(rows, large)
     sized = in_pieces.groupBy("item", "piece").agg(F.sum("size").alias("bytes")) if large else groups.select("item", F.lit(0).alias("piece"), "bytes")
     # Numbered once and written, so that every reader sees the same numbers.

@@ -46,6 +46,21 @@ def test_urls_against_brute_force(spark):
     assert url_filter.judge_urls(pages(spark, [])).count() == 0
 
 
+def test_rules_of_long_hosts():
+    """A host of many labels costs no more than its last few, and fits the same rules."""
+    policy = url_filter.UrlPolicy((("block", "a.b/"), ("allow", "b/"), ("block", "x.a.b/p")), (), ())
+    labels = "l." * 500_000
+    assert url_filter.fitting_rule(labels + "x.a.b", "/p1", policy) == ("x.a.b/p", "block")
+    assert url_filter.fitting_rule(labels + "xa.b", "/p", policy) == ("b/", "allow")
+    assert url_filter.fitting_rule("n" * 1_000_000 + ".a.b", "/", policy) == ("a.b/", "block")
+    assert url_filter.fitting_rule("n" * 1_000_000, "/", policy) is None and url_filter.fitting_rule("", "/", policy) is None
+    for host in ("a.b", ".a.b", "b", "a.b.", "..b", "ba.b", "x.a.b", "a.b.c", "."):
+        parents = [host.split(".", k)[-1] for k in range(host.count(".") + 1)]
+        fits = [r for _, r in policy.rules if r.partition("/")[0] in parents and "/q".startswith("/" + r.partition("/")[2])]
+        best = max(fits, key=len, default=None)
+        assert (url_filter.fitting_rule(host, "/q", policy) or (None,))[0] == best, host
+
+
 def test_url_oracle_on_awkward_rows(spark):
     con = duckdb.connect()
     con.execute("create table pages (page_id bigint, url varchar)")
