@@ -186,7 +186,8 @@ def q_materialize(spark, sf_dir):
 def _documents(spark, sf_dir):
     """Parts as model manifests in JSON, one node and one column each, of two adapters; some are damaged.
 
-    Equal settings are written in two orders and layouts; constraints are objects or names.
+    Equal settings are written in two orders and layouts; constraints are objects or names.  The damage: half a document, a
+    list of columns, a type that is a number, flags that are texts, a node that is a text or is there twice.
     """
     k = F.col("p_partkey")
     column = F.struct(
@@ -216,11 +217,19 @@ def _documents(spark, sf_dir):
     body = F.to_json(manifest)
     for mark, value in (("CONFIG", config), ("KEYS", keys), ("CONSTRAINTS", columns)):
         body = F.replace(body, F.lit(f'"@{mark}@"'), value)
+    named = F.concat(F.lit('"model.shop.t'), k, F.lit('":'))
+    damaged = (
+        F.when(k % 17 == 0, F.lit('{"nodes": 1'))
+        .when(k % 67 == 0, F.regexp_replace(body, '"columns":[{].*', '"columns":[]}}}'))
+        .when(k % 71 == 0, F.regexp_replace(body, '"data_type":"[^"]*"', '"data_type":5'))
+        .when(k % 73 == 0, F.regexp_replace(body, '"quote":(true|false)', '"quote":"yes"'))
+        .when(k % 79 == 0, F.replace(body, F.lit('"not_null":true'), F.lit('"not_null":"no"')))
+        .when(k % 83 == 0, F.concat(F.lit('{"metadata":{},"nodes":{'), named, F.lit('"a text"}}')))
+        .when(k % 89 == 0, F.concat(F.substring_index(body, '"nodes":{', 1), F.lit('"nodes":{'), named, F.lit("{},"), F.substring_index(body, '"nodes":{', -1)))
+        .otherwise(body)
+    )
     return table(spark, sf_dir, "part").select(
-        F.concat(F.lit("run:"), k).alias("run_key"),
-        F.lit("before").alias("side"),
-        F.when(k % 17 == 0, F.lit('{"nodes": 1')).otherwise(body).alias("json"),
-        F.col("p_partkey"),
+        F.concat(F.lit("run:"), k).alias("run_key"), F.lit("before").alias("side"), damaged.alias("json"), F.col("p_partkey")
     )
 
 
@@ -320,6 +329,17 @@ union all select run_id, source_urn, 'risk_score_invalid' from p where original_
 union all select run_id, source_urn, 'document_size_invalid' from p where body = 'empty'
 union all select run_id, source_urn, 'document_urn_invalid' from p where document_urn like '% %'"""
 
+# What is damaged in the manifest of part k.
+_DAMAGE = """case when {k} % 17 = 0 then 'json' when {k} % 67 = 0 then 'columns' when {k} % 71 = 0 then case when {k} % 5 <> 0 then 'data_type' end
+  when {k} % 73 = 0 then 'quote' when {k} % 79 = 0 then case when {k} % 3 = 1 then 'not_null' end when {k} % 83 = 0 then 'node'
+  when {k} % 89 = 0 then 'json' end"""
+_PART_DAMAGE = _DAMAGE.format(k="p_partkey")
+_REJECTED = f"""select run_key, case damage when 'json' then 'manifest_invalid' when 'node' then 'node_invalid' when 'columns' then 'columns_invalid'
+    else 'column_invalid' end as reason, case damage when 'json' then 'before' when 'node' then unique_id when 'columns' then unique_id
+    else unique_id || '.c.' || damage end as detail
+  from (select 'run:' || p_partkey as run_key, 'model.shop.t' || p_partkey as unique_id, p_partkey % 7 as kind, {_PART_DAMAGE} as damage from part) d
+  where damage in ('json', 'node') or (damage is not null and kind <> 0)"""
+
 ORACLES = {
     "validate_publish": f"with p as ({_PASS}) {_INVALID}",
     "readback_match": f"""with p as ({_PASS})
@@ -362,22 +382,22 @@ select 'run:' || p_partkey as run_key, 'model.shop.t' || p_partkey as unique_id,
   case when p_partkey % 8 = 0 then 'postgres' else 'duckdb' end as adapter_type,
   sha256(case when p_partkey % 11 = 0 then '{}' else '{"a":"t","b":{"x":[1,2],"y":1}}' end) as config_sha256,
   sha256('[{"to":"t' || p_partkey % 4 || '","type":"foreign_key"}]|null') as model_constraints_sha256
-from part where p_partkey % 17 <> 0 and p_partkey % 7 <> 0""",
-    "read_manifests": """select 'run:' || p_partkey as run_key, case when p_partkey % 17 = 0 then 'manifest_invalid'
-    when p_partkey % 2 = 0 then 'model' else 'seed' end as outcome,
-  case when p_partkey % 17 = 0 then 'before' when p_partkey % 6 = 0 then '"Shop".t' || p_partkey else 'main.t' || p_partkey end as detail
-from part where p_partkey % 17 = 0 or p_partkey % 7 <> 0""",
+from part where p_partkey % 7 <> 0 and """ + _PART_DAMAGE + " is null",
+    "read_manifests": f"""select 'run:' || p_partkey as run_key, case when p_partkey % 2 = 0 then 'model' else 'seed' end as outcome,
+  case when p_partkey % 6 = 0 then '"Shop".t' || p_partkey else 'main.t' || p_partkey end as detail
+from part where p_partkey % 7 <> 0 and {_PART_DAMAGE} is null
+union all {_REJECTED}""",
     "manifest_rejections": """
 with p as (select p_partkey as k, 'run:' || p_partkey as run_key, array_to_string(list_transform(string_split(p_name, ' '),
   lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') as nice from part),
 n as (select *, 'model.shop.t' || k || '.' || case when k % 4 = 0 then '"' || nice || '"' else lower(nice) end as place
-  from p where k % 17 <> 0 and k % 7 <> 0)
-select run_key, 'manifest_invalid' as reason, 'before' as detail from p where k % 17 = 0
+  from p where k % 7 <> 0 and """ + _DAMAGE.format(k="k") + """ is null)
+""" + _REJECTED + """
 union all
 select run_key, 'conflicting_types', place from n where k % 5 <> 0 and k % 23 = 0 and k % 19 <> 0 and k % 10 <> 0""",
     "manifest_columns": """
 with n as (select p_partkey as k, p_name, array_to_string(list_transform(string_split(p_name, ' '),
-  lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') as nice from part where p_partkey % 17 <> 0 and p_partkey % 7 <> 0),
+  lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') as nice from part where p_partkey % 7 <> 0 and """ + _PART_DAMAGE + """ is null),
 b as (select 'run:' || k as run_key, 'model.shop.t' || k as unique_id,
   case when k % 6 = 0 then '"Shop".t' || k else 'main.t' || k end as relation, * from n)
 select run_key, unique_id, relation, case when k % 4 = 0 then '"' || nice || '"' else lower(nice) end as column_name,
