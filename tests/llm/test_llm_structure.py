@@ -358,12 +358,17 @@ def test_nearest_neighbours_equal_plain_distances():
             distance = np.bitwise_count(values[part] ^ v)
             pairs = [tuple(sorted((i, int(k)))) for k in part[distance <= 6]]
             allowed |= set(pairs)
-            if mine.sum() <= simhash.SMALL:
+            if mine.sum() <= near_copies.DENSE:
                 assert set(pairs) <= got
             else:
                 kept = np.sort([np.bitwise_count(values[a] ^ values[b]) for a, b in pairs if (a, b) in got])[:2]
                 assert kept.tolist() == np.sort(distance[distance <= 6])[:2].tolist()
     assert got <= allowed
+    planes = simhash.bit_planes(values)
+    for radius in (0, 3, 6, 7):
+        row, other = near_copies.within_block(planes, values[:50], radius)
+        pairs = {(i, j) for i, j in zip(row.tolist(), other.tolist(), strict=True) if j < len(values)}
+        assert pairs == set(zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(values[:50, None] ^ values[None, :]) <= radius)), strict=True))
 
 
 def test_pipeline_stages_against_brute_force(spark):
