@@ -3,7 +3,7 @@
 A tolerant tree builder turns the markup into elements: void elements, raw-text elements and implied end tags (a paragraph
 ends where a block starts, an item where the next item starts, a cell where the next cell or row starts) are known, end tags
 without a start are ignored, and what is open at the end of the page is closed.  Visibility rules drop what a reader does not
-see: the head, scripts, styles, templates, elements with ``hidden`` or ``display:none`` or ``visibility:hidden``, and the closed
+see: the head, scripts, styles, templates, the invisible parts of drawings and formulas, elements with ``hidden`` or ``display:none`` or ``visibility:hidden``, and the closed
 part of ``details``.  A layout pass walks the tree with a stack of its own, so depth is no limit, and writes *all* remaining
 text: blocks on lines of their own with blank lines where they have margins, bulleted and numbered lists with indentation,
 preformatted text as it is, and tables with aligned columns.
@@ -29,7 +29,8 @@ SCHEMA = "page_id bigint, text string, n_lines int, n_chars int"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
 UNSEEN = frozenset(
-    "head script style template noscript iframe noembed noframes title datalist object audio video canvas svg math map".split()
+    "head script style template noscript iframe noembed noframes title datalist object audio video canvas "
+    "desc defs metadata symbol clippath mask pattern marker annotation annotation-xml".split()  # of drawings and formulas
 )
 # Blocks and the blank lines around them.
 MARGIN = {
@@ -59,8 +60,10 @@ IMPLIED = {
     "body": (frozenset(["head"]), frozenset()),
 }
 SCOPE = frozenset("table td th caption button".split())
-MAX_ALIGNED, MAX_SPAN = 60, 1000  # wider cells are not padded to; HTML's own bound of a column span
-MAX_INDENTS = 20  # deeper levels are not indented further
+MAX_SPAN = 1000  # HTML's own bound of a column span
+# Memory stays linear in the page: where aligning all of a table would take more than PADDING times its text and some thousand
+# characters, its cells wider than NARROW are not aligned to; levels beyond the depth that browsers build are not indented further.
+PADDING, SPARE, NARROW, MAX_INDENTS = 16, 1 << 16, 60, 512
 
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
 _ATTRIBUTES = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
@@ -257,18 +260,27 @@ class _Table:
                 self.blocked[c] = down - 1
         self.column += across
 
-    def lines(self) -> list[str]:
+    def starts(self, widest: int | None) -> dict[int, int]:
+        """Where the columns start if cells up to a width are aligned to."""
         widths: dict[int, int] = {}
         for row in self.rows:
             for column, across, lines in row:
                 widths.setdefault(column, 0)
                 if across == 1:
-                    fits = [len(line) for line in lines if len(line) <= MAX_ALIGNED]
+                    fits = [len(line) for line in lines if widest is None or len(line) <= widest]
                     widths[column] = max([widths[column], *fits])
         starts, place = {}, 0
         for column in sorted(widths):
             starts[column] = place
             place += widths[column] + 2
+        return starts
+
+    def lines(self) -> list[str]:
+        starts = self.starts(None)
+        text = sum(len(line) for row in self.rows for _, _, lines in row for line in lines)
+        padded = sum(starts[row[-1][0]] * max(len(lines) for _, _, lines in row) for row in self.rows if row)
+        if padded > PADDING * text + SPARE:
+            starts = self.starts(NARROW)
         out = []
         for row in self.rows:
             for k in range(max((len(lines) for _, _, lines in row), default=0)):

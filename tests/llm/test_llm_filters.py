@@ -188,6 +188,20 @@ def test_broken_markup_is_rendered(page):
     assert "x" in html_text.visible_text(page)
 
 
+def test_drawings_formulas_maps_and_wide_cells():
+    page = """<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>SVGT</text><style>no</style></svg>
+      <p><math><mi>MATHX</mi><annotation>no</annotation></math></p><map name="m"><p><a href="/">MAPLINK</a></p></map>"""
+    text = "\n".join(html_text.render(html_text.parse(page)))
+    assert [w for w in ("SVGT", "MATHX", "MAPLINK") if w in text] == ["SVGT", "MATHX", "MAPLINK"] and "no" not in text.split()
+    wide = html_text.render(html_text.parse(f"<table><tr><td>{'w' * 80}<td>one<tr><td>short<td>two</table>"))
+    assert [line.index(w) for line, w in zip(wide, ("one", "two"), strict=True)] == [82, 82]
+    deep = html_text.render(html_text.parse("<ul><li>" * 30 + "end"))
+    assert deep[-1].strip().endswith("end") and len(deep[-1]) - len(deep[-1].lstrip()) >= 2 * 29
+    # One enormous cell beside many rows does not multiply.
+    large = html_text.render(html_text.parse("<table><tr><td>" + "w" * 100_000 + "<td>x" + "<tr><td>a<td>b" * 2_000 + "</table>"))
+    assert sum(map(len, large)) < 400_000 and large[1].split() == ["a", "b"]
+
+
 def test_all_words_of_real_pages_are_kept(spark):
     sf_dir = "/root/testdata/sf0.001"
     given = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
