@@ -48,8 +48,8 @@ def _planted(spark, sf_dir):
     line = (
         F.when(k == 0, F.concat(F.lit("sk-proj-"), F.substring(tag, 1, 20)))
         .when(k == 1, F.concat(F.lit("AKIA"), up))
-        .when(k == 2, F.concat(F.lit("SERVICE_TOKEN=\""), F.substring(tag, 1, 32), F.lit("\"")))
-        .when(k == 3, F.concat(F.lit("api_key: replace-"), F.substring(tag, 1, 24)))
+        .when(k == 2, F.concat(F.lit("WAREHOUSE_PASSWORD=\""), F.substring(tag, 1, 32), F.lit("\"")))
+        .when(k == 3, F.concat(F.lit("client_secret: dummy-"), F.substring(tag, 1, 24)))
         .when(k == 4, F.concat(F.lit("Authorization: Bearer "), F.substring(tag, 1, 30)))
         .when(k == 5, F.concat(F.lit("éeyJ"), F.substring(tag, 1, 12), F.lit("."), F.substring(tag, 13, 12), F.lit("."), F.substring(tag, 25, 12)))
         .when(k == 6, F.concat(F.substring(tag, 1, 6), F.lit("@"), "source", F.lit(".org, info@"), "source", F.lit(".org")))
@@ -172,8 +172,8 @@ _NOTED = r"""select doc_id, text || case doc_id % 4 when 0 then ' see /home/' ||
   when 1 then ' see /Users/' || source || '/a and /Users/' || source || '/b'
   when 2 then ' see C:\\Users\\' || source || '\\x' else ' see /home/' || source end as text from documents"""
 _PLANTED = """select doc_id, text || chr(10) || case doc_id % 10 when 0 then 'sk-proj-' || substr(h, 1, 20)
-  when 1 then 'AKIA' || upper(substr(h, 1, 16)) when 2 then 'SERVICE_TOKEN="' || substr(h, 1, 32) || '"'
-  when 3 then 'api_key: replace-' || substr(h, 1, 24) when 4 then 'Authorization: Bearer ' || substr(h, 1, 30)
+  when 1 then 'AKIA' || upper(substr(h, 1, 16)) when 2 then 'WAREHOUSE_PASSWORD="' || substr(h, 1, 32) || '"'
+  when 3 then 'client_secret: dummy-' || substr(h, 1, 24) when 4 then 'Authorization: Bearer ' || substr(h, 1, 30)
   when 5 then 'éeyJ' || substr(h, 1, 12) || '.' || substr(h, 13, 12) || '.' || substr(h, 25, 12)
   when 6 then substr(h, 1, 6) || '@' || source || '.org, info@' || source || '.org'
   when 7 then 'see /home/' || source || '/x' when 8 then 'dhpat-' || substr(h, 1, 24)

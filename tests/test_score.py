@@ -1,3 +1,4 @@
+import json
 import math
 
 import pytest
@@ -131,3 +132,20 @@ def test_policy_is_validated():
                     dict(hop_penalty=-1), dict(change_severity={**pol.SEVERITY_POINTS, "drop_column": 101})):
         with pytest.raises(pol.PolicyError):
             pol.policy_from_mapping({**good, **change_})
+
+
+def test_policy_is_read_from_a_file(tmp_path):
+    """The layout of a policy file, as JSON, which is YAML too; other contents are refused with a reason."""
+    good = dict(version="2.1.0", thresholds=dict(pass_max=24, review_max=59), change_severity={**pol.SEVERITY_POINTS, "drop_column": 50},
+                signals=dict(pol.SIGNAL_POINTS), breadth=dict(multiplier=2, maximum=10), hop_penalty=3, maximum_score=100)
+    path = tmp_path / "policy.json"
+    path.write_text(json.dumps(good), encoding="utf-8")
+    read = pol.load_policy(path)
+    assert read == pol.policy_from_mapping(good) and read.version == "2.1.0" and read.hop_penalty == 3
+    assert pol.load_policy(str(path)) == read
+    for text in ("[]", json.dumps({**good, "extra": 1}), json.dumps({k: v for k, v in good.items() if k != "signals"}), "not: [a policy"):
+        path.write_text(text, encoding="utf-8")
+        with pytest.raises(Exception):  # noqa: B017  a YAML reader has errors of its own
+            pol.load_policy(path)
+    with pytest.raises(FileNotFoundError):
+        pol.load_policy(tmp_path / "missing.json")
