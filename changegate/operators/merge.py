@@ -72,11 +72,12 @@ def members_of(impacted: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Merged:
-    """One row per (run, asset), the conflicts found, and the merged lists."""
+    """One row per (run, asset), the conflicts found, the merged lists, and the assets whose reports differ in anything."""
 
     assets: DataFrame
     conflicts: DataFrame
     members: DataFrame
+    differing: DataFrame | None = None
 
 
 def merge_assets(impacted: DataFrame, members: DataFrame | None = None, staged: bool = False) -> Merged:
@@ -105,17 +106,23 @@ def merge_assets(impacted: DataFrame, members: DataFrame | None = None, staged:
         F.max("recent_query_usage_score").alias("recent_query_usage_score"),
         F.count(F.lit(1)).alias("n_reports"),
         *[_disagree(F.col(col)).alias(f"differs_{fact}") for fact, col in column_of.items()],
+        _disagree(F.col("name")).alias("differs_name"),
     )
     shared = (
         members.groupBy(*ASSET_KEY, "fact", "member")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy(*ASSET_KEY)
-        .agg(*[F.min(F.when(F.col("fact") == f, F.col("n"))).alias(f"shared_{f}") for f in SET_FACTS])
+        .agg(*[F.min(F.when(F.col("fact") == f, F.col("n"))).alias(f"shared_{f}") for f in (*SET_FACTS, EVIDENCE_FACT)])
     )
     merged = merged.join(shared, ASSET_KEY, "left")
     for fact in SET_FACTS:
         partial = F.coalesce(F.col(f"shared_{fact}") < F.col("n_reports"), F.lit(False))
         merged = merged.withColumn(f"differs_{fact}", F.col(f"differs_{fact}") | partial)
+    # Reports are the same as a whole if they agree on every fact, the name and all evidence.
+    differs = F.coalesce(F.col(f"shared_{EVIDENCE_FACT}") < F.col("n_reports"), F.lit(False))
+    for fact in (*column_of, "name"):
+        differs = differs | F.col(f"differs_{fact}")
+    merged = merged.withColumn("differs", differs)
     if staged:
         merged = cut_lineage(merged)
 
@@ -156,7 +163,7 @@ def merge_assets(impacted: DataFrame, members: DataFrame | None = None, staged:
     merged_members = (
         members.select(*ASSET_KEY, "fact", "member").distinct().join(known, [*ASSET_KEY, "fact"], "left_semi")
     )
-    return Merged(assets, conflicts, merged_members)
+    return Merged(assets, conflicts, merged_members, merged.filter("differs").select(*ASSET_KEY))
 
 
 def conflict_records(conflicts: DataFrame) -> DataFrame:
@@ -171,6 +178,21 @@ def conflict_records(conflicts: DataFrame) -> DataFrame:
     )
 
 
+def merge_reasons(merged: Merged, record_errors: DataFrame | None = None) -> DataFrame:
+    """(run_key, reason): assets whose reports differed in anything, facts they disagreed on, and runs with conflicting records.
+
+    ``record_errors`` is the result of ``record_conflicts``.
+    """
+    short = F.substring(F.sha2("urn", 256), 1, 12)
+    reasons = merged.differing.select("run_key", F.concat_ws(".", F.lit("context.asset_merged"), short).alias("reason")).unionByName(
+        merged.conflicts.select("run_key", F.concat_ws(".", F.lit("context.asset_fact_conflict"), "field", short).alias("reason"))
+    )
+    if record_errors is not None:
+        odd = record_errors.select("run_key", F.lit("context.evidence_record_conflict").alias("reason")).distinct()
+        reasons = reasons.unionByName(odd)
+    return reasons
+
+
 def record_conflicts(records: DataFrame, content: list[str]) -> DataFrame:
     """An error record for every id that stands for different contents in a run."""
     body = F.struct(*content)

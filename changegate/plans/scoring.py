@@ -63,6 +63,10 @@ def q_worst_status(spark, sf_dir):
 
 def q_record_conflicts(spark, sf_dir):
     """Lines of one order and number are one record; differing contents are errors."""
+    return _record_conflicts(spark, sf_dir)
+
+
+def _record_conflicts(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("run:"), F.col("l_orderkey") % 10).alias("run_key"),
         F.concat_ws("-", F.lit("record"), "l_orderkey", "l_linenumber").alias("id"),
@@ -72,6 +76,11 @@ def q_record_conflicts(spark, sf_dir):
     return merge.record_conflicts(lines, ["l_returnflag", "l_linestatus"])
 
 
+def q_merge_reasons(spark, sf_dir):
+    """Why the merged context of a run is to be doubted."""
+    return merge.merge_reasons(_merged(spark, sf_dir), _record_conflicts(spark, sf_dir))
+
+
 def _scored(spark, sf_dir):
     context = gate_context(spark, sf_dir)
     policy = Policy()
@@ -193,6 +202,7 @@ QUERIES = {
     "merged_members": q_merged_members,
     "worst_status": q_worst_status,
     "record_conflicts": q_record_conflicts,
+    "merge_reasons": q_merge_reasons,
     "gate_conflicts": q_gate_conflicts,
     "asset_contributions": q_asset_contributions,
     "merged_evidence": q_merged_evidence,
@@ -375,6 +385,13 @@ select 'run:' || (l_orderkey % 10) as run_key,
   'merge-conflict:' || substr(sha256('record-' || l_orderkey || '-' || l_linenumber), 1, 16) as id,
   'other' as kind, 'error' as status, true as critical from lineitem group by l_orderkey, l_linenumber
 having count(distinct l_returnflag || l_linestatus) > 1""",
+    "merge_reasons": sql(f"""
+select f.run_key, 'context.asset_merged.' || substr(sha256(f.urn), 1, 12) as reason from report_flags f
+  join (select run_key, urn, {_DIFFERS.format('name')} as d_name from report_rows group by run_key, urn) n
+  on n.run_key = f.run_key and n.urn = f.urn where d_name or {' or '.join(f'd_{f}' for f, *_ in CONFLICT_FACTS)}
+union all select run_key, 'context.asset_fact_conflict.' || field || '.' || substr(sha256(urn), 1, 12) from report_conflicts
+union all select distinct 'run:' || (l_orderkey % 10), 'context.evidence_record_conflict' from (select l_orderkey, l_linenumber from lineitem
+  group by l_orderkey, l_linenumber having count(distinct l_returnflag || l_linestatus) > 1) x"""),
     "gate_conflicts": sql("select * from merged_conflicts"),
     "asset_contributions": sql(_CLAMP_SQL),
     "merged_evidence": sql("select distinct run_key, urn, 'evidence_refs' as fact, 'report:' || change_id as member from report_rows"),

@@ -1,3 +1,5 @@
+import hashlib
+
 from helpers import STATE_SCHEMA, collect
 from pyspark.sql import functions as F
 
@@ -76,3 +78,22 @@ def test_evidence_is_united_whatever_is_known(rows):
     data = [(*report("1", owners=None), ["a", "b"]), (*report("2"), ["b", "c"]), (*report("3", urn="v"), None)]
     merged = merge.merge_assets(rows(SCHEMA + ", evidence_refs array<string>", data))
     assert collect(merged.members.filter("fact = 'evidence_refs'"), "urn", "member") == [("u", "a"), ("u", "b"), ("u", "c")]
+
+
+def test_a_report_is_the_same_only_as_a_whole(rows):
+    """Equal facts with another name or other evidence are a merged asset without a conflict of facts."""
+    refs = {"same": ("e", "e"), "evidence": ("e", "f"), "named": ("e", "e"), "owned": ("e", "e"), "none": (None, None), "gone": ("e", None)}
+    data = []
+    for urn, pair in refs.items():
+        for n, ref in enumerate(pair):
+            name = f"name {n}" if urn == "named" else "name"
+            owners = (f"o{n}",) if urn == "owned" else ("o",)
+            data.append((*report(str(n), urn=urn, name=name, owners=owners), [] if ref is None else [ref]))
+    merged = merge.merge_assets(rows(f"{SCHEMA}, evidence_refs array<string>", data))
+    assert collect(merged.differing, "urn") == [("evidence",), ("gone",), ("named",), ("owned",)]
+    short = lambda urn: hashlib.sha256(urn.encode()).hexdigest()[:12]
+    errors = merge.record_conflicts(rows("run_key string, id string, status string", [("r", "x", "a"), ("r", "x", "b"), ("q", "x", "a")]), ["status"])
+    want = [f"context.asset_merged.{short(u)}" for u in ("evidence", "gone", "named", "owned")]
+    want += [f"context.asset_fact_conflict.owners.{short('owned')}", "context.evidence_record_conflict"]
+    assert [r for _, r in collect(merge.merge_reasons(merged, errors))] == sorted(want)
+    assert collect(merge.merge_assets(rows(SCHEMA, [report("1")])).differing) == []
