@@ -110,7 +110,7 @@ def q_interface_snapshot(spark, sf_dir):
         F.lit(False).alias("quote"),
         constraint.alias("constraints"),
     )
-    nodes = _nodes(spark, sf_dir).select(
+    nodes = view(spark, sf_dir, "bridge_node_whole").select(
         "run_key", "side", F.col("relation").alias("unique_id"), "config_sha256", "query_context_sha256"
     )
     digests = interface.snapshot_digest(interface.interface_snapshot(nodes, columns))
@@ -257,7 +257,7 @@ where (l_suppkey % 5 = 0 and node = 'model.shop.t0') or (l_suppkey % 5 <> 0 and
 with c as (select run_key, side, string_agg(column_name || '/' || data_type || '/' || nullable, ',' order by column_name)
   || case when cast(substr(run_key, 5) as bigint) % 67 = 0 and side = 'patched' then 'moved' else '' end as body
   from bridge_column group by run_key, side),
-s as (select c.run_key, c.side, c.body || n.config_sha256 || n.query_context_sha256 as body from c join bridge_node n
+s as (select c.run_key, c.side, c.body || n.config_sha256 || n.query_context_sha256 as body from c join bridge_node_whole n
   on n.run_key = c.run_key and n.side = c.side)
 select run_key, max(case when side = 'before' then body end) = max(case when side = 'patched' then body end) as before_is_patched,
   max(case when side = 'before' then body end) = max(case when side = 'proposed' then body end) as before_is_proposed,

@@ -3,6 +3,8 @@ from helpers import collect
 from pyspark.sql import functions as F
 
 from changegate.operators import interface
+from changegate.plans import bridging
+from changegate.plans.views import TABLES
 
 SCHEMA = ("run_key string, relation string, side string, column_name string, data_type string, nullable boolean, "
           "ordinal int, expr_fingerprint string")
@@ -128,3 +130,14 @@ def test_two_renames_of_one_relation_fail(rows):
     one = interface.interface_proof(interface.interface_check(contracts, renames.limit(1)))
     two = interface.interface_proof(interface.interface_check(contracts, renames))
     assert collect(one, "proven") == [(True,)] and collect(two, "proven") == [(False,)]
+
+
+def test_snapshot_query_looks_at_every_run(spark, rows, tmp_path):
+    """A run whose nodes other queries leave out is compared too, on all three sides."""
+    part = rows("p_partkey bigint, p_name string, p_brand string, p_type string, p_size int", [
+        (k, f"n{k}", "b", "INT", 1) for run in (67, 70, 71) for k in range(8 * run, 8 * run + 8)])
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    for other in set(TABLES) - {"part"}:
+        (tmp_path / f"{other}.parquet").symlink_to(f"/root/testdata/sf0.001/{other}.parquet")
+    found = {r.run_key: r.before_is_patched for r in bridging.q_interface_snapshot(spark, str(tmp_path)).collect()}
+    assert set(found) == {"run:67", "run:70", "run:71"} and None not in found.values()
