@@ -127,3 +127,22 @@ def test_page_audit_items(rows):
     assert found["deep"] == found["lost"] == "page_missing"
     cut = pages.withColumn("truncated_children", F.when(F.col("request_id") == "deep", 3))
     assert dict(collect(lineage.audit_pages(cut, items), "request_id", "reason"))["deep"] == "children_truncated"
+
+
+def test_truncated_sources_need_no_rows(rows):
+    """Sources with something left after the bound, whether found by nodes or by their own trace, which gives the same."""
+    edges = rows("src_urn string, dst_urn string", [
+        ("a", "b"), ("b", "c"), ("c", "d"),  # left after two hops: d, which nothing else reaches
+        ("x", "y"), ("y", "z"), ("z", "w"), ("v", "w"),  # w is reached within the bound by v only
+        ("e", "f"), ("f", "e"), ("g", None), ("h", "i"), ("i", "g")])
+    sources = rows("source_urn string", [(s,) for s in "axvegh"] + [("a",), (None,), ("gone",)])
+    cut = lineage.downstream_reach(sources, edges, max_hops=2)
+    assert collect(cut.truncated) == [("a",), ("h",), ("x",)]
+    assert "_traced" not in cut.__dict__
+    assert collect(cut.rows.filter("hop_count = 2"), "source_urn", "urn") == [("a", "c"), ("h", "g"), ("x", "z")]
+    assert collect(cut.truncated) == [("a",), ("h",), ("x",)]
+    whole = lineage.downstream_reach(sources, edges)
+    assert collect(whole.truncated) == [] and collect(whole.rows.filter("source_urn = 'x'"), "urn", "hop_count") == [("w", 3), ("y", 1), ("z", 2)]
+    ordered = [r.urn for r in whole.names.orderBy("id").collect()]
+    assert ordered == sorted(ordered)
+    assert {tuple(r) for r in whole.ids.dtypes} == {("source", "bigint"), ("node", "bigint"), ("hop_count", "int")}
