@@ -6,10 +6,13 @@ shingles.  So the parameters here are the stage's own:
 
 1. *Fingerprint* on single words, each counted at most ``MAX_COUNT`` times, so that frequent words do not make all texts alike.
    Near copies differ in few bits: at most ``RADIUS`` for about 95 of 100 pairs of similarity 0.8 to 0.85, and for more above.
-2. *Candidates* come from the same search as ``simhash``: three agreeing bands, bit planes and carry-save counters in large
-   buckets.  A bucket of up to ``DENSE`` fingerprints names all pairs within the radius; in a larger one each fingerprint names
-   its ``NEIGHBOURS`` nearest on either side and the bucket's ``CENTRES``, so candidates grow with the texts, not their pairs.
-3. *Exact check*: the shingle sets of candidates meet in two joins, and only pairs that reach the similarity are links.
+2. *Candidates* are all pairs of fingerprints within the radius, found by the same search as ``simhash``: three agreeing bands,
+   bit planes and carry-save counters in large buckets.  A pair that shares several buckets belongs to the first of them, so
+   it is named once.  A bucket names the pairs of every row that has up to ``NEIGHBOURS`` near ones there, and instead of the
+   pairs of its other rows, the dense ones, those rows themselves: what leaves it grows with its rows, not with their pairs.
+3. *Exact check*: the shingle sets of named pairs meet in two joins.  The dense rows of a bucket are brought together with their
+   sets, in blocks of bounded bytes, where all their near pairs are checked, except those that links of the block connect
+   already.  Only pairs that reach the similarity are links.
 4. *Groups* are the connected components of links; the row of the smallest id stays.
 
 Texts equal but for case and white space are one from the start.  Buckets larger than ``chunk`` are cut into pairs of chunks
@@ -18,12 +21,14 @@ by a hash, so a bucket of any size is many bounded tasks.
 Defined results: null and empty texts are equal; a text of fewer words than a shingle is one shingle.  Of a group's rows that
 repeat its smallest id, or that all have none, the one with the smallest hash of its columns stays; of wholly equal rows, one.
 Columns of any type are kept.  No documents give no rows.  Candidates are not complete: a pair is missed if it differs in more
-than ``RADIUS`` bits, or if in every bucket that it shares, a large one each, ``NEIGHBOURS`` others are nearer.
+than ``RADIUS`` bits, and only then.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -33,14 +38,19 @@ from pyspark.sql import functions as F
 
 from changegate.llm.common import arrow_map, cut_lineage, row_digest, text_bytes
 from changegate.llm.components import connected_components
-from changegate.llm.simhash import CHUNK, SEED, band_masks, bit_planes
+from changegate.llm.simhash import AGREE, CHUNK, SEED, band_masks, bands, bit_planes
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 MAX_COUNT, RADIUS = 3, 6
-DENSE, BLOCK_ROWS = 64, 64  # slots of which all pairs are named; rows that are compared at once with a larger one
-NEIGHBOURS, CENTRES = 8, 4  # what a row of a large bucket is compared with
+DENSE, BLOCK_ROWS = 64, 64  # slots that are compared at every distance of places; rows that are compared at once with a larger one
+NEIGHBOURS = 4  # near ones of a row in a bucket up to which its pairs are named one by one
+PIECE_ROWS, PIECE_BYTES = 1024, 8 << 20  # dense rows, and bytes of their sets, that are one side of a block
+WHICH = 1023  # the bits of a slot that hold the number of its choice of bands
 
 PRINT_SCHEMA = "doc_id bigint, digest bigint, bits bigint, item binary"
+FOUND_SCHEMA = "a bigint, b bigint, bits bigint, slot bigint, side int"
+
+Belongs = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 # ---------------------------------------------------------------------------------------------------------------- texts
@@ -94,11 +104,31 @@ def _sets(batch: pa.RecordBatch, shingle_words: int) -> list:
 # --------------------------------------------------------------------------------------------------------------- search
 
 
-def _centres(values: np.ndarray) -> np.ndarray:
-    """Positions of the fingerprints nearest to the bitwise majority: of many copies of one text, likely the text itself."""
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(values), bitorder="little").view("<u8")[0]
-    return np.argsort(np.bitwise_count(values ^ middle), kind="stable")[:CENTRES]
+def _first_choices(radius: int) -> np.ndarray:
+    """For every set of agreeing bands, as a number, the first choice of ``AGREE`` bands in it; -1 if there is none."""
+    n = radius + AGREE
+    number = {choice: i for i, choice in enumerate(combinations(range(n), AGREE))}
+    agreeing = ([k for k in range(n) if which >> k & 1] for which in range(1 << n))
+    return np.array([number.get(tuple(found[:AGREE]), -1) for found in agreeing])
+
+
+def _belonging(bits: np.ndarray, which: np.ndarray, sides: list[np.ndarray], radius: int, table: np.ndarray) -> Belongs:
+    """Is a pair of positions in the first bucket that it shares, and of the two parts that this task compares?
+
+    A side is 2 in a task within one part, where all pairs count, and else 0 or 1.
+    """
+    masks = [np.uint64(m) for m in bands(radius)]
+
+    def belongs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        differ, agree = bits[i] ^ bits[j], np.zeros(len(i), dtype=np.int64)
+        for k, mask in enumerate(masks):
+            agree |= ((differ & mask) == 0).astype(np.int64) << k
+        mine = table[agree] == which[i]
+        for side in sides:
+            mine &= (side[i] != side[j]) | (side[i] == 2)
+        return mine
+
+    return belongs
 
 
 def within_block(planes: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,31 +167,34 @@ def within_block(planes: np.ndarray, values: np.ndarray, radius: int) -> tuple[n
     return row, alive[bit // 64] * 64 + bit % 64 if len(bit) else bit
 
 
-def _large_slot(values: np.ndarray, radius: int, neighbours: int) -> list[np.ndarray]:
-    """Pairs of a large slot: each row with its nearest ones before and behind it, and with the slot's centres."""
-    planes, centres, found = bit_planes(values), _centres(values), []
+def _large_slot(values: np.ndarray, radius: int, belongs: Belongs | None, neighbours: int | None) -> tuple[list, np.ndarray]:
+    """Pairs of a large slot, and which rows are dense; pairs of two of them are left out.  Without ``neighbours`` none is dense."""
+    planes, found, dense = bit_planes(values), [], np.zeros(len(values), dtype=bool)
     for first in range(0, len(values), BLOCK_ROWS):
         row, other = within_block(planes, values[first : first + BLOCK_ROWS], radius)
         row = row + first
         real = (other < len(values)) & (other != row)
         row, other = row[real], other[real]
-        if len(row):
-            distance, behind = np.bitwise_count(values[row] ^ values[other]), other > row
-            # Of equally near ones those of the nearest places come first, so that equal fingerprints hang together.
-            order = np.lexsort((np.abs(other - row), distance, behind, row))
-            row, other, group = row[order], other[order], (2 * row + behind)[order]
-            starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            rank = np.arange(len(group)) - np.repeat(starts, np.diff(np.append(starts, len(group))))
-            keep = (rank < neighbours) | np.isin(other, centres)
-            found.append(np.column_stack([row[keep], other[keep]]))
-    return found
-
-
-def nearest(slots: np.ndarray, bits: np.ndarray, radius: int, neighbours: int = NEIGHBOURS) -> np.ndarray:
-    """Pairs of positions whose fingerprints are within the radius; rows are sorted by slot.
-
-    Of a slot of at most ``DENSE`` rows all pairs; of a larger one each row's nearest ``neighbours`` before and behind it, and
-    the slot's centres.
+        if belongs is not None:
+            mine = belongs(row, other)
+            row, other = row[mine], other[mine]
+        if neighbours is None:
+            keep = row < other
+        else:
+            dense |= np.bincount(row, minlength=len(values)) > neighbours
+            keep = ~dense[row]
+        found.append(np.column_stack([row[keep], other[keep]]))
+    return found, dense
+
+
+def nearest(
+    slots: np.ndarray, bits: np.ndarray, radius: int, neighbours: int = NEIGHBOURS,
+    dense: list[np.ndarray] | None = None, belongs: Belongs | None = None,
+) -> np.ndarray:
+    """Pairs of positions in one slot whose fingerprints are within the radius, all of them; rows are sorted by slot.
+
+    ``belongs`` tells the pairs that count.  If ``dense`` is given, it gets the rows with more than ``neighbours`` such pairs in
+    their slot, and the pairs of two such rows are left out.
     """
     n = len(slots)
     cuts = np.flatnonzero(slots[1:] != slots[:-1]) + 1
@@ -175,53 +208,90 @@ def nearest(slots: np.ndarray, bits: np.ndarray, radius: int, neighbours: int =
         if not len(rows):
             break
         near = rows[np.bitwise_count(bits[rows] ^ bits[rows + lag]) <= radius]
+        if belongs is not None:
+            near = near[belongs(near, near + lag)]
         found.append(np.column_stack([near, near + lag]))
+    if dense is not None:
+        pairs = np.concatenate(found)
+        many = np.bincount(pairs.ravel(), minlength=n) > neighbours
+        dense.append(np.flatnonzero(many))
+        found = [pairs[~many[pairs].all(axis=1)]]
     large = ends - starts > DENSE
-    for first, last in zip(starts[large], ends[large], strict=True):
-        found += [first + pairs for pairs in _large_slot(bits[first:last], radius, neighbours)]
+    for first, last in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
+        mine = None if belongs is None else lambda i, j, first=first: belongs(i + first, j + first)
+        pairs, many = _large_slot(bits[first:last], radius, mine, None if dense is None else neighbours)
+        found += [first + p for p in pairs]
+        if dense is not None:
+            dense.append(first + np.flatnonzero(many))
     return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
 
 
-def _search(radius: int):
-    """Pairs of all slots of a partition, which arrive sorted by slot; memory is a batch and one slot."""
+def _by_group(keys: list[str], work: Callable[[pd.DataFrame], pd.DataFrame]):
+    """``work`` on whole groups of a partition, which arrive sorted by ``keys``; memory is a batch and one group."""
 
     def run(frames):
         rest: pd.DataFrame | None = None
         for frame in frames:
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            slots = frame["slot"].to_numpy()
-            cut = int(np.searchsorted(slots, slots[-1])) if len(slots) else 0
+            same = (frame[keys].to_numpy() == frame[keys].iloc[-1:].to_numpy()).all(axis=1) if len(frame) else np.zeros(0, dtype=bool)
+            cut = int(np.argmax(same)) if len(same) else 0
             rest = frame.iloc[cut:].reset_index(drop=True)
             if cut:
-                yield _pairs(frame.iloc[:cut])
+                yield work(frame.iloc[:cut])
         if rest is not None and len(rest):
-            yield _pairs(rest)
-
-    def _pairs(frame):
-        node = frame["node"].to_numpy()
-        pairs = nearest(frame["slot"].to_numpy(), frame["bits"].to_numpy().view(np.uint64), radius)
-        pairs = np.unique(np.sort(node[pairs], axis=1), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+            yield work(rest)
 
     return run
 
 
+def _search(radius: int):
+    """Pairs (a, b) of all slots, and dense rows (a, bits, slot, side)."""
+    table = _first_choices(radius)
+
+    def pairs_of(frame):
+        node, slots, side = (frame[c].to_numpy() for c in ("node", "slot", "side"))
+        bits, dense = frame["bits"].to_numpy().view(np.uint64), []
+        belongs = _belonging(bits, slots & WHICH, [side], radius, table)
+        pairs = node[nearest(slots, bits, radius, dense=dense, belongs=belongs)]
+        many = np.concatenate(dense)
+        pad = lambda values, kind, before: pd.array(
+            np.concatenate([np.zeros(before, values.dtype), values]) if before else np.concatenate([values, np.zeros(len(many), values.dtype)]), kind
+        )
+        out = pd.DataFrame({
+            "a": np.concatenate([pairs[:, 0], node[many]]),
+            "b": pad(pairs[:, 1], "Int64", 0),
+            **{c: pad(frame[c].to_numpy()[many], kind, len(pairs)) for c, kind in (("bits", "Int64"), ("slot", "Int64"), ("side", "Int32"))},
+        })
+        out.loc[len(pairs) :, "b"] = pd.NA
+        return out
+
+    return _by_group(["slot"], pairs_of)
+
+
+def _in_parts(rows: DataFrame, part: str, parts: str, group: str, name: str, side: str) -> DataFrame:
+    """Each row with the number ``name`` of every task, a pair of parts of its group, that it takes part in, and its side there."""
+    c, mine = F.col("_other"), F.col(part)
+    every = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)))
+    task = F.when(F.col(parts) == 1, F.col(group)).otherwise(F.xxhash64(group, F.least(c, mine), F.greatest(c, mine)))
+    place = F.when(c == mine, 2).otherwise((mine > c).cast("int"))
+    return every.withColumn(name, task).withColumn(side, place).drop("_other")
+
+
 def near_pairs(items: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes of items (node, bits) within the radius, as ``nearest`` names them in some bucket."""
+    """All pairs (a, b) of nodes of items (node, bits) within the radius, each named once, but for the pairs of two dense rows of a
+    bucket: those rows (a, bits, slot, side) are given instead, with ``b`` null."""
     masks = band_masks(radius)
-    slots = F.array(*[F.xxhash64(F.lit(i), F.col("bits").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    numbered = lambda slot, which: slot.bitwiseAND(F.lit(~WHICH)).bitwiseOR(which)
+    slots = F.array(*[numbered(F.xxhash64(F.lit(i), F.col("bits").bitwiseAND(F.lit(m))), F.lit(i)) for i, m in enumerate(masks)])
     keyed = items.select("node", "bits", F.explode(slots).alias("slot"))
     # Written, so that its size is known: Spark broadcasts it only where it is small.
     large = cut_lineage(keyed.groupBy("slot").agg(F.count("*").alias("n")).filter(F.col("n") > chunk))
     met = keyed.join(large, "slot", "left").withColumn("chunks", F.coalesce(F.ceil(F.col("n") / chunk).cast("int"), F.lit(1)))
-    mine = F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64("slot", F.least(c, mine), F.greatest(c, mine))
-    )
+    met = met.withColumn("mine", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int"))
     # A slot is a hash; two buckets in one slot cost comparisons and lose no pair.
-    tasks = met.select("node", "bits", F.explode(F.when(F.col("chunks") == 1, F.array("slot")).otherwise(pairs)).alias("slot"))
-    sorted_tasks = tasks.repartition("slot").sortWithinPartitions("slot", "bits", "node")
-    return sorted_tasks.mapInPandas(_search(radius), "a bigint, b bigint").distinct()
+    tasks = _in_parts(met, "mine", "chunks", "slot", "task", "side")
+    tasks = tasks.select("node", "bits", numbered(F.col("task"), F.col("slot").bitwiseAND(F.lit(WHICH))).alias("slot"), "side")
+    return tasks.repartition("slot").sortWithinPartitions("slot").mapInPandas(_search(radius), FOUND_SCHEMA)
 
 
 # --------------------------------------------------------------------------------------------------------------- groups
@@ -239,19 +309,90 @@ def _checked(similarity: float):
     return check
 
 
+def block_links(bits: np.ndarray, sets: list[np.ndarray], belongs: Belongs, radius: int, similarity: float) -> np.ndarray:
+    """A spanning forest of the links among the rows of a block: near pairs that belong to it and are similar enough.
+
+    Shared shingles are counted through the rows that hold each; a pair that earlier links connect needs no count.
+    """
+    n, sizes = len(bits), np.array([len(s) for s in sets], dtype=np.int64)
+    _, words = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(words, kind="stable")]
+    counts = np.bincount(words)
+    starts, ends = np.cumsum(counts) - counts, np.cumsum(sizes)
+    planes, tree, found = bit_planes(bits), np.arange(n), [np.zeros((0, 2), dtype=np.int64)]
+    for first in range(0, n, BLOCK_ROWS):
+        row, other = within_block(planes, bits[first : first + BLOCK_ROWS], radius)
+        row = row + first
+        later = (other < n) & (other > row)
+        row, other = row[later], other[later]
+        mine = belongs(row, other)
+        row, other = row[mine], other[mine]
+        for i in np.unique(row).tolist():
+            near = other[row == i]
+            near = near[tree[near] != tree[i]]
+            if not len(near):
+                continue
+            held = words[ends[i] - sizes[i] : ends[i]]
+            each = counts[held]
+            at = np.repeat(starts[held] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            both = np.bincount(holders[at], minlength=n)[near]
+            either = sizes[i] + sizes[near] - both
+            near = near[(both / np.maximum(either, 1) >= similarity) | (either == 0)]
+            joined, place = np.unique(tree[near], return_index=True)
+            found.append(np.column_stack([np.full(len(place), i), near[place]]))
+            tree[np.isin(tree, joined)] = tree[i]
+    return np.concatenate(found)
+
+
+def _dense_links(radius: int, similarity: float):
+    """Links (a, b) of blocks of dense rows, which arrive sorted by block."""
+    table = _first_choices(radius)
+
+    def links_of(frame):
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        for _, block in frame.groupby(["block", "slot"], sort=False):
+            bits = block["bits"].to_numpy().view(np.uint64)
+            sides = [block[c].to_numpy() for c in ("side", "piece_side")]
+            belongs = _belonging(bits, block["slot"].to_numpy() & WHICH, sides, radius, table)
+            sets = [np.frombuffer(s, "<u8") for s in block["shingles"]]
+            found.append(block["node"].to_numpy()[block_links(bits, sets, belongs, radius, similarity)])
+        pairs = np.sort(np.concatenate(found), axis=1)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return _by_group(["block"], links_of)
+
+
+def dense_links(dense: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) that span what the pairs of dense rows (node, bits, slot, side) of one slot connect; ``sets``: node, shingles.
+
+    A slot is cut into pieces of bounded rows and bytes, and every pair of pieces is a block of its own.
+    """
+    size = F.octet_length("shingles")
+    sized = dense.join(sets.select("node", size.alias("size")), "node")
+    pieces = F.greatest(F.ceil(F.count("*") / PIECE_ROWS), F.ceil(F.sum("size") / PIECE_BYTES)).cast("int")
+    cut = cut_lineage(sized.groupBy("slot").agg(pieces.alias("pieces")).filter("pieces > 1"))
+    met = dense.join(cut, "slot", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    met = met.withColumn("piece", F.pmod(F.xxhash64("node", F.lit("piece")), F.col("pieces")).cast("int"))
+    blocks = _in_parts(met, "piece", "pieces", "slot", "block", "piece_side").drop("piece", "pieces")
+    whole = blocks.join(sets, "node").select("node", "bits", "slot", "side", "block", "piece_side", "shingles")
+    return whole.repartition("block").sortWithinPartitions("block").mapInPandas(_dense_links(radius, similarity), "a bigint, b bigint")
+
+
 def similar_links(
     docs: DataFrame, items: DataFrame, shingle_words: int, radius: int, similarity: float, text_col: str, chunk: int = CHUNK
 ) -> DataFrame:
-    """Links (a, b) between nodes of written ``items`` (node, bits, first) whose texts are similar enough."""
-    pairs = cut_lineage(near_pairs(items.select("node", "bits"), radius, chunk))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """Links (a, b) between nodes of written ``items`` (node, bits, first) that connect all whose texts are similar enough."""
+    found = cut_lineage(near_pairs(items.select("node", "bits"), radius, chunk))
+    pairs = found.filter("b is not null").select("a", "b")
+    dense = found.filter("b is null").select(F.col("a").alias("node"), "bits", "slot", "side")
+    asked = found.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
     wanted = items.join(asked, "node").select("node", F.col("first.digest").alias("digest"))
     texts = docs.select(row_digest(docs).alias("digest"), F.col(f"`{text_col}`").cast("string").alias("text"))
     one = texts.join(wanted, "digest").dropDuplicates(["digest", "node"]).select("node", "text")
     sets = cut_lineage(arrow_map(one, _sets, "node bigint, shingles binary", (shingle_words,)))
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"set_{name}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-    return met.mapInArrow(_checked(similarity), "a bigint, b bigint")
+    return met.mapInArrow(_checked(similarity), "a bigint, b bigint").unionByName(dense_links(dense, sets, radius, similarity))
 
 
 def keep_distinct(

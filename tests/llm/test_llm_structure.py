@@ -345,6 +345,58 @@ def test_near_copies_of_awkward_rows(spark):
     assert near_copies.keep_distinct(documents(spark, [])).count() == 0
 
 
+def test_near_copies_of_large_groups_lose_no_link(spark, monkeypatch):
+    """Many texts within the radius of each other, of which each is similar enough to few: every such pair links, at any chunk."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    texts = [words]
+    while len(texts) < 400:
+        copy = list(rng.choice(texts))
+        for _ in range(2):
+            copy[rng.randrange(len(copy))] = f"w{rng.randrange(10**6)}"
+        texts.append(copy)
+    rng.shuffle(texts)
+    bits = np.array([near_copies.fingerprint([w.encode() for w in t]) for t in texts], dtype=np.uint64)
+    sets = [near_copies.shingles([w.encode() for w in t]) for t in texts]
+    group, n_near = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= near_copies.RADIUS).tolist():
+            n_near += 1
+            if near_copies.jaccard(sets[i], sets[j]) >= near_copies.SIMILARITY and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    assert n_near > 4000 and len(set(group)) > 20
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    for chunk, piece in ((near_copies.CHUNK, near_copies.PIECE_ROWS), (50, 20)):
+        monkeypatch.setattr(near_copies, "PIECE_ROWS", piece)
+        kept = {r["doc_id"] for r in near_copies.keep_distinct(documents(spark, rows), chunk=chunk).collect()}
+        assert kept == set(group)
+
+
+def test_named_pairs_and_dense_rows_hold_every_pair(spark):
+    """Pairs are named once, at most ``NEIGHBOURS`` times the rows of all buckets, and dense rows have the rest."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
+    values = np.unique([base[i % 2] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), False))) for i in range(700)])
+    items = spark.createDataFrame([(i, int(v)) for i, v in enumerate(values.view(np.int64))], "node bigint, bits bigint")
+    want = {(i, j) for j, v in enumerate(values) for i in np.flatnonzero(np.bitwise_count(values[:j] ^ v) <= 6).tolist()}
+    for chunk in (near_copies.CHUNK, 30):
+        found = near_copies.near_pairs(items, chunk=chunk).collect()
+        named = [(r["a"], r["b"]) for r in found if r["b"] is not None]
+        assert len(named) == len(set(named)) and set(named) <= want
+        rest, slots = want - set(named), defaultdict(list)
+        assert rest  # the group is large enough that some of it is dense
+        for r in found:
+            if r["b"] is None:
+                slots[r["slot"]].append((r["a"], r["side"]))
+        together = {(a, b) for members in slots.values() for a, s in members for b, t in members if a < b and (s != t or s == 2)}
+        assert rest <= together
+        nothing = spark.createDataFrame([(i, b"12345678") for i in range(len(values))], "node bigint, shingles binary")
+        dense = spark.createDataFrame([(r["a"], r["bits"], r["slot"], r["side"]) for r in found if r["b"] is None], "node bigint, bits bigint, slot bigint, side int")
+        links = near_copies.dense_links(dense, nothing, 6, 0.8).collect()
+        assert {(r["a"], r["b"]) for r in links} <= rest
+
+
 def test_nearest_neighbours_equal_plain_distances():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
