@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantT
 
 from changegate.session import cut_lineage, fresh_path
 
-__all__ = ["arrow_map", "bounded_batches", "cut_lineage", "fresh_path", "read_table", "row_digest", "text_bytes"]
+__all__ = ["arrow_map", "bounded_batches", "cut_lineage", "fresh_path", "give_back", "read_table", "row_digest", "text_bytes"]
 
 # A batch that crosses to Python holds about this much, however long the texts are (a single longer text is a batch of its own).
 BATCH_BYTES = 8 << 20
@@ -27,6 +29,25 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):  # not the GNU C library
+        return None
+
+
+def give_back() -> None:
+    """Return to the machine what a batch used and freed.
+
+    A worker process serves one stage after another.  The allocators would keep the peak of each for the next, beside the memory
+    of the executor.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[..., list], schema: str, args: tuple = ()) -> DataFrame:
     """Apply ``fn(batch, *args)``, which returns one list or array per output column, to every Arrow batch of ``df``.
 
@@ -45,6 +66,8 @@ def arrow_map(df: DataFrame, fn: Callable[..., list], schema: str, args: tuple =
                 columns = fn(batch, *args)
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
+                columns = arrays = None
+                give_back()
 
     return df.mapInArrow(run, target)
 

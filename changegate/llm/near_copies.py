@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changegate.llm.common import arrow_map, cut_lineage, row_digest, text_bytes
+from changegate.llm.common import arrow_map, cut_lineage, give_back, row_digest, text_bytes
 from changegate.llm.components import connected_components
 from changegate.llm.simhash import AGREE, CHUNK, SEED, band_masks, bands, bit_planes
 
@@ -305,6 +305,7 @@ def _checked(similarity: float):
                 for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
+            give_back()
 
     return check
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changegate.llm.common import arrow_map, cut_lineage, text_bytes
+from changegate.llm.common import arrow_map, cut_lineage, give_back, text_bytes
 
 MIN_WORDS, MAX_REPEATED = 50, 0.5  # base rules: fewer words, or more words in repeated windows, fail
 KEEP_AT = 0.5
@@ -255,6 +255,8 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
         found = (profile((t or "").encode()) for t in texts)
-        return pd.Series([not p.base_failed and vote(p) in kept for p in found], dtype=bool)
+        judged = pd.Series([not p.base_failed and vote(p) in kept for p in found], dtype=bool)
+        give_back()
+        return judged
 
     return docs.filter(good(F.expr(f"cast(`{text_col}` as string)")))

@@ -29,6 +29,7 @@ import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from changegate.llm.common import arrow_map, bounded_batches, text_bytes
+from changegate.llm.common import arrow_map, bounded_batches, give_back, text_bytes
 
 HELD_OUT_OF = 5  # rows whose crc32 of the id is divisible by this are never learned from
 MAX_ROWS, MAX_BYTES = 3_000, 12 << 20  # the bound of the learning sample
@@ -46,6 +47,7 @@ PREFIXES = (3, 4, 5, 6, 7)
 MIN_CONTEXTS, MIN_LIFT = 5, 12.0  # what makes a form toxic: distinct neighbourhoods, and how much more often in toxic texts
 ROUNDS, RATE, PENALTY = 60, 0.5, 1e-3
 MAX_KNOWN_WORDS = 200_000
+SLICE_CHARS = 1 << 21  # texts whose words are held at a time while scoring; a longer text is a slice of its own
 LIKELY = 0.3  # tags from here on count towards a document's score
 
 _WORD = re.compile(r"\w+")
@@ -386,6 +388,8 @@ def train(
         head = [model.bias, *model.transition[0], *model.transition[1], *model.begin, *model.slope, model.offset, float(model.usable)]
         names, values = [None] * len(head), head
         names, values = names + list(model.weights), values + list(model.weights.values())
+        rows = None
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], ["form", "value"])
 
     found = sample.repartition(1).mapInArrow(fit, "form string, value double").collect()
@@ -400,8 +404,21 @@ SPAN_SCHEMA = "doc_id bigint, start int, end int, span string, probability doubl
 _MEMORY: dict[int, ToxicityModel] = {}
 
 
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in lists of about ``SLICE_CHARS`` characters."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > SLICE_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def _scores(texts: list[str], model: ToxicityModel) -> list[float]:
-    return model.score(model.tag([words_of(t) for t in texts]))
+    return [s for some in _slices(texts) for s in model.score(model.tag([words_of(t) for t in some]))]
 
 
 def _score(batch: pa.RecordBatch, model: ToxicityModel) -> list:
@@ -465,6 +482,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([s < 0.5 for s in _scores([t or "" for t in texts], model)], dtype=bool)
+        kept = pd.Series([s < 0.5 for s in _scores([t or "" for t in texts], model)], dtype=bool)
+        give_back()
+        return kept
 
     return docs.filter(clean(F.expr(f"cast(`{text_col}` as string)")))

@@ -300,3 +300,17 @@ def test_common_length_of_texts():
     assert toxicity.common_length([5, 900, 700], [1, 1, 1], 25) == 10
     assert toxicity.common_length([10, 2], [3, 2], 19) == 5
     assert toxicity.common_length([], [], 10) == 0
+
+
+def test_toxicity_scores_a_large_batch_in_slices(monkeypatch):
+    clean = ["the river runs by the old mill and some houses near it", "a calm day with bread and tea at the table"] * 60
+    rude = ["you utter nincompoop of a town", "what a nincompoop you are today", "nincompoop go away from the mill"] * 40
+    model = toxicity.learn([f"{t} {i}" for i, t in enumerate(clean + rude)], [False] * len(clean) + [True] * len(rude))
+    texts = ["", *rude[:3], "", *clean[:40], rude[0] * 30, ""]
+    whole = [s for t in texts for s in model.score(model.tag([toxicity.words_of(t)]))]
+    held, tag = [], toxicity.ToxicityModel.tag
+    monkeypatch.setattr(toxicity, "SLICE_CHARS", 200)
+    monkeypatch.setattr(toxicity.ToxicityModel, "tag", lambda self, some: held.append(some) or tag(self, some))
+    assert toxicity._scores(texts, model) == pytest.approx(whole)
+    assert max(sum(len(" ".join(words)) for words in some) for some in held if len(some) > 1) <= 200
+    assert toxicity._scores([], model) == []
