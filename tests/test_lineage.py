@@ -1,3 +1,4 @@
+import pytest
 from helpers import CHANGE_SCHEMA, change, collect
 from pyspark.sql import functions as F
 
@@ -146,3 +147,68 @@ def test_truncated_sources_need_no_rows(rows):
     ordered = [r.urn for r in whole.names.orderBy("id").collect()]
     assert ordered == sorted(ordered)
     assert {tuple(r) for r in whole.ids.dtypes} == {("source", "bigint"), ("node", "bigint"), ("hop_count", "int")}
+
+
+def _edges_of_columns(rows):
+    return rows(
+        "src_urn string, src_column string, dst_urn string, dst_column string",
+        [
+            ("t", "a", "u", "x"), ("t", "b", "u", "y"), ("t", None, "v", None), ("u", "x", "w", "z"), ("u", "y", "w", None),
+            ("v", None, "t", None), ("w", "z", "s", "a"), ("s", "a", "t", "b"), ("w", "q", "r", "a"), ("t", "a", None, "n"),
+            (None, "a", "u", "x"), ("far", "a", "away", "a"),
+        ],
+    )
+
+
+def _columns_below(edges, starts):
+    """Breadth-first, row by row: {(source, start, urn, column): hop}."""
+    found = {}
+    for source, column in {(s, c.lower()) for s, c in starts}:
+        seen, frontier, hop = {(source, column)}, {(source, column)}, 0
+        while frontier:
+            hop += 1
+            step = {
+                (dst, dst_column if src_column is not None else None)
+                for urn, col in frontier for src, src_column, dst, dst_column in edges
+                if src is not None and src == urn and (col is None or src_column is None or src_column == col)
+            }
+            frontier = step - seen
+            seen |= frontier
+            found.update({(source, column, urn, col): hop for urn, col in frontier})
+    return found
+
+
+def test_column_reach_traces_without_numbering_the_names(rows, monkeypatch):
+    starts = [("t", "A"), ("t", "b"), ("s", "a"), ("w", "q"), ("lost", "a")]
+    edges = _edges_of_columns(rows)
+    want = _columns_below([tuple(r) for r in edges.collect()], starts)
+    shown = ("source_urn", "start_column", "urn", "column", "hop_count")
+
+    def trace():
+        return {tuple(r[:4]): r[4] for r in lineage.column_reach(rows("source_urn string, start_column string", starts), edges).rows.select(*shown).collect()}
+
+    with monkeypatch.context() as patched:
+        patched.setattr(lineage, "_numbered", lambda urns: pytest.fail("names are numbered"))
+        assert trace() == want
+    # Two names of one hash: numbers are made then, and the result is the same.
+    monkeypatch.setattr(lineage, "_hashed", lambda urn: F.when(F.col(urn).isNotNull(), F.length(urn).cast("bigint")))
+    assert trace() == want
+    # All columns of one mark: the join by names still tells them apart.
+    monkeypatch.setattr(lineage, "_mark", lambda column: F.lit(1).cast("bigint"))
+    assert trace() == want
+
+
+def test_failed_enrichments_are_left_out_without_moving_the_assets(spark, rows):
+    many = spark.range(20_000).selectExpr(
+        "concat('run:', id) as run_key", "'c' as change_id", "concat('urn:', id) as urn", "true as found", "id = 7 as malformed"
+    )
+    changes = many.select("run_key", "change_id")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000b")
+    try:
+        kept = lineage.drop_unavailable(many, lineage.ownership_status(changes, many))
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert kept.count() == 19_999 and kept.filter("urn = 'urn:7'").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
