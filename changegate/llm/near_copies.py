@@ -43,7 +43,7 @@ from changegate.llm.simhash import AGREE, CHUNK, SEED, band_masks, bands, bit_pl
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 MAX_COUNT, RADIUS = 3, 6
 DENSE, BLOCK_ROWS = 64, 64  # slots that are compared at every distance of places; rows that are compared at once with a larger one
-NEIGHBOURS = 4  # near ones of a row in a bucket up to which its pairs are named one by one
+NEIGHBOURS = 1  # near ones of a row in a bucket up to which its pairs are named one by one
 PIECE_ROWS, PIECE_BYTES = 1024, 8 << 20  # dense rows, and bytes of their sets, that are one side of a block
 WHICH = 1023  # the bits of a slot that hold the number of its choice of bands
 
@@ -254,13 +254,11 @@ def _search(radius: int):
         belongs = _belonging(bits, slots & WHICH, [side], radius, table)
         pairs = node[nearest(slots, bits, radius, dense=dense, belongs=belongs)]
         many = np.concatenate(dense)
-        pad = lambda values, kind, before: pd.array(
-            np.concatenate([np.zeros(before, values.dtype), values]) if before else np.concatenate([values, np.zeros(len(many), values.dtype)]), kind
-        )
+        nothing = lambda n: np.zeros(n, dtype=np.int64)
         out = pd.DataFrame({
             "a": np.concatenate([pairs[:, 0], node[many]]),
-            "b": pad(pairs[:, 1], "Int64", 0),
-            **{c: pad(frame[c].to_numpy()[many], kind, len(pairs)) for c, kind in (("bits", "Int64"), ("slot", "Int64"), ("side", "Int32"))},
+            "b": pd.array(np.concatenate([pairs[:, 1], nothing(len(many))]), "Int64"),
+            **{c: pd.array(np.concatenate([nothing(len(pairs)), frame[c].to_numpy()[many]]), kind) for c, kind in (("bits", "Int64"), ("slot", "Int64"), ("side", "Int32"))},
         })
         out.loc[len(pairs) :, "b"] = pd.NA
         return out

@@ -397,6 +397,35 @@ def test_named_pairs_and_dense_rows_hold_every_pair(spark):
         assert {(r["a"], r["b"]) for r in links} <= rest
 
 
+def test_named_pairs_are_no_more_than_rows_of_buckets(spark):
+    """A group of near copies leaves the search as at most one row for each of its rows in a bucket, whatever its pairs."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, dtype=np.uint64)
+    values = np.unique([base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 4, False))) for _ in range(300)])
+    items = spark.createDataFrame([(i, int(v)) for i, v in enumerate(values.view(np.int64))], "node bigint, bits bigint")
+    table, masks, held = near_copies._first_choices(6), [np.uint64(m) for m in near_copies.bands(6)], set()
+    for j, v in enumerate(values):
+        for i in np.flatnonzero(np.bitwise_count(values[:j] ^ v) <= 6).tolist():
+            first = table[sum(1 << k for k, m in enumerate(masks) if not (values[i] ^ v) & m)]
+            held |= {(i, first), (j, first)}
+    assert near_copies.near_pairs(items).count() <= len(held)
+
+
+def test_components_leave_what_is_one_node(spark, monkeypatch):
+    """Links within a group that is one node already do not come again in later rounds."""
+    links, written, keep = [(i, j) for i in range(30) for j in range(i)] + [(i, i + 1) for i in range(100, 140)], [], components.cut_lineage
+
+    def noted(df):
+        written.append(keep(df))
+        return written[-1]
+
+    monkeypatch.setattr(components, "cut_lineage", noted)
+    found = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert found == dict.fromkeys(range(30), 0) | dict.fromkeys(range(100, 141), 100)
+    left = [df.count() for df in written if df.columns == ["a", "b"]]
+    assert left[0] == len(links) and left[-1] == 0
+
+
 def test_nearest_neighbours_equal_plain_distances():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
