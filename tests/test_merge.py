@@ -97,3 +97,11 @@ def test_a_report_is_the_same_only_as_a_whole(rows):
     want += [f"context.asset_fact_conflict.owners.{short('owned')}", "context.evidence_record_conflict"]
     assert [r for _, r in collect(merge.merge_reasons(merged, errors))] == sorted(want)
     assert collect(merge.merge_assets(rows(SCHEMA, [report("1")])).differing) == []
+
+
+def test_assets_alone_move_no_list(rows):
+    """Without staging, the assets need one grouped pass: no member is counted or joined, and the result is that of the staged merge."""
+    data = [report("1", owners=("a", "b"), assertions=("x",)), report("2", owners=None, hop=2), report("1", urn="v", owners=())]
+    lazy, staged = (merge.merge_assets(rows(SCHEMA, data), staged=s).assets for s in (False, True))
+    assert collect(lazy) == collect(staged)
+    assert "Join" not in lazy._jdf.queryExecution().optimizedPlan().toString()
