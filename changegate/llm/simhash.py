@@ -234,8 +234,9 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) ->
     masks = band_masks(radius)
     keyed = distinct.select("bits", F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m)) for m in masks])).alias("which", "key"))
     sizes = keyed.groupBy("which", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    # A bucket of one fingerprint has no pair; the join drops it.
-    met = keyed.join(sizes, ["which", "key"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    # A bucket of one fingerprint has no pair; the join drops it.  Spark sizes ``keyed`` as if every fingerprint had one key and
+    # would send it whole to the driver to broadcast it, so the join is asked to sort both sides.
+    met = keyed.join(sizes.hint("merge"), ["which", "key"]).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     met = met.withColumn("chunk", F.pmod(F.xxhash64("bits"), F.col("chunks")).cast("int"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1),

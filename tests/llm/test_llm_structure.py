@@ -266,6 +266,13 @@ def test_hot_bucket_in_chunks_loses_no_link(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_bucket_keys_are_not_broadcast(spark):
+    """Spark sizes the keys of all buckets, many for each fingerprint, like one; they must not be sent to the driver for that."""
+    links = simhash.near_links(spark.range(1000).selectExpr("xxhash64(id) as bits"))
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [which" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1400)] + [(7, 7), (5000, 5000)]
     found = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
