@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changegate.functions import identity, text
 from changegate.operators import publish, quality, scan
+from changegate.plans import publishing
 from changegate.session import cut_lineage, exists, fresh_path, run_dir, shared_dir
 from changegate.sources import manifests, tables
 
@@ -231,3 +232,15 @@ def test_manifests_are_parsed_once_from_folders_of_any_depth(spark, rows, tmp_pa
     assert collect(parsed.nodes, "run_key", "unique_id", "relation") == [("name=p1", "m.1", "s.t"), ("name=p2", "m.2", "s.t")]
     assert collect(parsed.rejections) == [("c", "manifest_invalid", "before")]
     assert "parse_json" not in parsed.rejections._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_manifest_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """One file a change set, spread over tasks however few bytes they are; all of them are read back."""
+    spark.range(40).selectExpr("id as p_partkey", "concat('Part ', id) as p_name").write.parquet(f"{tmp_path}/in/part.parquet")
+    monkeypatch.setattr(publishing, "FILES_A_TASK", 4, raising=False)
+    monkeypatch.setattr(publishing, "fresh_path", lambda spark, label: f"{tmp_path}/{label}")
+    got = publishing.q_read_manifests(spark, f"{tmp_path}/in")
+    files = list((tmp_path / "manifests").rglob("name=part-*/*.txt"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 5
+    # No test kind (every seventh), unless its manifest is damaged.
+    assert {r["run_key"] for r in got.select("run_key").collect()} == {f"run:{k}" for k in range(40) if k % 7 or k % 17 == 0}
