@@ -221,6 +221,16 @@ def test_readback_folds_rows_in_map_tasks(rows):
     assert "SortAggregate" not in judged._jdf.queryExecution().executedPlan().toString()
 
 
+def test_readback_wants_one_row_a_state(rows):
+    """What is wanted is no longer a row for each property, and no part of a digest goes through another number base."""
+    wanted = rows("run_id string, source_urn string, original_risk int, residual_risk int, decision string, remediation_status string, "
+                  "evidence_hash string, commit_sha string, writeback_state string", [("r", "u", 7, 3, "PASS", "TESTED", "h", "c", "VERIFIED")])
+    seen = rows("urn string, property string, value_type string, value string", [tuple(r) for r in publish.expected_properties(wanted).collect()])
+    judged = publish.readback_match(wanted, seen, rows("urn string, tag string", [("u", publish.DECISION_TAG_PREFIX + "PASS")]))
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert collect(judged) == [("u", True)] and "Generate" not in plan and "conv(" not in plan
+
+
 def test_manifests_are_parsed_once_from_folders_of_any_depth(spark, rows, tmp_path):
     document = '{"nodes": {"m.%s": {"resource_type": "model", "schema": "s", "name": "t", "columns": {}}}}'
     texts = {"a/name=p1": document % 1, "name=p2": document % 2, "a/b/c": "{", "empty": '{"nodes": {}}'}
