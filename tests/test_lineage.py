@@ -1,3 +1,6 @@
+import uuid
+from collections import Counter
+
 import pytest
 from helpers import CHANGE_SCHEMA, change, collect
 from pyspark.sql import functions as F
@@ -56,6 +59,22 @@ def test_reach_on_a_cyclic_graph_matches_brute_force(rows):
     assert lineage.downstream_reach(s.limit(0), e).rows.count() == 0
 
 
+def test_reach_folded_in_parts_keeps_no_rows_of_a_part(rows, spark, tmp_path, monkeypatch):
+    """Counts by parts of the sources are those of the whole trace, layered or not, and a part's hops are gone afterwards."""
+    layered = [(f"a{i}", f"b{(i * j) % 7}") for i in range(9) for j in (1, 3)] + [(f"b{i}", f"c{i % 3}") for i in range(7)]
+    monkeypatch.setattr(lineage, "SOURCES_A_PART", 2, raising=False)
+    monkeypatch.setattr(lineage, "fresh_path", lambda spark, label: f"{tmp_path}/{label}-{uuid.uuid4().hex}")
+    for more in ([], [("c0", "d"), ("d", "b1"), ("c1", "a2")]):
+        sources = [f"a{i}" for i in range(9)] + [s for s, _ in more]
+        reach = lineage.downstream_reach(rows("source_urn string", [(s,) for s in sources]), rows("src_urn string, dst_urn string", layered + more))
+        counted = reach.folded(lambda ids: ids.groupBy("source", "hop_count").count())
+        assert not list(tmp_path.glob("reach-*"))
+        got = reach.names.join(counted, F.col("id") == F.col("source"))
+        want = Counter((s, hop) for s, _, hop in brute_reach(layered + more, sources, 50))
+        assert {(s, hop): n for s, hop, n in collect(got, "urn", "hop_count", "count")} == want
+        assert reach._layered is (not more)
+
+
 def test_column_reach_follows_columns_and_unknown_follows_all(rows):
     schema = "src_urn string, src_column string, dst_urn string, dst_column string"
     edges = rows(schema, [("t", "a", "m", "X"), ("t", "b", "n", "y"), ("m", "x", "d", "p"), ("m", "z", "e", "q"),
