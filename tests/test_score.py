@@ -96,6 +96,14 @@ def test_usage_is_capped(rows):
     assert collect(got.scored, "urn", "score") == [("a", 45), ("b", 38), ("c", 35)]
 
 
+def test_basis_of_a_run_without_assets_is_its_worst_change(rows):
+    changes = rows(CHANGE_SCHEMA, [change(), change(run="none", cid="c2", kind="drop_column", new_column=None), change(run="none", cid="c3")])
+    worst = score.worst_change(changes, POLICY)
+    scored = score.score_assets(rows(ASSET_SCHEMA, [asset(urn="b"), asset(urn="a"), asset(urn="far", hop=3)]), worst, POLICY)
+    got = score.score_basis(scored, worst)
+    assert collect(got, "run_key", "score_basis_asset_urn", "asset_base", "n_assets") == [("none", None, 45, 0), ("r", "a", 35, 3)]
+
+
 def test_duplicates_reject_the_run(rows):
     got = run(rows, [change(), change()], [asset(), asset(run="other")])
     assert got.runs.count() == 0 and collect(got.rejections, "reason") == [("duplicate_change_id",)]
